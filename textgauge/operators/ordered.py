@@ -257,43 +257,65 @@ def _exits(pos: np.ndarray, nxt: pd.Series) -> pd.Series:
     return out.mask(out == far)
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
-                    cells: int = 256) -> DataFrame:
-    """Linear-interpolated quantiles of one numeric column: (probability, value).
+def value_tally(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, v, n): how often each value occurs in each column, in one pass over df."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL")
+    return long.groupBy("name", "v").agg(F.count("*").alias("n"))
 
-    Values are cut into `cells` ranges of about equal weight by an approximate summary; counts per
-    range locate each wanted rank, and only the ranges holding one are sorted. Repeated values are
-    counted before the shuffle, so no task sees more than one range's distinct values.
+
+def exact_quantiles(tally: DataFrame, probabilities: Sequence[float], cells: int = 256,
+                    ) -> DataFrame:
+    """Linear-interpolated quantiles from a value tally: (name, probability, value).
+
+    Each column's distinct values are cut into `cells` ranges of about equal size; counts per range
+    locate the ranges that hold a wanted rank, and only those are sorted. No task sees more than
+    one range's distinct values.
     """
-    spark = df.sparkSession
-    v = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    cuts = v.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 10_000)).first()[0]
-    if not cuts:
-        return spark.createDataFrame([(float(p), None) for p in probabilities],
-                                     "probability double, value double")
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    # array_position of the first edge not below v would scan; a filter size is one pass of `cells`.
-    cell = F.size(F.filter(edges, lambda e: e < F.col("v")))
-    tally = cut(v.groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", cell))
-    sizes = tally.groupBy("cell").agg(F.sum("n").alias("n"))
-    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sizes.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    total = sizes.agg(F.sum("n").alias("total"))
-    wanted = spark.createDataFrame([(float(p),) for p in probabilities], "probability double")
-    wanted = wanted.crossJoin(F.broadcast(total)).withColumn(
-        "at", F.col("probability") * (F.col("total") - 1))
-    ranks = wanted.select("probability", "at", F.explode(
-        F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-    found = ranks.join(F.broadcast(spans), (F.col("rank") >= F.col("below"))
-                       & (F.col("rank") < F.col("below") + F.col("n"))).drop("n")
-    need = found.select("cell").distinct()
-    inner = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = tally.join(F.broadcast(need), "cell").withColumn("upto", F.sum("n").over(inner))
-    hit = ladder.join(F.broadcast(found), "cell").where(
-        (F.col("rank") >= F.col("below") + F.col("upto") - F.col("n"))
-        & (F.col("rank") < F.col("below") + F.col("upto")))
-    low = F.min_by("v", "rank")
-    high = F.max_by("v", "rank")
-    return hit.groupBy("probability", "at").agg(low.alias("lo"), high.alias("hi")).select(
-        "probability",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))
+    steps = [i / cells for i in range(1, cells)]
+    edges = tally.groupBy("name").agg(
+        F.array_distinct(F.percentile_approx("v", steps, 10_000)).alias("edges"),
+        F.sum("n").alias("total"))
+    placed = tally.join(edges.drop("total"), "name").withColumn(
+        "cell", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    before = Window.partitionBy("name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy("name", "cell").agg(F.sum("n").alias("size")).withColumn(
+        "below", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    wanted = edges.select("name", "total", F.explode(
+        F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"))
+    wanted = wanted.withColumn("at", F.col("probability") * (F.col("total") - 1)).withColumn(
+        "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    found = spans.join(wanted, "name").where(
+        (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("size")))
+    inner = Window.partitionBy("name", "cell").orderBy("v").rowsBetween(
+        Window.unboundedPreceding, 0)
+    need = found.select("name", "cell").distinct()
+    ladder = placed.join(need, ["name", "cell"], "left_semi").withColumn(
+        "upto", F.sum("n").over(inner))
+    top = F.col("below") + F.col("upto")
+    hit = ladder.join(found, ["name", "cell"]).where(
+        (F.col("rank") >= top - F.col("n")) & (F.col("rank") < top))
+    ends = hit.groupBy("name", "probability", "at").agg(
+        F.min_by("v", "rank").alias("lo"), F.max_by("v", "rank").alias("hi"))
+    share = F.col("at") - F.floor("at")
+    return ends.select("name", "probability",
+                       (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
+
+
+def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, mean, sample std, min, quartiles and max of each column, from one pass over df."""
+    tally = cut(value_tally(df, columns))
+    base = tally.groupBy("name").agg(
+        F.sum("n").alias("count"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    off = F.pow(F.col("v") - F.col("mean"), 2) * F.col("n")
+    spread = tally.join(base.select("name", "mean"), "name").groupBy("name").agg(
+        F.sum(off).alias("_ss"))
+    q = exact_quantiles(tally, [0.25, 0.5, 0.75]).groupBy("name").agg(*[
+        F.max(F.when(F.col("probability") == p, F.col("value"))).alias(c)
+        for p, c in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return base.join(spread, "name").join(q, "name").select(
+        "name", "count", "mean",
+        F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1)).alias("std"),
+        "min", "q25", "q50", "q75", "max")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["text", "evaluation"]
+FAMILIES = ["text", "evaluation", "ensembles", "telemetry"]
 
 
 def registered() -> dict:

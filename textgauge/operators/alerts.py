@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shaping import alert_id, rule_message
-from .ordered import mark_chain, micros, next_at_or_after
+from ..session import cut
+from .ordered import mark_chain, micros, next_at_or_after, slice_width
 from .telemetry import at_time, since
 
 # The rules a fresh monitor starts with.
@@ -41,24 +42,26 @@ def rule_hits(samples: DataFrame, rules: DataFrame) -> DataFrame:
     return samples.join(rules.where("enabled"), "metric_name").where(broken)
 
 
+# Time slices tried by the cooldown, widest first: 90 days, a day, an hour, a minute, a second.
+SLICES = (7_776_000_000_000, 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000)
+
+
 def cooldown(hits: DataFrame, tie: str, last_emitted: DataFrame | None = None,
-             windows_per_slice: int = 16) -> DataFrame:
+             max_rows: int = 500_000) -> DataFrame:
     """Hits that become alerts: per rule, none within its cooldown of the last *emitted* one.
 
     Each hit points to the first hit of its rule at least one cooldown later; the alerts are the
     path from the rule's first hit. Pointers come from a sliced look-ahead and the path from
     mark_chain, so a rule with most of the hits is spread over its time slices. last_emitted
-    (rule_id, last_ts) continues from earlier alerts.
+    (rule_id, last_ts) continues from earlier alerts. The slices are the widest that hold at most
+    max_rows instants of a rule.
     """
     pos = micros("ts")
     gap = F.col("cooldown_minutes").cast("bigint") * 60_000_000
     free = hits.where("cooldown_minutes <= 0")
     held = hits.where("cooldown_minutes > 0")
-    longest = held.agg(F.max("cooldown_minutes")).first()[0]
-    if not longest:
-        return free
-    width = int(longest) * 60_000_000 * windows_per_slice
-    points = held.groupBy("rule_id", pos.alias("pos")).agg(F.first(gap).alias("gap"))
+    points = cut(held.groupBy("rule_id", pos.alias("pos")).agg(F.first(gap).alias("gap")))
+    width = slice_width(points, ["rule_id"], "pos", max_rows, SLICES)
     probes = points.select("rule_id", (F.col("pos") + F.col("gap")).alias("at"),
                            F.col("pos").alias("src"))
     targets = points.select("rule_id", F.col("pos").alias("at"), F.col("pos").alias("to"))

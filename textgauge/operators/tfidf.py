@@ -30,13 +30,13 @@ def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def ngrams(tokens: Column, longest: int = 3) -> Column:
     """All 1- to n-grams, words joined by one space."""
-    parts = [tokens]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.concat_ws(
-            " ", *[F.element_at(tokens, (i + k).cast("int")) for k in range(n)]))
-        parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.concat(*parts) if len(parts) > 1 else tokens
+    def of(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
+        grams = F.transform(starts, lambda i: F.concat_ws(
+            " ", *[F.get(tokens, i + k) for k in range(n)]))
+        return F.coalesce(grams, F.array().cast("array<string>"))
+
+    return F.concat(tokens, *[of(n) for n in range(2, longest + 1)])
 
 
 def term_counts(df: DataFrame, key: str, text: str, longest: int = 3,

@@ -43,18 +43,21 @@ def term_counts(df: DataFrame, key: str, text: str, longest: int = 3,
                 stop_words: Sequence[str] = ()) -> DataFrame:
     """(key, term, n) for every term of every document, without a shuffle.
 
-    The row's sorted terms form runs; each run's start and the next one's give its length.
+    The row's sorted terms form runs; each run's start and the next one's give its length. The
+    outer explode matters: for a plain one Catalyst infers a filter on the array, and pushing that
+    down would put the whole array expression into every lambda call.
     """
     base = df.select(key, words(F.col(text), stop_words).alias("_w"))
-    base = base.select(key, F.array_sort(ngrams(F.col("_w"), longest)).alias("_t"))
-    index = F.sequence(F.lit(1), F.size("_t"))
-    starts = F.filter(index, lambda i: (i == 1) | (
-        F.get("_t", i - 1) != F.get("_t", i - 2)))
-    base = base.where(F.size("_t") > 0).withColumn("_s", starts)
+    base = base.select(key, F.sort_array(ngrams(F.col("_w"), longest)).alias("_t"))
+    index = F.sequence(F.lit(0), F.size("_t") - 1)
+    starts = F.when(F.size("_t") > 0, F.filter(index, lambda i: (i == 0) | (
+        F.get("_t", i) != F.get("_t", i - 1))))
     pairs = F.transform("_s", lambda s, j: F.struct(
-        F.get("_t", s - 1).alias("term"),
-        (F.coalesce(F.get("_s", j + 1), F.size("_t") + 1) - s).cast("bigint").alias("n")))
-    return base.select(key, F.explode(pairs).alias("_p")).select(key, "_p.*")
+        F.get("_t", s).alias("term"),
+        (F.coalesce(F.get("_s", j + 1), F.size("_t")) - s).cast("bigint").alias("n")))
+    runs = base.withColumn("_s", starts).select(key, pairs.alias("_r"))
+    return runs.select(key, F.explode_outer("_r").alias("_p")).where("_p IS NOT NULL").select(
+        key, "_p.*")
 
 
 def vocabulary(counts: DataFrame, documents: int, max_features: int = MAX_FEATURES,

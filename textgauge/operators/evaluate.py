@@ -114,7 +114,7 @@ def evaluate_models(df: DataFrame, labels: Sequence[str] = CLASSES) -> DataFrame
         *[F.count_if((F.col("actual") == a) & (F.col("predicted") == p)).alias(c)
           for (a, p), c in cells.items()],
         *_error_aggregates("actual_score", "predicted_score"),
-        F.avg("confidence").alias("confidence"), F.count("*").alias("_rows"))
+        F.avg("confidence").alias("confidence"), F.count("predicted").alias("_rows"))
 
     def total(pairs) -> Column:
         c = F.lit(0)
@@ -131,12 +131,13 @@ def evaluate_models(df: DataFrame, labels: Sequence[str] = CLASSES) -> DataFrame
                  "f1_score": F.try_divide(2 * hit, given + support)}
         for name, part in parts.items():
             weighted[name] = weighted[name] + F.coalesce(part, F.lit(0.0)) * support
-    out = {"accuracy": total([(x, x) for x in labels]) / F.col("_rows"),
+    out = {"accuracy": F.try_divide(total([(x, x) for x in labels]), F.col("_rows")),
            **{k: F.try_divide(v, F.col("_rows")) for k, v in weighted.items()},
            "confidence": F.col("confidence"), "mae": F.col("mae"), "rmse": F.col("rmse"),
            "r2": F.col("r2")}
     wide = sums.select("model_name", *[c.cast("double").alias(k) for k, c in out.items()])
-    return wide.unpivot("model_name", list(out), "metric", "value")
+    # A model without classes (or scores) has no classification (or error) metrics.
+    return wide.unpivot("model_name", list(out), "metric", "value").where("value IS NOT NULL")
 
 
 def mean_top_probability(df: DataFrame, by: str, probabilities: str) -> DataFrame:

@@ -112,11 +112,12 @@ def component_alerts(health: DataFrame) -> DataFrame:
 
 
 def suppress_repeats(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[str], width: int,
-                     ) -> DataFrame:
+                     open_keys: DataFrame | None = None) -> DataFrame:
     """Alerts that are raised: per key, the first one since the key was last resolved.
 
     Both tables have (keys, ts). The last resolution is found by a sliced as-of match; the first
-    alert of each span between resolutions is a plain aggregate, combined map-side.
+    alert of each span between resolutions is a plain aggregate, combined map-side. Keys in
+    `open_keys` are already open when the tables begin, so their first span raises nothing.
     """
     res = resolutions.select(*keys, "ts").distinct().withColumn("_resolved", F.col("ts"))
     spans = asof(alerts, res, keys, "ts", "_resolved", width)
@@ -124,9 +125,24 @@ def suppress_repeats(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[s
     order = [F.col("ts"), *[F.col(c) for c in rest if c != "ts"]]
     firsts = spans.groupBy(*keys, "_resolved").agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    if open_keys is not None:
+        held = open_keys.select(*keys).withColumn("_held", F.lit(True))
+        firsts = firsts.join(held, list(keys), "left").where(
+            F.col("_resolved").isNotNull() | F.col("_held").isNull())
     return firsts.select(*keys, "_r.*").select(*alerts.columns)
 
 
+def open_after(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[str],
+               open_keys: DataFrame) -> DataFrame:
+    """Keys with an unresolved alert after the given rows; a resolution precedes an equal time."""
+    a = alerts.groupBy(*keys).agg(F.max("ts").alias("_a"))
+    r = resolutions.groupBy(*keys).agg(F.max("ts").alias("_r"))
+    both = a.join(r, list(keys), "full").join(
+        open_keys.select(*keys).withColumn("_held", F.lit(True)), list(keys), "full")
+    since_resolved = F.col("_a").isNotNull() & (F.col("_r").isNull() | (F.col("_a") >= F.col("_r")))
+    return both.where(since_resolved | (F.col("_held") & F.col("_r").isNull())).select(*keys)
+
+
 def error_report(errors: DataFrame, as_of: str) -> DataFrame:
     """Errors of the last hour per severity, zeros kept."""
     recent = since(errors, as_of, 3600).groupBy("severity").agg(F.count("*").alias("n"))

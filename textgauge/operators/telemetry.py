@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import micros, top_per_key
@@ -136,31 +136,57 @@ def event_alerts(events: DataFrame) -> DataFrame:
     return events.select(*keep, F.explode(found).alias("_a")).select(*keep, "_a.*")
 
 
+def first_and_latest(snapshots: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """What the degradation check needs per model: its first five snapshots and its latest one.
+
+    Rows are (model_name, ts, metrics…, ordinal, seen): ordinal 1-5 for the first ones, 0 for the
+    latest, seen = snapshots so far. `prior` is an earlier result that `snapshots` follows.
+    """
+    metrics = list(WATCHED)
+    rows = snapshots.select("model_name", "ts", *metrics)
+    counts = rows.groupBy("model_name").agg(F.count("*").alias("_n"))
+    old = None
+    if prior is not None:
+        old = prior.where("ordinal > 0").select("model_name", "ts", *metrics)
+        seen = prior.groupBy("model_name").agg(F.max("seen").alias("_old"))
+        counts = counts.join(seen, "model_name", "full").select(
+            "model_name", (F.coalesce("_n", F.lit(0)) + F.coalesce("_old", F.lit(0))).alias("_n"))
+    early = top_per_key(rows if old is None else rows.unionByName(old), ["model_name"],
+                        [F.col("ts")], BASELINE_SNAPSHOTS)
+    w = Window.partitionBy("model_name").orderBy("ts")
+    early = early.withColumn("ordinal", F.row_number().over(w))
+    ends = rows if prior is None else rows.unionByName(
+        prior.where("ordinal = 0").select("model_name", "ts", *metrics))
+    last = latest_snapshot(ends).withColumn("ordinal", F.lit(0))
+    return early.unionByName(last).join(
+        counts.withColumnRenamed("_n", "seen"), "model_name")
+
+
 def degradation(snapshots: DataFrame, threshold: float = DEGRADATION) -> DataFrame:
     """Per model: relative change of its latest snapshot against its baseline, and the verdict.
 
     The baseline is the mean of the first five snapshots, or of all but the latest where there are
     fewer than five. With exactly five it holds the latest one too. Fewer than two: no verdict.
     """
-    metrics = list(WATCHED)
-    last = snapshots.groupBy("model_name").agg(
-        F.count("*").alias("snapshots"),
-        *[F.max_by(m, "ts").alias(f"last_{m}") for m in metrics], F.max("ts").alias("_last"))
-    early = top_per_key(snapshots.select("model_name", "ts", *metrics), ["model_name"],
-                        [F.col("ts")], BASELINE_SNAPSHOTS)
-    few = F.col("snapshots") < BASELINE_SNAPSHOTS
-    base = early.join(last.select("model_name", "snapshots", "_last"), "model_name").where(
-        ~few | (F.col("ts") < F.col("_last"))).groupBy("model_name").agg(
-        *[F.avg(m).alias(f"base_{m}") for m in metrics])
-    out = last.join(base, "model_name", "left")
-    worse = F.lit(False)
+    return judge_degradation(first_and_latest(snapshots), threshold)
+
+
+def judge_degradation(kept: DataFrame, threshold: float = DEGRADATION) -> DataFrame:
+    """The degradation check on rows of first_and_latest: one small groupBy per model."""
+    n, o = F.col("seen"), F.col("ordinal")
+    baseline = (o > 0) & ((n >= BASELINE_SNAPSHOTS) | (o < n))
+    sums = kept.groupBy("model_name").agg(
+        F.max("seen").alias("snapshots"),
+        *[F.avg(F.when(baseline, F.col(m))).alias(f"base_{m}") for m in WATCHED],
+        *[F.max(F.when(o == 0, F.col(m))).alias(f"last_{m}") for m in WATCHED])
+    worse, names = F.lit(False), []
     for m, sign in WATCHED.items():
         b, v = F.col(f"base_{m}"), F.col(f"last_{m}")
         change = F.when(b > 0, F.lit(float(sign)) * (v - b) / b)
-        out = out.withColumn(f"{m}_drop" if sign < 0 else f"{m}_rise", change)
+        names.append(f"{m}_drop" if sign < 0 else f"{m}_rise")
+        sums = sums.withColumn(names[-1], change)
         worse = worse | F.coalesce(change > threshold, F.lit(False))
-    names = [f"{m}_drop" if s < 0 else f"{m}_rise" for m, s in WATCHED.items()]
-    return out.withColumn("retrain", worse & (F.col("snapshots") >= 2)).select(
+    return sums.withColumn("retrain", worse & (F.col("snapshots") >= 2)).select(
         "model_name", "snapshots", *names, "retrain")
 
 

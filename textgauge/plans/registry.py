@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["text", "evaluation", "ensembles", "telemetry", "service", "learning"]
+FAMILIES = ["text", "evaluation", "ensembles", "telemetry", "service", "learning", "streams"]
 
 
 def registered() -> dict:

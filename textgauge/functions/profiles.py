@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .text import (
-    SPACE, bounded, count, count_listed, count_literal, count_spans, expand, flatten, mark_words,
-    marked, tokens,
+    SPACE, beyond_ascii, bounded, count, count_listed, count_spans, count_standing, expand, flatten,
+    mark_words, tokens,
 )
 
 CORE_FEATURES = [
@@ -72,7 +72,7 @@ def core_profile(
     for name, terms in words.items():
         cols[name] = count_listed(t, F.col("_marked"), terms)
     cols["basic_math"] = count(t, lx.BASIC_MATH)
-    cols["advanced_math"] = count(t, lx.ADVANCED_MATH)
+    cols["advanced_math"] = count(t, beyond_ascii(lx.ADVANCED_MATH))
     cols["complexity_notation"] = count(t, lx.BIG_O, "o(")
     cols["constraints"] = count(t, lx.CONSTRAINTS, "constraint", "limit", "≤")
     cols["optimization"] = count(t, lx.OPTIMIZATION, *lx.OPTIMIZATION.split("|"))
@@ -128,11 +128,11 @@ def wide_profile(
         total = _zero()
         if not literal:
             for term in terms:
-                total = total + count_literal(F.col("_marked"), marked(term))
+                total = total + count_standing(t, F.col("_marked"), term)
         return total
 
     cols = {name: phrases(terms) * F.lit(weight) for name, (weight, terms) in tiers.items()}
-    cols["advanced_math_symbols"] = count(t, lx.WIDE_MATH)
+    cols["advanced_math_symbols"] = count(t, beyond_ascii(lx.WIDE_MATH))
     cols["mathematical_functions"] = listed(lx.MATH_FUNCTIONS)
     cols["big_o_notation"] = F.lit(0.0) if literal else count(t, lx.BIG_O, "o(") * F.lit(3.0)
     cols["time_complexity_mentions"] = spans(lx.TIME_MENTIONS) * F.lit(4.0)

@@ -92,12 +92,21 @@ def marked(phrase: str) -> str:
     return " ".join(f"{OPEN}{w}{CLOSE}" for w in phrase.split(" "))
 
 
-def count_literal(c: Column, literal: str) -> Column:
-    """Non-overlapping occurrences of a literal, without a regular expression."""
-    size = len(literal.encode())
-    gone = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(literal), F.lit("")))
-    n = (gone / F.lit(size)).cast("bigint")
-    return F.when(F.contains(c, F.lit(literal)), n).otherwise(F.lit(0).cast("bigint"))
+def count_standing(plain: Column, words_marked: Column, phrase: str) -> Column:
+    """Occurrences of a phrase standing alone, without a regular expression.
+
+    The plain text is searched first: it is shorter, and most phrases are in few texts.
+    """
+    literal = marked(phrase)
+    gone = F.octet_length(words_marked) - F.octet_length(
+        F.replace(words_marked, F.lit(literal), F.lit("")))
+    n = (gone / F.lit(len(literal.encode()))).cast("bigint")
+    return F.when(F.contains(plain, F.lit(phrase)), n).otherwise(F.lit(0).cast("bigint"))
+
+
+def beyond_ascii(symbols: str) -> str:
+    """A class of non-ASCII symbols that dismisses every ASCII character at its first check."""
+    return f"[\\x{{80}}-\\x{{10ffff}}&&{symbols}]"
 
 
 def count_listed(plain: Column, words_marked: Column, terms: Iterable[str]) -> Column:
@@ -111,7 +120,7 @@ def count_listed(plain: Column, words_marked: Column, terms: Iterable[str]) -> C
     if all(w.isalnum() for w in parts) and len(parts) == len(set(parts)):
         total = F.lit(0).cast("bigint")
         for term in terms:
-            total = total + count_literal(words_marked, marked(term))
+            total = total + count_standing(plain, words_marked, term)
         return total
     heads = [t.split(".")[0].split(" ")[0] for t in terms]
     return count(plain, bounded(terms), *heads)

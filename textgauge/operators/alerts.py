@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shaping import alert_id, rule_message
-from ..session import cut
+from ..session import cut, small
 from .ordered import mark_chain, micros, next_at_or_after, slice_width
 from .telemetry import at_time, since
 
@@ -70,7 +70,7 @@ def cooldown(hits: DataFrame, tie: str, last_emitted: DataFrame | None = None,
     open_ = points
     if last_emitted is not None:
         carry = last_emitted.select("rule_id", micros("last_ts").alias("_last"))
-        open_ = points.join(carry, "rule_id", "left").where(
+        open_ = points.join(small(carry), "rule_id", "left").where(
             F.col("_last").isNull() | (F.col("pos") - F.col("_last") >= F.col("gap")))
     starts = open_.groupBy("rule_id").agg(F.min("pos").alias("pos"))
     emitted = mark_chain(nodes, starts, "rule_id", width).withColumnRenamed("pos", "_pos")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 from .ordered import (carry_last, carry_next, mark_chain, micros, next_at_or_after, rank_in_key,
                       running_count, slice_of, top_per_key)
 
@@ -58,6 +58,7 @@ def replay(calls: DataFrame, failure_threshold: int = FAILURES_TO_OPEN,
     base = cut(base)
     sizes = base.groupBy("circuit").agg(F.max("_pos").alias("_n"))
 
+    sizes = small(sizes)
     state = _start_states(sizes, carry)
     if consecutive:
         # A run that began before the first call here goes on from the carried count.
@@ -107,7 +108,7 @@ def replay(calls: DataFrame, failure_threshold: int = FAILURES_TO_OPEN,
     spans = cut(spans.select("circuit", "pos", "probe", "close", F.col("_fails").alias("base"),
                              F.coalesce("_again", F.when(closes, later)).alias("nxt")))
 
-    virtual = spans.where("pos = 0")
+    virtual = small(spans.where("pos = 0"))
     if consecutive:
         first = base.where("_ripe IS NOT NULL").groupBy("circuit").agg(F.min("_pos").alias("pos"))
         first = state.where("_state = 'closed'").select("circuit").join(first, "circuit")
@@ -159,10 +160,11 @@ def _start_states(sizes: DataFrame, carry: DataFrame | None) -> DataFrame:
                             F.lit(0).cast("bigint").alias("failure_count"),
                             F.lit(0).cast("bigint").alias("success_count"),
                             F.lit(None).cast("timestamp").alias("last_failure"))
-    return sizes.select("circuit").join(carry, "circuit", "left").select(
+    return small(sizes.select("circuit").join(carry, "circuit", "left").select(
         "circuit", F.coalesce("state", F.lit("closed")).alias("_state"),
         F.coalesce("failure_count", F.lit(0)).cast("bigint").alias("failure_count"),
-        F.coalesce("success_count", F.lit(0)).cast("bigint").alias("success_count"), "last_failure")
+        F.coalesce("success_count", F.lit(0)).cast("bigint").alias("success_count"),
+        "last_failure"))
 
 
 def _replay_controlled(calls: DataFrame, controls: DataFrame, carry: DataFrame | None,

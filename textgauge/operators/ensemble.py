@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES
+from ..session import small
 
 # Answers when nothing was predicted, and the rules of weight adaptation.
 DEFAULT_CLASS, DEFAULT_SCORE = "medium", 5.0
@@ -60,7 +61,7 @@ def weighted_vote(predictions: DataFrame, weights: DataFrame, labels: Sequence[s
 
     A model without a weight counts with none.
     """
-    joined = predictions.join(weights.select("model_name", "weight"), "model_name", "left")
+    joined = predictions.join(small(weights.select("model_name", "weight")), "model_name", "left")
     w = F.coalesce(F.col("weight"), F.lit(0.0))
     extra = [_details().alias("individual_predictions")] if details else []
     return joined.groupBy("id").agg(

@@ -243,7 +243,8 @@ def best_models(metrics: DataFrame, confidence_threshold: float = 0.8) -> DataFr
 def single_best(predictions: DataFrame, metrics: DataFrame) -> DataFrame:
     """Class and confidence of the best classifier with the score of the best regressor."""
     best = best_models(metrics).select("task", "model_name")
-    hit = predictions.join(best, "model_name")
+    # One row per task.
+    hit = predictions.join(F.broadcast(best), "model_name")
     cls, reg = F.col("task") == "classification", F.col("task") == "regression"
     return hit.groupBy("id").agg(
         F.max(F.when(cls, F.col("predicted"))).alias("predicted"),

@@ -59,7 +59,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     Each of `salts` shares of a key keeps its own first n before the key is brought together, so
     the last step sees at most n * salts rows of any key.
     """
-    base = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    plain = [f.name for f in df.schema if not any(
+        t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    base = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
     first = base.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= n)
@@ -200,28 +202,10 @@ def mark_chain(nodes: DataFrame, starts: DataFrame, key: str, width: int) -> Dat
     """
     base = cut(nodes.select(key, "pos", "nxt", slice_of("pos", width).alias("chunk")))
     kind = base.schema[key].dataType.simpleString()
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        out = _exits(pdf["pos"].to_numpy(), pdf["nxt"])
-        return pd.DataFrame({key: pdf[key], "pos": pdf["pos"], "leaves": out})
-
-    exits = cut(base.groupBy(key, "chunk").applyInPandas(
-        leave, f"{key} {kind}, pos bigint, leaves bigint"))
-    first = starts.select(key, "pos")
-    targets = exits.where("leaves IS NOT NULL").select(key, F.col("leaves").alias("pos"))
-    entries = targets.unionByName(first).distinct()
-    jump = cut(exits.join(entries, [key, "pos"], "left_semi").select(
-        key, "pos", F.col("leaves").alias("to")))
+    reached = starts.select(key, "pos")
     chunks = base.groupBy(key).agg(F.count_distinct("chunk").alias("n")).agg(F.max("n")).first()[0]
-    reached = first
-    for _ in range(max(int(chunks or 1), 1).bit_length()):
-        step = reached.join(jump, [key, "pos"]).where("to IS NOT NULL").select(
-            key, F.col("to").alias("pos"))
-        reached = cut(reached.unionByName(step).distinct())
-        far = jump.select(key, F.col("pos").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(far, [key, "to"], "left").select(
-            key, "pos", F.col("far").alias("to")))
+    if (chunks or 1) > 1:
+        reached = _entries(base, reached, key, kind, int(chunks))
     entry = reached.select(
         F.col(key).alias("_k"), F.col("pos").alias("entry"),
         slice_of("pos", width).alias("_c"))
@@ -241,6 +225,31 @@ def mark_chain(nodes: DataFrame, starts: DataFrame, key: str, width: int) -> Dat
     return inside.groupBy(key, "chunk").applyInPandas(walk, f"{key} {kind}, pos bigint")
 
 
+def _entries(base: DataFrame, starts: DataFrame, key: str, kind: str, chunks: int) -> DataFrame:
+    """The node by which the path from each start enters each of its chunks."""
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        out = _exits(pdf["pos"].to_numpy(), pdf["nxt"])
+        return pd.DataFrame({key: pdf[key], "pos": pdf["pos"], "leaves": out})
+
+    exits = cut(base.groupBy(key, "chunk").applyInPandas(
+        leave, f"{key} {kind}, pos bigint, leaves bigint"))
+    targets = exits.where("leaves IS NOT NULL").select(key, F.col("leaves").alias("pos"))
+    nodes = targets.unionByName(starts).distinct()
+    jump = cut(exits.join(nodes, [key, "pos"], "left_semi").select(
+        key, "pos", F.col("leaves").alias("to")))
+    reached = starts
+    # After r rounds the path's first 2^r nodes are known; it enters each chunk once.
+    for _ in range((chunks - 1).bit_length()):
+        step = reached.join(jump, [key, "pos"]).where("to IS NOT NULL").select(
+            key, F.col("to").alias("pos"))
+        reached = cut(reached.unionByName(step).distinct())
+        far = jump.select(key, F.col("pos").alias("to"), F.col("to").alias("far"))
+        jump = cut(jump.join(far, [key, "to"], "left").select(
+            key, "pos", F.col("far").alias("to")))
+    return reached
+
+
 def _exits(pos: np.ndarray, nxt: pd.Series) -> pd.Series:
     """For each node of a chunk, the first node outside the chunk on its path (NULL: path ends)."""
     far = np.iinfo(np.int64).max
@@ -277,6 +286,8 @@ def exact_quantiles(tally: DataFrame, probabilities: Sequence[float], cells: int
     edges = tally.groupBy("name").agg(
         F.array_distinct(F.percentile_approx("v", steps, 10_000)).alias("edges"),
         F.sum("n").alias("total"))
+    # One row per profiled column.
+    edges = F.broadcast(cut(edges))
     placed = tally.join(edges.drop("total"), "name").withColumn(
         "cell", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
     before = Window.partitionBy("name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -291,10 +302,11 @@ def exact_quantiles(tally: DataFrame, probabilities: Sequence[float], cells: int
     inner = Window.partitionBy("name", "cell").orderBy("v").rowsBetween(
         Window.unboundedPreceding, 0)
     need = found.select("name", "cell").distinct()
-    ladder = placed.join(need, ["name", "cell"], "left_semi").withColumn(
+    # At most two ranks per column and probability.
+    ladder = placed.join(F.broadcast(need), ["name", "cell"], "left_semi").withColumn(
         "upto", F.sum("n").over(inner))
     top = F.col("below") + F.col("upto")
-    hit = ladder.join(found, ["name", "cell"]).where(
+    hit = ladder.join(F.broadcast(found), ["name", "cell"]).where(
         (F.col("rank") >= top - F.col("n")) & (F.col("rank") < top))
     ends = hit.groupBy("name", "probability", "at").agg(
         F.min_by("v", "rank").alias("lo"), F.max_by("v", "rank").alias("hi"))
@@ -310,7 +322,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum("n").alias("count"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("v").alias("min"), F.max("v").alias("max"))
     off = F.pow(F.col("v") - F.col("mean"), 2) * F.col("n")
-    spread = tally.join(base.select("name", "mean"), "name").groupBy("name").agg(
+    spread = tally.join(F.broadcast(base.select("name", "mean")), "name").groupBy("name").agg(
         F.sum(off).alias("_ss"))
     q = exact_quantiles(tally, [0.25, 0.5, 0.75]).groupBy("name").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("value"))).alias(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from .ordered import rank_in_key
 
 
@@ -47,7 +48,8 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     hashed = df.withColumn("_digest", digest).withColumn(
         "_chunk", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
     ranked = rank_in_key(hashed, [label], "_chunk", [F.col("_digest"), F.col(key)], "_rank")
-    quotas = test_quotas(class_counts(df, label), label, test_share).select(label, "test_rows")
+    quotas = small(
+        test_quotas(class_counts(df, label), label, test_share).select(label, "test_rows"))
     return ranked.join(quotas, label).withColumn(
         "split", F.when(F.col("_rank") <= F.col("test_rows"), "test").otherwise("train")
     ).select(*df.columns, "split")

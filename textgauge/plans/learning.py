@@ -60,13 +60,13 @@ def term_digest(spark, sf):
 
 
 def vocab(spark, sf):
-    c = cut(counts(spark, sf, 3))
+    c = counts(spark, sf, 3)
     n = table(spark, sf, "documents").count()
     return rounded(tfidf.vocabulary(c, n), "idf")
 
 
 def weighted(spark, sf):
-    c = cut(counts(spark, sf, 2))
+    c = counts(spark, sf, 2)
     n = table(spark, sf, "documents").count()
     return rounded(tfidf.weights(c, "doc_id", tfidf.vocabulary(c, n)), "weight")
 
@@ -74,7 +74,7 @@ def weighted(spark, sf):
 def selected(spark, sf):
     p = problems(spark, sf).select(F.col("problem_id").alias("doc_id"),
                                    F.col("description").alias("text"), "problem_class")
-    c = cut(tfidf.term_counts(p, "doc_id", "text", 1, STOP))
+    c = tfidf.term_counts(p, "doc_id", "text", 1, STOP)
     w = tfidf.weights(c, "doc_id", tfidf.vocabulary(c, p.count()))
     scores = tfidf.class_scores(w, p.select("doc_id", "problem_class"), "doc_id", "problem_class")
     return rounded(scores, "score")

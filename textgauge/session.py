@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most max_rows rows, else df as it is.
+
+    For per-class, per-model or per-circuit tables whose join key is a busy one: broadcasting keeps
+    the large side where it is. The rows are fetched once, and never more than max_rows + 1.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared folder."""
     import uuid

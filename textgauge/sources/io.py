@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.ordered import rank_in_key
 
 EXPORTS = ("json", "csv")
 
@@ -16,16 +17,15 @@ def read_problems(spark: SparkSession, path: str) -> DataFrame:
     The id is a digest of the row, so it does not depend on how the files are read; rows that are
     equal in every field get the same id and are told apart by their copy number.
     """
-    from pyspark.sql import Window
-
     raw = spark.read.schema(schemas.PROBLEM).json(path)
     named = raw.withColumnsRenamed({"input_description": "input_desc",
                                     "output_description": "output_desc"})
     row = F.to_json(F.struct(*named.columns), {"ignoreNullFields": "false"})
-    same = Window.partitionBy("_d").orderBy(F.lit(0))
-    return named.withColumn("_d", F.md5(row)).withColumn(
-        "problem_id", F.xxhash64("_d", F.row_number().over(same))).drop("_d").withColumn(
-        "problem_score_scaled", F.col("problem_score"))
+    marked = named.withColumns({"_d": F.md5(row), "_chunk": F.spark_partition_id()})
+    # Copies are numbered per input partition first: one text may make up much of the input.
+    numbered = rank_in_key(marked, ["_d"], "_chunk", [F.lit(0)], "_copy")
+    return numbered.withColumn("problem_id", F.xxhash64("_d", "_copy")).drop(
+        "_d", "_chunk", "_copy").withColumn("problem_score_scaled", F.col("problem_score"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

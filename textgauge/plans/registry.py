@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["text", "evaluation", "ensembles", "telemetry", "service", "learning", "streams"]
+FAMILIES = [
+    "text", "evaluation", "ensembles", "telemetry", "service", "learning", "streams", "exports",
+]
 
 
 def registered() -> dict:

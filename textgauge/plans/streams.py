@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import alerts as al
 from ..streaming import jobs
 from ..streaming.state import places
-from .fixtures import TELEMETRY_SQL, rounded, table
+from ..operators import telemetry as tm
+from ..session import scratch
+from .ensembles import START_SQL, start_weights
+from .fixtures import SNAPSHOTS_SQL, TELEMETRY_SQL, rounded, snapshots, table
 from .service import EMITTED_SQL, RULES, replay_sql
-from .telemetry import PREDICTION_ALERTS_SQL
+from .telemetry import (DAY_US, PREDICTION_ALERTS_SQL, RAISED_SQL, alert_rows, component_rows,
+                        degraded_sql)
 
 
 def stream(spark, sf, name):
@@ -106,7 +110,70 @@ def circuit_stream(spark, sf):
     return spark.read.parquet(spots[2]).select("call_id", "circuit", "state", "outcome", "opened")
 
 
+def in_files(df, spark, name, parts=3):
+    """A derived table as a stream of a few files, in order of time."""
+    path = f"{scratch(spark, name)}"
+    df.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def raised_stream(spark, sf):
+    """Component alerts and resolutions as one stream of events."""
+    keys = ["component", "severity", "alert_message"]
+    alerts = alert_rows(spark, sf).select(
+        "component", "severity", F.regexp_replace("alert_message", "[0-9.]+", "N").alias(
+            "alert_message"), "ts", "event_id").withColumn("kind", F.lit("alert"))
+    kinds = alerts.select(*keys).distinct()
+    done = component_rows(spark, sf).where(
+        (F.col("status") == "healthy") & (F.col("event_id") % 6 == 0)).join(kinds, "component")
+    rows = alerts.unionByName(done.select(*keys, "ts", "event_id", F.lit("resolve").alias("kind")))
+    spots = places(spark, "raised")
+    finished(jobs.raised_alerts(in_files(rows, spark, "component_events", 1), keys, DAY_US, *spots))
+    return spark.read.parquet(spots[2]).select("event_id", *keys)
+
+
+def degradation_stream(spark, sf):
+    """The verdicts after the last micro-batch."""
+    spots = places(spark, "degradation")
+    rows = snapshots(spark, sf).select("model_name", "ts", *tm.WATCHED)
+    finished(jobs.degradations(in_files(rows, spark, "snapshots", 1), *spots))
+    out = spark.read.parquet(spots[2])
+    newest = out.agg(F.max("batch")).first()[0]
+    return rounded(out.where(F.col("batch") == newest).drop("batch"), "accuracy_drop",
+                   "f1_score_drop", "mae_rise", "avg_confidence_drop")
+
+
+def weight_stream(spark, sf):
+    """Weights after each day's report of the models' accuracy."""
+    rows = snapshots(spark, sf).where("accuracy IS NOT NULL").select(
+        F.dayofyear("ts").cast("bigint").alias("seq"), "model_name", "ts",
+        F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")).where("seq <= 8")
+    spots = places(spark, "weights")
+    finished(jobs.adaptive_weights(in_files(rows, spark, "reports", 1), start_weights(spark, sf),
+                                   *spots))
+    out = spark.read.parquet(spots[2]).select("seq", "model_name", "weight")
+    return rounded(out.withColumn("seq", F.col("seq").cast("bigint")), "weight")
+
+
+WEIGHT_STREAM_SQL = f"""
+  WITH RECURSIVE s AS MATERIALIZED (SELECT model_name, dayofyear(ts) AS seq, accuracy AS value
+      FROM ({SNAPSHOTS_SQL}) q WHERE accuracy IS NOT NULL),
+  w0 AS MATERIALIZED ({START_SQL}),
+  r AS (
+    SELECT CAST(1 AS BIGINT) AS seq, model_name, CAST(weight AS DOUBLE) AS weight FROM w0
+    UNION ALL
+    SELECT seq, model_name, w / sum(w) OVER () FROM (
+      SELECT r.seq + 1 AS seq, r.model_name, CASE WHEN value IS NULL THEN weight
+          ELSE greatest(weight * CASE WHEN value > 0.7 THEN 1.05 WHEN value < 0.5 THEN 0.95 ELSE 1.0
+            END, 0.01) END AS w
+      FROM r LEFT JOIN s ON s.seq = r.seq + 1 AND s.model_name = r.model_name WHERE r.seq < 8) x)
+  SELECT seq, model_name, round(weight, 6) AS weight FROM r WHERE seq IN (SELECT seq FROM s)"""
+
+
 QUERIES = {
+    "str_raised_alerts": (raised_stream, RAISED_SQL),
+    "str_degradations": (degradation_stream, degraded_sql()),
+    "str_adaptive_weights": (weight_stream, WEIGHT_STREAM_SQL),
     "str_windowed_metrics": (windows, WINDOWS_SQL),
     "str_event_alerts": (stream_alerts, PREDICTION_ALERTS_SQL),
     "str_once_within": (deduplicated, "SELECT event_id, event_type AS model_name FROM events"),

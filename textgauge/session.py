@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "textgauge", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults above; a cluster's own settings win unless given here."""
     builder = SparkSession.builder.appName(app)
@@ -32,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _LOCAL.setdefault("dir", "") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        _LOCAL["dir"] = named
     return named
 
 
@@ -59,6 +63,4 @@ def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared folder."""
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

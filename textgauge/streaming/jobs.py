@@ -158,9 +158,11 @@ def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str
         if i == 0:
             known = spark.createDataFrame([], schema)
         else:
+            # Older entries have expired, so their files are skipped by their statistics.
+            oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
             known = spark.read.schema(schema + ", batch int").parquet(cache_path).where(
-                F.col("batch") < i).drop("batch")
-        answers, fresh = cache.serve(asked, cut(known), as_of, score, answer, ttl_seconds, "voting")
+                (F.col("batch") < i) & (F.col("ts") >= oldest)).drop("batch")
+        answers, fresh = cache.serve(asked, known, as_of, score, answer, ttl_seconds, "voting")
         fresh = cut(fresh)
         write_batch(answers.drop("combined_text"), f"{out}/answers", i)
         write_batch(bad, f"{out}/rejected", i)

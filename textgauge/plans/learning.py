@@ -115,7 +115,7 @@ def vectors(spark, sf):
 
 
 def neighbours(spark, sf):
-    out = balance.nearest(vectors(spark, sf), "vec_id", "label", "x", 7, block_rows=200)
+    out = balance.nearest(vectors(spark, sf), "vec_id", "label", "x", 7, block_rows=20)
     return rounded(out, "distance")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import posixpath
 import re
+import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,14 @@ def arrow_pass(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list
     return df.mapInArrow(run, schema)
 
 
+def per_worker(key: Hashable, make: Callable[[], object]):
+    """What make gives, made once in each Python worker and kept for the tasks that it runs later."""
+    kept = sys.__dict__.setdefault("_textgauge_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder's URI under the shared folder."""
     root = shared_dir(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language, sharding, tokens, vectors, warc
 from .common import table
 
 
@@ -33,6 +33,52 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def op2_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN least <> page_id THEN least END AS refers_to
+FROM r"""
+
+
+def op3_language_by_compression(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_separator_token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_segment_statistics_top_k(spark, sf_dir):
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op10_lookup_table_sharding(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents"), ["doc_id"], sharding.fill_table(sharding.shard_names()))
+
+
 QUERIES = {
     "op1_wu_manber_decontamination": (op1_wu_manber_decontamination, OP1_SQL),
+    "op2_warc_round_trip": (op2_warc_round_trip, OP2_SQL),
+    "op3_language_by_compression": (op3_language_by_compression, None),
+    "op4_separator_token_counts": (op4_separator_token_counts, None),
+    "op9_segment_statistics_top_k": (op9_segment_statistics_top_k, OP9_SQL),
+    "op10_lookup_table_sharding": (op10_lookup_table_sharding, None),
 }

@@ -14,7 +14,7 @@ The result equals that of the tiktoken library for ranks and pattern, without sp
 pre-token are that library's; the cutting into pre-tokens is done with class tables over code points here.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; rows without id or with repeated ids are each
-encoded; an empty table gives an empty result; further columns are ignored, or kept by `encode_rows`.
+encoded; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -282,6 +282,23 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None, block_chars:
     return _reassemble(documents, vocabulary, block_chars, work, DIGESTS)
 
 
+def encode_rows(documents: DataFrame, vocabulary: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per document: doc_id, its ids, their number, and the digests of `round_trip`."""
+
+    def work(blocks: pa.Table, answers: pa.Table, path: str) -> pa.Table:
+        table = per_worker(("bytes", path), lambda: ByteTable(path))
+        rows = []
+        for doc_id, ids, words, texts in _documents(blocks, answers):
+            numbers = " ".join(map(texts.__getitem__, words))
+            rows.append((doc_id, ids.astype(np.int32), len(ids),
+                         hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(table.decode(ids)).hexdigest()))
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _reassemble(documents, vocabulary, block_chars, work, f"doc_id bigint, ids array<int>, {DIGESTS[15:]}")
+
+
 def encode(documents: DataFrame, vocabulary: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document: doc_id and its ids."""
 

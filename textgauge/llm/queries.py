@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, sharding, tokens, vectors, warc
+from . import bpe, decontaminate, language, licenses, neardup, pii, sharding, tokens, vectors, warc
 from .common import table
 
 
@@ -56,6 +56,37 @@ def op4_separator_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_ordered_license_rules(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_word_shape_field_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_distinct_word_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_count_vector_jaccard_join(spark, sf_dir):
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> ''), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
+
+
 def op9_segment_statistics_top_k(spark, sf_dir):
     return vectors.search(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +110,10 @@ QUERIES = {
     "op2_warc_round_trip": (op2_warc_round_trip, OP2_SQL),
     "op3_language_by_compression": (op3_language_by_compression, None),
     "op4_separator_token_counts": (op4_separator_token_counts, None),
+    "op5_ordered_license_rules": (op5_ordered_license_rules, None),
+    "op6_word_shape_field_pii": (op6_word_shape_field_pii, None),
+    "op7_distinct_word_bpe": (op7_distinct_word_bpe, None),
+    "op8_count_vector_jaccard_join": (op8_count_vector_jaccard_join, OP8_SQL),
     "op9_segment_statistics_top_k": (op9_segment_statistics_top_k, OP9_SQL),
     "op10_lookup_table_sharding": (op10_lookup_table_sharding, None),
 }

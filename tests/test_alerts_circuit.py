@@ -170,7 +170,7 @@ def test_suppression_stream_equals_steps(spark, fresh):
                                     df.where("kind = 'resolve'").select(*keys, "ts"), keys, 50_000_000)
     assert sorted(r["event_id"] for r in batch.collect()) == want
     spots = places(spark, "t")
-    jobs.raised_alerts(files(spark, rows, schema, f"{fresh}/in", 3), keys, 50_000_000,
+    jobs.raised_alerts(files(spark, rows, schema, f"{fresh}/in", 3), keys,
                        *spots).awaitTermination()
     assert sorted(r["event_id"] for r in spark.read.parquet(spots[2]).collect()) == want
 

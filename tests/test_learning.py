@@ -67,8 +67,7 @@ def test_oversample_balances_between_neighbours(spark):
         assert min(q[3] for q in mine) <= r["s"] <= max(q[3] for q in mine)
         for k in range(2):
             assert min(q[2][k] for q in mine) <= r["x"][k] <= max(q[2][k] for q in mine)
-    plain = balance.balance(df, "id", "c", "x", 20_000, score="s")
-    assert plain.count() == 47
+    assert balance.balance(df, "id", "c", "x", k=3, score="s").count() == 90
 
 
 def test_redrawn_scores_come_from_the_class(spark):
@@ -130,7 +129,7 @@ def test_saved_model_scores_alike_and_must_be_whole(spark, trained, fresh):
 
     def scores(m):
         return {r["problem_id"]: (r["cls"], round(r["raw_score"], 9), round(r["confidence_raw"], 9))
-                for r in m.score(rows, "problem_id", "combined_text").collect()}
+                for r in m.score(rows, "combined_text").collect()}
     assert scores(model) == scores(again)
     manifest = spark.read.schema(store.MANIFEST).json(f"{fresh}/model/manifest")
     manifest.where("part != 'scorer'").write.json(f"{fresh}/part/manifest")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import lexicons as lx
 from .text import (
     SPACE, beyond_ascii, bounded, count, count_listed, count_spans, count_standing, expand, flatten,
-    mark_words, tokens,
+    is_blank, mark_words, tokens,
 )
 
 CORE_FEATURES = [
@@ -143,7 +143,7 @@ def wide_profile(
     for name, terms in words.items():
         cols[name] = listed(terms)
     cols["sentence_count"] = F.size(
-        F.filter(F.split(t, "[.!?]+"), lambda s: F.trim(s) != "")).cast("bigint")
+        F.filter(F.split(t, "[.!?]+"), lambda s: ~is_blank(s))).cast("bigint")
     cols["text_len"] = F.length(t).cast("bigint")
     cols |= _lexical(F.col("_words"), F.array_join(F.col("_words"), " "))
     cols["io_complexity"] = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shaping import alert_id, rule_message
 from ..session import cut, small
-from .ordered import mark_chain, micros, next_at_or_after, slice_width
+from .ordered import SLICES, mark_chain, micros, next_at_or_after, slice_width
 from .telemetry import at_time, since
 
 # The rules a fresh monitor starts with.
@@ -42,10 +42,6 @@ def rule_hits(samples: DataFrame, rules: DataFrame) -> DataFrame:
     return samples.join(rules.where("enabled"), "metric_name").where(broken)
 
 
-# Time slices tried by the cooldown, widest first: 90 days, a day, an hour, a minute, a second.
-SLICES = (7_776_000_000_000, 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000)
-
-
 def cooldown(hits: DataFrame, tie: str, last_emitted: DataFrame | None = None,
              max_rows: int = 500_000) -> DataFrame:
     """Hits that become alerts: per rule, none within its cooldown of the last *emitted* one.
@@ -139,12 +135,11 @@ def frequent_rules(alerts: DataFrame, as_of: str, n: int = 10) -> DataFrame:
 def remediate(alerts: DataFrame, actions: dict[str, Callable[[DataFrame], None]]) -> list[str]:
     """Hand each rule's alerts to its remediation function; returns the rules that were run.
 
-    For use in foreachBatch: the functions get the rule's alerts as a DataFrame.
+    For use in foreachBatch: the functions get the rule's alerts as a DataFrame. The alerts are
+    computed once, and one look says which of the given rules have any.
     """
-    ran = []
-    for rule, action in actions.items():
-        mine = alerts.where(F.col("rule_id") == rule)
-        if not mine.isEmpty():
-            action(mine)
-            ran.append(rule)
-    return ran
+    mine = cut(alerts.where(F.col("rule_id").isin(list(actions))))
+    found = {r[0] for r in mine.select("rule_id").distinct().collect()}  # the given rules at most
+    for rule in (r for r in actions if r in found):
+        actions[rule](mine.where(F.col("rule_id") == rule))
+    return [r for r in actions if r in found]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ordered import newest
 from .telemetry import at_time
 from .validate import FALLBACK
@@ -65,12 +66,14 @@ def serve(requests: DataFrame, cache: DataFrame, as_of: str,
           model: str = "unknown") -> tuple[DataFrame, DataFrame]:
     """(answers, new cache entries): hits come from the cache, each distinct miss is scored once.
 
+    The look-up and the scores are written to the shared folder once, as both results need them.
+
     score_fn maps rows (input_hash, …) to the same rows with the `answer` columns.
     """
-    found = lookup(requests, cache, as_of)
+    found = cut(lookup(requests, cache, as_of))
     hits = found.where("cached")
     todo = found.where("NOT cached").select(*requests.columns).dropDuplicates(["input_hash"])
-    scored = score_fn(todo).select("input_hash", *answer)
+    scored = cut(score_fn(todo).select("input_hash", *answer))
     misses = found.where("NOT cached").drop(*answer).join(scored, "input_hash")
     columns = [*requests.columns, *answer, "cached", "cache_source"]
     fresh = scored.withColumns({

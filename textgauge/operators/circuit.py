@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, small
 from .ordered import (carry_last, carry_next, mark_chain, micros, next_at_or_after, rank_in_key,
-                      running_count, slice_of, top_per_key)
+                      running_count, slice_of, slice_width, top_per_key)
 
 # Breaker settings.
 FAILURES_TO_OPEN = 5
@@ -30,7 +30,7 @@ CARRY = ("circuit string, state string, failure_count bigint, success_count bigi
 def replay(calls: DataFrame, failure_threshold: int = FAILURES_TO_OPEN,
            recovery_timeout: int = SECONDS_TO_PROBE, success_threshold: int = SUCCESSES_TO_CLOSE,
            consecutive: bool = False, carry: DataFrame | None = None,
-           controls: DataFrame | None = None, time_slice: int = 86_400_000_000,
+           controls: DataFrame | None = None, time_slice: int | None = None,
            rank_slice: int = 100_000) -> DataFrame:
     """Append to calls (circuit, ts, call_id, success, …) state, outcome and whether it opened.
 
@@ -38,6 +38,7 @@ def replay(calls: DataFrame, failure_threshold: int = FAILURES_TO_OPEN,
     'rejected'. Failures count from the last closing, successes between them do not reset the count
     unless `consecutive`. carry (see CARRY) continues from earlier calls; controls (circuit, ts,
     action) restart a circuit: 'reset' closes it, 'force_open' opens it for one timeout from then.
+    Time slices are the widest that hold a bounded number of a circuit's calls, unless given.
     """
     if controls is not None:
         return _replay_controlled(calls, controls, carry, failure_threshold=failure_threshold,
@@ -45,7 +46,9 @@ def replay(calls: DataFrame, failure_threshold: int = FAILURES_TO_OPEN,
                                   success_threshold=success_threshold, time_slice=time_slice,
                                   rank_slice=rank_slice)
     rest = [c for c in calls.columns if c not in ("circuit", "ts", "call_id", "success")]
-    base = calls.withColumn("_at", micros("ts")).withColumn("_chunk", slice_of("_at", time_slice))
+    base = calls.withColumn("_at", micros("ts"))
+    time_slice = time_slice or slice_width(base, ["circuit"], "_at")
+    base = base.withColumn("_chunk", slice_of("_at", time_slice))
     base = rank_in_key(base, ["circuit"], "_chunk", [F.col("_at"), F.col("call_id")], "_pos")
     base = base.withColumn("_chunk", slice_of("_pos", rank_slice))
     failed = ~F.col("success")
@@ -168,7 +171,7 @@ def _start_states(sizes: DataFrame, carry: DataFrame | None) -> DataFrame:
 
 
 def _replay_controlled(calls: DataFrame, controls: DataFrame, carry: DataFrame | None,
-                       time_slice: int, **settings) -> DataFrame:
+                       time_slice: int | None, **settings) -> DataFrame:
     """Replay with restarts: every control opens a new segment of its circuit."""
     marks = controls.select("circuit", "ts", F.struct("ts", "action").alias("_c")).groupBy(
         "circuit", "ts").agg(F.max("_c").alias("_c"))
@@ -188,14 +191,28 @@ def _replay_controlled(calls: DataFrame, controls: DataFrame, carry: DataFrame |
     return out.withColumn("circuit", F.col("_circuit")).drop("_circuit")
 
 
-def end_states(replayed: DataFrame, carry: DataFrame | None = None) -> DataFrame:
-    """The CARRY rows after the given calls; circuits without calls keep their carried row."""
+def end_states(replayed: DataFrame, carry: DataFrame | None = None,
+               controls: DataFrame | None = None) -> DataFrame:
+    """The CARRY rows after the given calls and controls; circuits without either keep theirs.
+
+    A control that no call follows decides the circuit's state itself.
+    """
     last = F.max_by(F.struct("state_after", "failure_count", "success_count"),
                     F.struct("ts", "call_id"))
     missed = F.max(F.when(F.col("outcome") == "failure", F.col("ts")))
     now = replayed.groupBy("circuit").agg(last.alias("_l"), missed.alias("last_failure")).select(
         "circuit", F.col("_l.state_after").alias("state"), "_l.failure_count", "_l.success_count",
         "last_failure")
+    if controls is not None:
+        mark = F.max(F.struct("ts", "action"))
+        told = controls.groupBy("circuit").agg(mark.alias("_c"))
+        called = replayed.groupBy("circuit").agg(F.max("ts").alias("_called"))
+        late = told.join(called, "circuit", "left").where(
+            F.col("_called").isNull() | (F.col("_called") < F.col("_c.ts"))).select(
+            "circuit", F.when(F.col("_c.action") == "force_open", "open").otherwise("closed")
+            .alias("state"), F.lit(0).cast("bigint").alias("failure_count"),
+            F.lit(0).cast("bigint").alias("success_count"), F.col("_c.ts").alias("last_failure"))
+        now = now.join(late, "circuit", "left_anti").unionByName(late)
     if carry is None:
         return now
     old = carry.withColumnsRenamed({c: f"_{c}" for c in carry.columns if c != "circuit"})

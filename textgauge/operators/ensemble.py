@@ -106,17 +106,51 @@ def normalise_weights(weights: DataFrame) -> DataFrame:
         "weight", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / n))
 
 
-def adapted(weight: Column, value: Column, metric: str) -> Column:
+def adapted(weight: Column, value: Column, metric: str | Column) -> Column:
     """A model's weight after one report of `metric`, before normalising."""
-    if metric in HIGHER_IS_BETTER:
-        good, poor = value > 0.7, value < 0.5
-    else:
-        good, poor = value < 1.0, value > 2.0
+    up = (F.lit(metric) if isinstance(metric, str) else metric).isin(HIGHER_IS_BETTER)
+    good = F.when(up, value > 0.7).otherwise(value < 1.0)
+    poor = F.when(up, value < 0.5).otherwise(value > 2.0)
     factor = F.when(good, BOOST).when(poor, DECAY).otherwise(1.0)
     return F.when(value.isNull(), weight).otherwise(
         F.greatest(weight * factor, F.lit(MIN_WEIGHT)))
 
 
+def fold_reports(weights: DataFrame, reports: DataFrame) -> DataFrame:
+    """Weights after each report: (seq, metric, model_name, weight), one fold over all reports.
+
+    reports: (seq, model_name, metric, value), applied in order of seq and metric; a model that a
+    report leaves out keeps its weight before normalising. Weights and reports become one row.
+    """
+    values = reports.groupBy("seq", "metric", "model_name").agg(F.max("value").alias("value"))
+    per = values.groupBy("seq", "metric").agg(F.map_from_entries(
+        F.collect_list(F.struct("model_name", "value"))).alias("values"))
+    report, weight = F.struct("seq", "metric", "values"), F.struct("model_name", "weight")
+    rows = per.select(report.alias("r")).unionByName(
+        weights.select(weight.alias("w")), allowMissingColumns=True).agg(
+        F.collect_list("r").alias("reports"), F.collect_list("w").alias("weights"))
+    kind = "array<struct<seq:bigint,metric:string,weights:array<struct<model_name:string,weight:double>>>>"
+
+    def step(acc: Column, report: Column) -> Column:
+        moved = F.transform(acc["weights"], lambda m: F.struct(
+            m["model_name"].alias("model_name"), adapted(
+                m["weight"], report["values"][m["model_name"]], report["metric"]).alias("weight")))
+        total = F.aggregate(moved, F.lit(0.0), lambda s, m: s + m["weight"])
+        new = F.transform(moved, lambda m: F.struct(
+            m["model_name"].alias("model_name"),
+            F.when(total > 0, m["weight"] / total).otherwise(F.lit(1.0) / F.size(moved)).alias("weight")))
+        return F.struct(new.alias("weights"), F.concat(acc["done"], F.array(F.struct(
+            report["seq"].alias("seq"), report["metric"].alias("metric"), new.alias("weights")))).alias("done"))
+
+    ordered = F.array_sort("reports", lambda x, y: F.when(
+        F.struct(x["seq"], x["metric"]) < F.struct(y["seq"], y["metric"]), -1).otherwise(1))
+    start = F.struct(F.col("weights").alias("weights"), F.array().cast(kind).alias("done"))
+    done = F.aggregate(ordered, start, step)["done"]
+    steps = rows.select(F.explode(done).alias("d"))
+    return steps.select("d.seq", "d.metric", F.explode("d.weights").alias("w")).select(
+        "seq", "metric", "w.model_name", "w.weight")
+
+
 def update_weights(weights: DataFrame, report: DataFrame, metric: str) -> DataFrame:
     """One adaptation step from a report (model_name, value)."""
     joined = weights.join(report.select("model_name", "value"), "model_name", "left")

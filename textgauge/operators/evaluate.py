@@ -209,10 +209,11 @@ def evaluate_or_fallback(df: DataFrame, model: str) -> DataFrame:
     """Metrics of one model's predictions; if they cannot be computed, the fallback rows."""
     try:
         out = evaluate_models(df).where(F.col("model_name") == model)
-        rows = out.collect()  # eight rows
+        rows = out.collect()  # eight rows; they are the result, so that nothing runs twice
         if not rows:
             raise ValueError("no predictions")
-        return out.withColumn("fallback_reason", F.lit(None).cast("string"))
+        return df.sparkSession.createDataFrame(rows, out.schema).withColumn(
+            "fallback_reason", F.lit(None).cast("string"))
     except Exception as err:  # noqa: BLE001 - any failure of the job leads to the fallback
         return fallback_metrics(df.sparkSession, model, str(err).splitlines()[0])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import asof, micros, rank_in_key, slice_of
+from .ordered import asof, micros, rank_in_key, slice_of, slice_width
 from .telemetry import since
 
 # Statuses from best to worst, severities of handled errors.
@@ -27,14 +27,16 @@ def health_summary(samples: DataFrame, keys: Sequence[str], as_of: str, seconds:
                       *[F.col(f"_now.{c}").alias(f"current_{c}") for c in names])
 
 
-def trends(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str], width: int,
-           tie: str = "event_id") -> DataFrame:
+def trends(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+           width: int | None = None, tie: str = "event_id") -> DataFrame:
     """Mean of each key's first half of samples against the rest: stable, increasing, decreasing.
 
     An odd sample goes to the second half; under 5 % is stable; a first half at or below zero is
-    stable; keys with one sample have no trend. `width` is the time slice of the ranking in µs.
+    stable; keys with one sample have no trend. `width` is the time slice of the ranking in µs; by
+    default the widest that holds a bounded number of a key's samples.
     """
-    timed = samples.withColumn("_at", micros("ts")).withColumn("_chunk", slice_of("_at", width))
+    timed = samples.withColumn("_at", micros("ts"))
+    timed = timed.withColumn("_chunk", slice_of("_at", width or slice_width(timed, keys, "_at")))
     ranked = rank_in_key(timed, keys, "_chunk", [F.col("_at"), F.col(tie)], "_rank", "_total")
     first = F.col("_rank") <= F.floor(F.col("_total") / 2)
     halves = ranked.groupBy(*keys).agg(
@@ -111,8 +113,8 @@ def component_alerts(health: DataFrame) -> DataFrame:
         *keep, "_a.severity", F.col("_a.text").alias("alert_message"))
 
 
-def suppress_repeats(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[str], width: int,
-                     open_keys: DataFrame | None = None) -> DataFrame:
+def suppress_repeats(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[str],
+                     width: int | None = None, open_keys: DataFrame | None = None) -> DataFrame:
     """Alerts that are raised: per key, the first one since the key was last resolved.
 
     Both tables have (keys, ts). The last resolution is found by a sliced as-of match; the first

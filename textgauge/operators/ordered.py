@@ -27,9 +27,13 @@ def slice_of(pos: str, width: int) -> Column:
     return F.floor(F.col(pos) / F.lit(width)).cast("bigint")
 
 
-def slice_width(df: DataFrame, keys: Sequence[str], pos: str, max_rows: int = 1_000_000,
-                widths: Sequence[int] = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000),
-                ) -> int:
+#: Time slices in µs, widest first: 90 days, a day, an hour, a minute, a second.
+SLICES = (7_776_000_000_000, 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000)
+SLICE_ROWS = 500_000
+
+
+def slice_width(df: DataFrame, keys: Sequence[str], pos: str, max_rows: int = SLICE_ROWS,
+                widths: Sequence[int] = SLICES) -> int:
     """The widest of `widths` whose fullest (key, slice) holds at most `max_rows`, else the last.
 
     One map-side combined count at the finest width answers for all of them.
@@ -53,12 +57,15 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                salts: int = 32) -> DataFrame:
+                salts: int | None = None, share_rows: int = SLICE_ROWS) -> DataFrame:
     """The first n rows per key by `order` (which must be total).
 
-    Each of `salts` shares of a key keeps its own first n before the key is brought together, so
-    the last step sees at most n * salts rows of any key.
+    A key is dealt to as many shares as it takes for the fullest key to have about share_rows rows
+    in each; every share keeps its own first n before the key is brought together.
     """
+    if salts is None:
+        most = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        salts = max(1, -(-most // share_rows))
     plain = [f.name for f in df.schema if not any(
         t in f.dataType.simpleString() for t in ("map<", "variant"))]
     base = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
@@ -73,93 +80,78 @@ def rank_in_key(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[
                 out: str = "rank", total: str | None = None) -> DataFrame:
     """Row number per key over (chunk, order); `chunk` must rise with the wanted order.
 
-    Both window and join are keyed by (keys, chunk), so the rows are shuffled once.
+    Window and join are keyed by the same struct of keys and chunk, so the rows are shuffled once.
     """
-    group = [*keys, chunk]
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    df, sizes, before = _grouped(df, keys, chunk, F.count("*").alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
-    offsets = _renamed(offsets.drop("_n"), group)
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    joined = local.join(offsets, _same(local, offsets, group), "inner")
+        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy("_keys")))
+    local = df.withColumn("_local", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
+    joined = local.join(offsets.drop("_n", "_keys"), "_g")
+    df = df.drop("_g")
     cols = [*df.columns, *([total] if total else [])]
     return joined.select(*cols, (F.col("_before") + F.col("_local")).cast("bigint").alias(out))
 
 
-def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+def _grouped(df: DataFrame, keys: Sequence[str], chunk: str, *aggregates: Column):
+    """df with its (keys, chunk) as the struct _g, aggregates per _g with the struct _keys, and the
+    window of a key's chunks before each chunk.
 
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return cond
+    Structs compare as equal when their fields are, NULLs included: NULL keys need no special join.
+    """
+    df = df.withColumn("_g", F.struct(*keys, chunk))
+    per = df.groupBy("_g").agg(*aggregates).withColumn(
+        "_keys", F.struct(F.lit(0).alias("_0"), *[F.col(f"_g.{k}").alias(k) for k in keys]))
+    order = Window.partitionBy("_keys").orderBy(f"_g.{chunk}")
+    return df, per, order.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_count(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column],
                   flag: Column, out: str) -> DataFrame:
     """Per key, how many rows up to and including this one have `flag`."""
-    group = [*keys, chunk]
+    columns = df.columns
     one = F.when(flag, 1).otherwise(0).cast("bigint")
-    sizes = df.groupBy(*group).agg(F.sum(one).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _renamed(
-        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"),
-        group)
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_local", F.sum(one).over(inside))
-    joined = local.join(offsets, _same(local, offsets, group), "inner")
-    return joined.select(*df.columns, (F.col("_before") + F.col("_local")).cast("bigint").alias(out))
+    df, sizes, before = _grouped(df, keys, chunk, F.sum(one).alias("_n"))
+    offsets = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.withColumn("_local", F.sum(one).over(inside)).join(offsets, "_g")
+    return joined.select(*columns, (F.col("_before") + F.col("_local")).cast("bigint").alias(out))
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                value: str, out: str, strict: bool = False) -> DataFrame:
     """Per key, the latest non-NULL `value` at or before each row (before it, if strict)."""
-    group = [*keys, chunk]
-    at = F.struct(*order)
-    per = df.where(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.max_by(value, at).alias("_v"))
-    grid = df.groupBy(*group).agg(F.count("*").alias("_n")).drop("_n")
-    per = _renamed(per, group)
-    edge = grid.join(per, _same(grid, per, group), "left").select(*group, "_v")
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    edge = _renamed(
-        edge.withColumn("_carry", F.last("_v", ignorenulls=True).over(before)).drop("_v"), group)
+    columns = df.columns
+    at = F.when(F.col(value).isNotNull(), F.struct(*order))  # rows without a value don't count
+    df, edge, before = _grouped(df, keys, chunk, F.max_by(value, at).alias("_v"))
+    edge = edge.select("_g", F.last("_v", ignorenulls=True).over(before).alias("_carry"))
     end = -1 if strict else 0
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
-    joined = local.join(edge, _same(local, edge, group), "inner")
-    return joined.select(*df.columns, F.coalesce("_here", "_carry").alias(out))
+    inside = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    joined = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside)).join(edge, "_g")
+    return joined.select(*columns, F.coalesce("_here", "_carry").alias(out))
 
 
 def carry_next(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str],
                value: str, out: str) -> DataFrame:
     """Per key, the first non-NULL `value` at or after each row."""
-    group = [*keys, chunk]
-    at = F.struct(*order)
-    per = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.min_by(value, at).alias("_v"))
-    grid = df.groupBy(*group).agg(F.count("*").alias("_n")).drop("_n")
-    per = _renamed(per, group)
-    edge = grid.join(per, _same(grid, per, group), "left").select(*group, "_v")
-    after = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)
-    edge = _renamed(
-        edge.withColumn("_carry", F.first("_v", ignorenulls=True).over(after)).drop("_v"), group)
-    # Read backwards, so the frame stays a running one.
-    inside = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
+    columns = df.columns
+    at = F.when(F.col(value).isNotNull(), F.struct(*order))
+    df, edge, _ = _grouped(df, keys, chunk, F.min_by(value, at).alias("_v"))
+    # Read backwards, so the frames stay running ones.
+    after = Window.partitionBy("_keys").orderBy(F.desc(f"_g.{chunk}")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    edge = edge.select("_g", F.last("_v", ignorenulls=True).over(after).alias("_carry"))
+    inside = Window.partitionBy("_g").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
         Window.unboundedPreceding, 0)
-    local = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
-    joined = local.join(edge, _same(local, edge, group), "inner")
-    return joined.select(*df.columns, F.coalesce("_here", "_carry").alias(out))
+    joined = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside)).join(edge, "_g")
+    return joined.select(*columns, F.coalesce("_here", "_carry").alias(out))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, payload: str,
-         width: int) -> DataFrame:
+         width: int | None = None) -> DataFrame:
     """Attach to each left row the `payload` of the latest right row with ts at or before its own.
 
-    Both sides are laid in one time-sliced sequence per key; right rows sort first at equal times.
+    The slices are the widest that hold at most SLICE_ROWS rows of a key, unless given. Both sides are laid in one time-sliced sequence per key; right rows sort first at equal times.
     """
     rest = [c for c in left.columns if c not in (*keys, ts)]
     kind = right.schema[payload].dataType
@@ -168,8 +160,8 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, payloa
     b = right.select(*keys, ts, F.lit(0).alias("_side"),
                      F.lit(None).cast(a.schema["_row"].dataType).alias("_row"),
                      F.col(payload).alias("_p"))
-    both = a.unionByName(b).withColumn("_pos", micros(ts)).withColumn(
-        "_chunk", slice_of("_pos", width))
+    both = a.unionByName(b).withColumn("_pos", micros(ts))
+    both = both.withColumn("_chunk", slice_of("_pos", width or slice_width(both, keys, "_pos")))
     filled = carry_last(both, keys, "_chunk", ["_pos", "_side"], "_p", payload)
     hit = filled.where(F.col("_side") == 1)
     return hit.select(*keys, ts, *[F.col(f"_row.{c}").alias(c) for c in rest], payload).select(

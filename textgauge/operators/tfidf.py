@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,14 @@ MAX_DF = 0.85
 SELECTED = 3000
 
 
-def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
-    """Lower-cased words of two or more characters without the stop words."""
+def english() -> list[str]:
+    """The default stop words: Spark's English list."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def words(text: Column, stop_words: Sequence[str] | None = None) -> Column:
+    """Lower-cased words of two or more characters without the stop words (English by default)."""
+    stop_words = english() if stop_words is None else stop_words
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{WORD}{{2,}}+"), F.lit(0))
     if stop_words:
         # array_except would also drop repeats; the literal set makes this a hash look-up per word.
@@ -40,7 +47,7 @@ def ngrams(tokens: Column, longest: int = 3) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str, longest: int = 3,
-                stop_words: Sequence[str] = ()) -> DataFrame:
+                stop_words: Sequence[str] | None = None) -> DataFrame:
     """(key, term, n) for every term of every document, without a shuffle.
 
     The row's sorted terms form runs; each run's start and the next one's give its length. The
@@ -82,21 +89,21 @@ def weights(counts: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
 
 
 def class_scores(weighted: DataFrame, classes: DataFrame, key: str, label: str) -> DataFrame:
-    """χ² of each term's weight sums against the class shares: (term, score)."""
+    """χ² of each term's weight sums against the class shares: (term, score).
+
+    Only classes in which a term occurs have a row for it. The others add their expected weight, and
+    the expected weights of all classes sum to the term's total.
+    """
     shares = classes.groupBy(label).agg(F.count("*").alias("_n"))
     shares = shares.withColumn("share", F.col("_n") / F.sum("_n").over(Window.partitionBy()))
-    labels = [r[0] for r in shares.select(label).orderBy(label).collect()]
-    sums = weighted.join(classes.select(key, label), key).groupBy("term").agg(
-        F.sum("weight").alias("_total"),
-        *[F.sum(F.when(F.col(label) == c, F.col("weight")).otherwise(0.0)).alias(f"_o{i}")
-          for i, c in enumerate(labels)])
-    per = sums.select("term", F.explode(F.array(*[
-        F.struct(F.lit(c).alias(label), F.col(f"_o{i}").alias("observed"),
-                 F.col("_total").alias("total")) for i, c in enumerate(labels)])).alias("_p"))
-    joined = per.select("term", "_p.*").join(shares.select(label, "share"), label)
+    sums = weighted.join(classes.select(key, label), key).groupBy("term", label).agg(
+        F.sum("weight").alias("observed"))
+    total = F.sum("observed").over(Window.partitionBy("term"))
+    joined = sums.withColumn("total", total).join(shares.select(label, "share"), label)
     expected = F.col("share") * F.col("total")
     return joined.groupBy("term").agg(
-        F.sum(F.pow(F.col("observed") - expected, 2) / expected).alias("score"))
+        (F.sum(F.pow(F.col("observed") - expected, 2) / expected - expected) + F.first("total"))
+        .alias("score"))
 
 
 def select_terms(scores: DataFrame, k: int = SELECTED) -> DataFrame:

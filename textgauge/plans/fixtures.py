@@ -19,10 +19,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    """A text table for CPU-heavy work: spread over the cores where it has fewer files than cores."""
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A text table. Its tasks are its file splits; spark.sql.files.maxPartitionBytes sets their size."""
+    return table(spark, sf, name)
 
 
 PROBLEM_CLASS_SQL = (

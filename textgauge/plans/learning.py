@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import balance, evaluate, models, scoring, split, tfidf
@@ -119,6 +120,10 @@ def neighbours(spark, sf):
     return rounded(out, "distance")
 
 
+def uniform_sql(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
 NEIGHBOURS_SQL = """
   WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
   SELECT a.vec_id, a.label, b.vec_id AS neighbour, round(list_distance(a.x, b.x), 6) AS distance,
@@ -138,13 +143,65 @@ BALANCED_SQL = """
 
 
 def redrawn(spark, sf):
-    """Scores redrawn by class: each row's new score must be one of its class."""
+    """Scores redrawn by class, each from the row that its digest names."""
     p = problems(spark, sf).select("problem_id", "problem_class", "problem_score")
     balanced = p.withColumn("row_id", F.col("problem_id"))
     out = balance.redraw_scores(balanced, p, "problem_id", "problem_class", "problem_score")
     return out.select("row_id", "problem_class", "problem_score")
 
 
+REDRAWN_SQL = f"""
+  WITH p AS MATERIALIZED (SELECT problem_id, problem_class, problem_score,
+      row_number() OVER (PARTITION BY problem_class ORDER BY md5('42:' || problem_id), problem_id) AS slot,
+      count(*) OVER (PARTITION BY problem_class) AS n FROM ({PROBLEMS_SQL}) x),
+  a AS (SELECT problem_id, problem_class, 1 + CAST(floor({uniform_sql("'42:s:' || problem_id")} * n) AS BIGINT)
+      AS slot FROM p)
+  SELECT a.problem_id AS row_id, a.problem_class, p.problem_score
+  FROM a JOIN p USING (problem_class, slot)"""
+
+
+def oversampled(spark, sf):
+    """The made rows: a few numbers of each vector."""
+    made = balance.oversample(vectors(spark, sf), "vec_id", "label", "x").where("synthetic")
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    out = made.select("label", F.get("x", F.lit(0)).alias("x1"), F.get("x", F.lit(63)).alias("x64"),
+                      total.alias("total"))
+    return rounded(out, "x1", "x64", "total", places=5)
+
+
+OVERSAMPLED_SQL = f"""
+  WITH near AS MATERIALIZED ({NEIGHBOURS_SQL}),
+  c AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM embeddings GROUP BY 1),
+  r AS (SELECT vec_id, label, n, need, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id)
+      AS r FROM embeddings JOIN c USING (label)),
+  t AS (SELECT *, need // n + CASE WHEN r <= need % n THEN 1 ELSE 0 END AS times FROM r),
+  k AS (SELECT vec_id, max(rank) AS k FROM near GROUP BY 1),
+  m AS (SELECT t.vec_id, t.label, k, unnest(range(1, times + 1)) AS copy FROM t JOIN k USING (vec_id)),
+  u AS (SELECT *, {uniform_sql("'42:u:' || vec_id || ':' || copy")} AS u,
+      1 + CAST(floor({uniform_sql("'42:k:' || vec_id || ':' || copy")} * k) AS BIGINT) AS rank FROM m),
+  e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  v AS (SELECT u.label, list_transform(list_zip(a.x, b.x), lambda p: p[1] + u.u * (p[2] - p[1])) AS x
+      FROM u JOIN near USING (vec_id, rank) JOIN e a ON a.vec_id = u.vec_id
+      JOIN e b ON b.vec_id = near.neighbour)
+  SELECT label, round(x[1], 5) AS x1, round(x[64], 5) AS x64, round(list_sum(x), 5) AS total FROM v"""
+
+
+def feature_vectors(spark, sf):
+    """The TF-IDF part of the features of every labelled document, all known terms selected."""
+    p = problems(spark, sf).select("problem_id", F.col("description").alias("text"), "problem_class")
+    sizes = models.Sizes(selected=models.Sizes().max_features)
+    fitted = models.fit_features(p, "problem_id", "text", "problem_class", sizes, STOP, PROSE_WORDS)
+    rows = models.add_features(p.select("problem_id", "text"), "text", fitted)
+    values = F.slice(vector_to_array("features"), 1, fitted.n_selected)
+    out = rows.select("problem_id", F.posexplode(values).alias("idx", "weight")).where("weight <> 0")
+    return rounded(out, "weight")
+
+
+FEATURE_VECTORS_SQL = f"""
+  WITH {LABELLED_SQL}, {counts_sql(3, 'docs')}, {vocab_sql(4000)},
+  i AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM v)
+  SELECT doc_id AS problem_id, idx, round(weight, 6) AS weight FROM weights JOIN i USING (term)"""
+
 SMALL = models.Sizes(max_features=400, selected=150, ngrams=2, lr_iterations=50, forest_trees=10,
                      forest_depth=6, boost_rounds=4, boost_depth=3, score_trees=10, score_depth=6)
 
@@ -174,7 +231,7 @@ def zoo(spark, sf):
     train_rows = parts.where("split = 'train'")
     features = models.fit_features(train_rows, "problem_id", "text", "problem_class", SMALL, STOP,
                                    PROSE_WORDS)
-    data = cut(models.add_features(parts, "problem_id", "text", features).select(
+    data = cut(models.add_features(parts, "text", features).select(
         "problem_id", "problem_class", "problem_score", "split", "features"))
     fitted = models.fit_zoo(data.where("split = 'train'"), "problem_class", "problem_score",
                             forest_trees=8, forest_depth=5, boost_rounds=3, boost_depth=3,
@@ -204,7 +261,9 @@ QUERIES = {
     "ml_fit_scaler": (scaler, scaler_sql()),
     "join_nearest_neighbours": (neighbours, NEIGHBOURS_SQL),
     "ml_oversample_counts": (balanced_counts, BALANCED_SQL),
-    "join_redraw_scores": (redrawn, None),
+    "join_redraw_scores": (redrawn, REDRAWN_SQL),
+    "ml_oversample_vectors": (oversampled, OVERSAMPLED_SQL),
+    "ml_feature_vectors": (feature_vectors, FEATURE_VECTORS_SQL),
     "ml_train_voting": (trained, None),
     "ml_answer_requests": (answered, None),
     "ml_model_zoo": (zoo, None),

@@ -130,13 +130,44 @@ def replayed(consecutive=False, seconds=5400):
     return run
 
 
-def replay_sql(seconds=5400, consecutive=False) -> str:
+CONTROLS_SQL = f"""
+  SELECT model_name AS circuit, ts, max(CASE WHEN event_id % 277 = 0 THEN 'force_open' ELSE 'reset' END)
+    AS action FROM ({TELEMETRY_SQL}) e WHERE event_id % 277 = 0 OR event_id % 401 = 0 GROUP BY 1, 2"""
+
+
+def controls(spark, sf):
+    """Some events as an operator's resets and forced openings of their circuit."""
+    i = F.col("event_id")
+    return telemetry(spark, sf).where((i % 277 == 0) | (i % 401 == 0)).select(
+        F.col("model_name").alias("circuit"), "ts",
+        F.when(i % 277 == 0, "force_open").otherwise("reset").alias("action"))
+
+
+def controlled(spark, sf):
+    out = circuit.replay(calls(spark, sf), recovery_timeout=5400, controls=controls(spark, sf))
+    return out.select("call_id", "circuit", "state", "outcome", "opened", "state_after",
+                      "failure_count", "success_count")
+
+
+def replay_sql(seconds=5400, consecutive=False, controlled=False) -> str:
     """Call by call: the automaton as a recursive query."""
     keep = "CASE WHEN nx.success THEN 0 ELSE r.fc END" if consecutive else "r.fc"
+    marks = CONTROLS_SQL if controlled else (
+        "SELECT NULL::VARCHAR AS circuit, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS action WHERE false")
+    # A control between two calls restarts the circuit before the later one.
+    before = f"""(SELECT r0.circuit, r0.pos, nx.ctl, nx.new_, CASE WHEN nx.new_ THEN
+        CASE WHEN nx.action = 'force_open' THEN 'open' ELSE 'closed' END ELSE r0.st END AS st,
+      CASE WHEN nx.new_ THEN 0 ELSE r0.fc END AS fc, CASE WHEN nx.new_ THEN 0 ELSE r0.sc END AS sc,
+      CASE WHEN nx.new_ THEN epoch_us(nx.ctl) ELSE r0.lf END AS lf
+      FROM r r0 JOIN c nx ON nx.circuit = r0.circuit AND nx.pos = r0.pos + 1)"""
     return f"""
-  WITH RECURSIVE c AS MATERIALIZED (SELECT circuit, call_id, epoch_us(ts) AS us_, success,
-      execution_time, row_number() OVER (PARTITION BY circuit ORDER BY ts, call_id) AS pos
-    FROM ({CALLS_SQL}) x),
+  WITH RECURSIVE k AS MATERIALIZED ({marks}),
+  c0 AS (SELECT circuit, call_id, ts, success, execution_time,
+      row_number() OVER (PARTITION BY circuit ORDER BY ts, call_id) AS pos FROM ({CALLS_SQL}) x),
+  c1 AS (SELECT c0.*, k.ts AS ctl, k.action FROM c0 ASOF LEFT JOIN k
+      ON c0.circuit = k.circuit AND c0.ts >= k.ts),
+  c AS MATERIALIZED (SELECT *, epoch_us(ts) AS us_, ctl IS DISTINCT FROM
+      lag(ctl) OVER (PARTITION BY circuit ORDER BY pos) AS new_ FROM c1),
   r AS (
     SELECT circuit, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS call_id, 'closed' AS met,
       'closed' AS st, 0 AS fc, 0 AS sc, CAST(NULL AS BIGINT) AS lf, '' AS outcome,
@@ -163,7 +194,7 @@ def replay_sql(seconds=5400, consecutive=False) -> str:
               AS sc,
             CASE WHEN r.st = 'open' AND nx.us_ - r.lf >= {seconds * 1_000_000} THEN 'half_open'
                  ELSE r.st END AS met
-          FROM r JOIN c nx ON nx.circuit = r.circuit AND nx.pos = r.pos + 1) n),
+          FROM {before} r JOIN c nx ON nx.circuit = r.circuit AND nx.pos = r.pos + 1) n),
   told AS (SELECT call_id, circuit, met AS state, outcome, opened, st AS state_after,
       CAST(CASE WHEN st = 'closed' THEN fc ELSE 0 END AS BIGINT) AS failure_count,
       CAST(CASE WHEN st = 'half_open' THEN sc ELSE 0 END AS BIGINT) AS success_count, pos
@@ -233,15 +264,12 @@ def shaped(spark, sf):
         F.col("model_name").alias("subject"), F.concat(F.lit("/e/"), i.cast("string"))
         .alias("detail"), F.when(i % 2 == 0, "critical").otherwise("low").alias("severity"),
         F.round("prediction_time", 2).alias("duration_ms"), F.lit("api").alias("component"))
-    out = shaping.shape_log_events(raw)
-    return out.groupBy("event_type", "level").agg(
-        F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_set(F.substring(
-            F.md5(F.concat_ws("|", "correlation_id", "message")), 1, 3))), ",")).alias("digest"),
-        F.sum(F.length("message")).alias("letters"))
+    return shaping.shape_log_events(raw).select(
+        F.unix_micros("ts").alias("ts"), "event_type", "level", "correlation_id", "message")
 
 
 SHAPED_SQL = f"""
-  WITH e AS (SELECT event_id, list_extract(['request', 'response', 'prediction', 'error',
+  WITH e AS (SELECT event_id, ts, list_extract(['request', 'response', 'prediction', 'error',
       'performance', 'security', 'system', 'model'], event_id % 8 + 1) AS kind,
       CASE WHEN event_id % 3 <> 0 THEN 'c' || event_id ELSE 'no-correlation-id' END AS cid,
       model_name AS subject, '/e/' || event_id AS detail,
@@ -257,10 +285,7 @@ SHAPED_SQL = f"""
       ELSE 'Model event [' || subject || ']: ' || detail END AS message,
     CASE WHEN kind = 'error' THEN 'ERROR' WHEN kind = 'security' THEN CASE severity
       WHEN 'critical' THEN 'CRITICAL' ELSE 'WARNING' END ELSE 'INFO' END AS level FROM e)
-  SELECT kind AS event_type, level, count(*) AS n,
-    md5(array_to_string(list_sort(list(DISTINCT substr(md5(cid || '|' || message), 1, 3))), ','))
-      AS digest, CAST(sum(length(message)) AS BIGINT) AS letters
-  FROM m GROUP BY 1, 2"""
+  SELECT epoch_us(ts) AS ts, kind AS event_type, level, cid AS correlation_id, message FROM m"""
 
 
 def error_entries(spark, sf):
@@ -363,6 +388,9 @@ def backups(spark, sf):
 
 
 QUERIES = {
+    "win_circuit_controls": (controlled, replay_sql(controlled=True) + """
+      SELECT call_id, circuit, state, outcome, opened, state_after, failure_count, success_count
+      FROM told"""),
     "join_rule_hits": (
         lambda spark, sf: hits(spark, sf).select("event_id", "rule_id", "severity"),
         f"SELECT event_id, rule_id, severity FROM ({HITS_SQL}) h"),

@@ -12,7 +12,7 @@ from ..session import scratch
 from .ensembles import START_SQL, start_weights
 from .fixtures import SNAPSHOTS_SQL, TELEMETRY_SQL, rounded, snapshots, table
 from .service import EMITTED_SQL, RULES, replay_sql
-from .telemetry import (DAY_US, PREDICTION_ALERTS_SQL, RAISED_SQL, alert_rows, component_rows,
+from .telemetry import (PREDICTION_ALERTS_SQL, RAISED_SQL, alert_rows, component_rows,
                         degraded_sql)
 
 
@@ -30,6 +30,35 @@ def events(spark, sf):
         "user_id")
 
 
+BATCH_ROWS = 500_000
+
+
+def in_files(df, spark, name, parts=3):
+    """A derived table as a stream of files in order of time, one per micro-batch.
+
+    There are three batches at least, and as many as keep a batch to about BATCH_ROWS rows.
+    """
+    path = scratch(spark, name)
+    us = F.unix_micros("ts")
+    lo, hi, n = df.agg(F.min(us), F.max(us), F.count("*")).first()
+    parts = max(parts, -(-n // BATCH_ROWS))
+    edges = [(lo or 0) + ((hi or 0) - (lo or 0) + 1) * k // parts for k in range(parts + 1)]
+    for k in range(parts):  # written one after the other: a stream takes files in order of time
+        part = df.where((us >= edges[k]) & (us < edges[k + 1])).coalesce(1)
+        part.sortWithinPartitions("ts").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def event_batches(spark, sf):
+    """The events in several micro-batches, in order of time."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    rows = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("model_name"), F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("value") * 10).alias("prediction_time"), (k / F.lit(100.0)).alias("confidence"),
+        "user_id")
+    return in_files(rows, spark, "events")
+
+
 def finished(query):
     query.awaitTermination()
     if query.exception() is not None:
@@ -44,8 +73,27 @@ def to_table(df, spark, name, mode="append"):
     return spark.read.parquet(out)
 
 
+def newest_rows(df, spark, name, keys):
+    """Run a streaming aggregate in update mode; per key, the row of the last batch that has one."""
+    checkpoint, _, out = places(spark, name)
+
+    def keep(batch, i):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    finished(df.writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    told = spark.read.schema(f"{ddl(df.schema)}, batch int").parquet(out)
+    rest = [c for c in df.columns if c not in keys]
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def ddl(schema):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
 def windows(spark, sf):
-    out = to_table(jobs.windowed_metrics(events(spark, sf)), spark, "windows")
+    out = newest_rows(jobs.windowed_metrics(event_batches(spark, sf)), spark, "windows",
+                      ["window", "model_name"])
     flat = out.select("model_name", F.unix_micros("window.start").alias("start"), *[
         c for c in out.columns if c not in ("window", "model_name")])
     return rounded(flat, "avg_response_time", "max_response_time", "min_response_time",
@@ -61,8 +109,7 @@ WINDOWS_SQL = f"""
     round(min(prediction_time), 6) AS min_response_time,
     round(coalesce(stddev_samp(prediction_time), 0), 6) AS response_time_std,
     round(avg(confidence), 6) AS avg_confidence
-  FROM w WHERE start + 3600000000 <= (SELECT max(us_) // 1000 * 1000 FROM e) - 600000000
-  GROUP BY 1, 2"""
+  FROM w GROUP BY 1, 2"""
 
 
 def stream_alerts(spark, sf):
@@ -78,23 +125,13 @@ def deduplicated(spark, sf):
 
 def durations(spark, sf):
     """The running totals after the last micro-batch."""
-    checkpoint, _, out = places(spark, "durations")
-    df = jobs.running_durations(events(spark, sf), "model_name", "prediction_time")
-
-    def keep(batch, i):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
-
-    finished(df.writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    latest = spark.read.parquet(out)
-    rows = latest.groupBy("model_name").agg(F.max_by(F.struct(
-        *[c for c in latest.columns if c not in ("model_name", "batch")]), "batch").alias("r"))
-    return rounded(rows.select("model_name", "r.*"), "avg_duration_ms", "min_duration_ms",
-                   "max_duration_ms", "total_duration_ms", places=4)
+    df = jobs.running_durations(event_batches(spark, sf), "model_name", "prediction_time")
+    return rounded(newest_rows(df, spark, "durations", ["model_name"]), "avg_duration_ms",
+                   "min_duration_ms", "max_duration_ms", "total_duration_ms", places=4)
 
 
 def rule_stream(spark, sf):
-    samples = events(spark, sf).select("event_id", "ts", F.col("model_name").alias("metric_name"),
+    samples = event_batches(spark, sf).select("event_id", "ts", F.col("model_name").alias("metric_name"),
                                        F.round("prediction_time", 2).alias("value"))
     spots = places(spark, "rules")
     finished(jobs.rule_alerts(samples, al.rules_table(spark, RULES), "event_id", *spots))
@@ -102,7 +139,7 @@ def rule_stream(spark, sf):
 
 
 def circuit_stream(spark, sf):
-    calls = events(spark, sf).select(
+    calls = event_batches(spark, sf).select(
         F.col("model_name").alias("circuit"), "ts", F.col("event_id").alias("call_id"),
         (F.col("confidence") >= 0.35).alias("success"))
     spots = places(spark, "circuits")
@@ -110,13 +147,6 @@ def circuit_stream(spark, sf):
     return spark.read.parquet(spots[2]).select("call_id", "circuit", "state", "outcome", "opened")
 
 
-def in_files(df, spark, name, parts=3):
-    """A derived table as a stream of a few files, in order of time."""
-    path = f"{scratch(spark, name)}"
-    df.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def raised_stream(spark, sf):
     """Component alerts and resolutions as one stream of events."""
     keys = ["component", "severity", "alert_message"]
@@ -128,7 +158,7 @@ def raised_stream(spark, sf):
         (F.col("status") == "healthy") & (F.col("event_id") % 6 == 0)).join(kinds, "component")
     rows = alerts.unionByName(done.select(*keys, "ts", "event_id", F.lit("resolve").alias("kind")))
     spots = places(spark, "raised")
-    finished(jobs.raised_alerts(in_files(rows, spark, "component_events", 1), keys, DAY_US, *spots))
+    finished(jobs.raised_alerts(in_files(rows, spark, "component_events"), keys, *spots))
     return spark.read.parquet(spots[2]).select("event_id", *keys)
 
 
@@ -136,7 +166,7 @@ def degradation_stream(spark, sf):
     """The verdicts after the last micro-batch."""
     spots = places(spark, "degradation")
     rows = snapshots(spark, sf).select("model_name", "ts", *tm.WATCHED)
-    finished(jobs.degradations(in_files(rows, spark, "snapshots", 1), *spots))
+    finished(jobs.degradations(in_files(rows, spark, "snapshots"), *spots))
     out = spark.read.parquet(spots[2])
     newest = out.agg(F.max("batch")).first()[0]
     return rounded(out.where(F.col("batch") == newest).drop("batch"), "accuracy_drop",
@@ -147,9 +177,9 @@ def weight_stream(spark, sf):
     """Weights after each day's report of the models' accuracy."""
     rows = snapshots(spark, sf).where("accuracy IS NOT NULL").select(
         F.dayofyear("ts").cast("bigint").alias("seq"), "model_name", "ts",
-        F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")).where("seq <= 8")
+        F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     spots = places(spark, "weights")
-    finished(jobs.adaptive_weights(in_files(rows, spark, "reports", 1), start_weights(spark, sf),
+    finished(jobs.adaptive_weights(in_files(rows, spark, "reports"), start_weights(spark, sf),
                                    *spots))
     out = spark.read.parquet(spots[2]).select("seq", "model_name", "weight")
     return rounded(out.withColumn("seq", F.col("seq").cast("bigint")), "weight")
@@ -166,7 +196,8 @@ WEIGHT_STREAM_SQL = f"""
       SELECT r.seq + 1 AS seq, r.model_name, CASE WHEN value IS NULL THEN weight
           ELSE greatest(weight * CASE WHEN value > 0.7 THEN 1.05 WHEN value < 0.5 THEN 0.95 ELSE 1.0
             END, 0.01) END AS w
-      FROM r LEFT JOIN s ON s.seq = r.seq + 1 AND s.model_name = r.model_name WHERE r.seq < 8) x)
+      FROM r LEFT JOIN s ON s.seq = r.seq + 1 AND s.model_name = r.model_name
+      WHERE r.seq < (SELECT max(seq) FROM s)) x)
   SELECT seq, model_name, round(weight, 6) AS weight FROM r WHERE seq IN (SELECT seq FROM s)"""
 
 

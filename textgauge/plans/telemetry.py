@@ -11,7 +11,6 @@ from .fixtures import (AS_OF, HOSTS_SQL, SNAPSHOTS_SQL, TELEMETRY_SQL, hosts, ro
                        telemetry)
 
 DAY = 86_400
-DAY_US = 86_400_000_000
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -82,7 +81,7 @@ def asof_quality(spark, sf):
     quality = snapshots(spark, sf).where("accuracy IS NOT NULL").select(
         "model_name", "ts", "accuracy")
     out = ordered.asof(telemetry(spark, sf).select("model_name", "ts", "event_id"), quality,
-                       ["model_name"], "ts", "accuracy", DAY_US)
+                       ["model_name"], "ts", "accuracy")
     return rounded(out.select("event_id", "model_name", "accuracy"), "accuracy")
 
 
@@ -252,7 +251,7 @@ def host_trends(spark, sf):
     # Many small series: each user is a host here.
     df = hosts(spark, sf).withColumn("host", F.concat_ws("/", "host", F.col(
         "memory_percent").cast("int").cast("string")))
-    return health.trends(df, ["host"], ["cpu_percent", "disk_usage_percent"], DAY_US)
+    return health.trends(df, ["host"], ["cpu_percent", "disk_usage_percent"])
 
 
 HOST_TRENDS_SQL = f"""
@@ -301,8 +300,7 @@ COMPONENT_ALERTS_SQL = f"""
 
 
 def day_status(spark, sf):
-    rows = component_rows(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).where(
-        F.col("event_id") % 40 != 0)
+    rows = component_rows(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return health.worst_status(rows.withColumn(
         "status", F.when(F.col("status") == "critical", F.when(
             F.col("event_id") % 3 == 0, "critical").otherwise("degraded")).otherwise(
@@ -314,7 +312,7 @@ DAY_STATUS_SQL = f"""
     max(list_position(['healthy', 'degraded', 'unhealthy', 'critical'], s))) AS overall_status
   FROM (SELECT component, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN status = 'critical' THEN
       CASE WHEN event_id % 3 = 0 THEN 'critical' ELSE 'degraded' END ELSE status END AS s
-    FROM ({COMPONENTS_SQL}) c WHERE event_id % 40 <> 0) x GROUP BY 1, 2"""
+    FROM ({COMPONENTS_SQL}) c) x GROUP BY 1, 2"""
 
 
 def alert_rows(spark, sf):
@@ -330,7 +328,7 @@ def raised(spark, sf):
     resolved = component_rows(spark, sf).where(
         (F.col("status") == "healthy") & (F.col("event_id") % 6 == 0)).select("component", "ts")
     out = health.suppress_repeats(alerts, resolved.join(kinds, "component").select(*keys, "ts"),
-                                  keys, DAY_US)
+                                  keys)
     return out.select("event_id", *keys)
 
 
@@ -423,10 +421,10 @@ QUERIES = {
     "agg_system_health": (system_status, SYSTEM_SQL),
     "agg_error_report": (
         lambda spark, sf: health.error_report(
-            handled(spark, sf).where("severity != 'low'"), "2024-01-30 12:00:00"),
+            handled(spark, sf), "2024-01-30 12:00:00"),
         f"""SELECT s.severity, count(h.event_id) AS n FROM (SELECT unnest(['low', 'medium', 'high',
           'critical']) AS severity) s LEFT JOIN ({HANDLED_SQL}) h ON h.severity = s.severity
-          AND h.severity <> 'low' AND h.ts >= TIMESTAMP '2024-01-30 11:00:00' GROUP BY 1"""),
+          AND h.ts >= TIMESTAMP '2024-01-30 11:00:00' GROUP BY 1"""),
     "agg_component_status": (
         lambda spark, sf: health.component_status(handled(spark, sf)),
         f"""SELECT component, CASE WHEN kind = 'reset' THEN 'healthy' WHEN severity IN ('high',

@@ -97,8 +97,11 @@ def core_sql(source: str, key: str, column: str, words: dict, expansions: dict |
   FROM p"""
 
 
-def wide_sql(source: str, key: str, column: str, tiers: dict, words: dict) -> str:
+def wide_sql(source: str, key: str, column: str, tiers: dict, words: dict, literal: bool = False,
+             ) -> str:
     norm = expand_sql(flat_sql(column), lx.FULL_EXPANSIONS)
+    if literal:
+        return literal_sql(source, key, column, tiers, words)
     w = lexical_sql("w")
     tier = {name: "(" + " + ".join(listed_sql("m", [t]) for t in terms) + f") * {weight}"
             for name, (weight, terms) in tiers.items()}
@@ -137,6 +140,30 @@ def wide_sql(source: str, key: str, column: str, tiers: dict, words: dict) -> st
   SELECT {key}, {names} FROM b"""
 
 
+def literal_sql(source: str, key: str, column: str, tiers: dict, words: dict) -> str:
+    """The 30 features as written with doubled backslashes: no bounded word ever matches."""
+    w = lexical_sql("w")
+    zeros = ", ".join(f"0.0 AS {n}" for n in [*tiers, *words, "mathematical_functions", "big_o_notation",
+                                              "total_algorithm_score", "competitive_terms"])
+    return f"""
+  WITH n AS (SELECT {key}, regexp_replace(lower(coalesce({column}, '')),
+               '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') AS t, {flat_sql(column)} AS f FROM ({source}) s),
+  p AS (SELECT {key}, t, CASE WHEN f = '' THEN [] ELSE string_split(f, ' ') END AS w FROM n),
+  a AS (SELECT {key}, length(t) AS text_len, {', '.join(f'{e} AS {n}' for n, e in w.items())}, {zeros},
+         {count_sql('t', lx.WIDE_MATH)} AS advanced_math_symbols,
+         {spans_sql('t', lx.TIME_MENTIONS)} * 4.0 AS time_complexity_mentions,
+         {spans_sql('t', lx.SPACE_MENTIONS)} * 3.0 AS space_complexity_mentions,
+         {count_sql('t', 'constraint|limit|bound')} * 2.0 AS constraint_patterns,
+         len(list_filter(string_split_regex(t, '[.!?]+'), lambda s: regexp_replace(s, '{SPACE_SQL}+', '', 'g') <> ''))
+           AS sentence_count,
+         {spans_sql('t', lx.IO_FORMAT)} * 1.5 + {spans_sql('t', lx.IO_CASES)} * 1.0
+           + {count_sql('t', lx.IO_SAMPLES)} * 0.5 AS io_complexity FROM p),
+  b AS (SELECT *, advanced_math_symbols * 3.0 AS math_complexity_score,
+         time_complexity_mentions + space_complexity_mentions + constraint_patterns AS complexity_score,
+         coalesce(round(word_count / nullif(sentence_count, 0), 6), 0.0) AS avg_sentence_length FROM a)
+  SELECT {key}, {', '.join(profiles.wide_names(tiers, words))} FROM b"""
+
+
 def doubles(df, names):
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
@@ -158,10 +185,10 @@ def core(words=None, source=texts, column="text", key="doc_id", name="documents"
     return run
 
 
-def wide(tiers=None, words=None):
+def wide(tiers=None, words=None, literal=False):
     def run(spark, sf):
         df = texts(spark, sf).select("doc_id", "text")
-        out = profiles.wide_profile(df, "text", tiers, words).drop("text")
+        out = profiles.wide_profile(df, "text", tiers, words, literal).drop("text")
         out = rounded(out, *RATIOS, "avg_sentence_length")
         return doubles(out, [c for c in out.columns if c != "doc_id"])
     return run
@@ -329,6 +356,9 @@ QUERIES = {
     "f30_documents": (
         wide(), cast_sql(wide_sql(_DOCS, "doc_id", "text", lx.TIERS, {
             k: v for k, v in lx.WIDE_WORDS.items()}), "doc_id", profiles.WIDE_FEATURES)),
+    "f30_documents_literal": (
+        wide(literal=True), cast_sql(wide_sql(_DOCS, "doc_id", "text", lx.TIERS, lx.WIDE_WORDS, True),
+                                     "doc_id", profiles.WIDE_FEATURES)),
     "f30_documents_prose_lexicon": (
         wide(PROSE_TIERS, PROSE_LISTS),
         cast_sql(wide_sql(_DOCS, "doc_id", "text", PROSE_TIERS, PROSE_LISTS), "doc_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = _LOCAL.setdefault("dir", "") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
         _LOCAL["dir"] = named
@@ -50,15 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """df marked for broadcast if it has at most max_rows rows, else df as it is.
+    """df, computed once, and marked for broadcast if it has at most max_rows rows.
 
     For per-class, per-model or per-circuit tables whose join key is a busy one: broadcasting keeps
-    the large side where it is. The rows are fetched once, and never more than max_rows + 1.
+    the large side where it is. A larger table is joined like any other.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def scratch(spark: SparkSession, name: str) -> str:

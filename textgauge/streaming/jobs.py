@@ -6,7 +6,8 @@ order of time inside a micro-batch, and micro-batches in order of arrival.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,7 @@ def rule_alerts(samples: DataFrame, rules: DataFrame, tie: str, checkpoint: str,
     return run_each(samples, step, checkpoint)
 
 
-def raised_alerts(events: DataFrame, keys: Sequence[str], width: int, checkpoint: str, state: str,
-                  out: str):
+def raised_alerts(events: DataFrame, keys: Sequence[str], checkpoint: str, state: str, out: str):
     """Alerts (kind 'alert') that are not open already; kind 'resolve' closes a key.
 
     The state is the set of open keys.
@@ -80,21 +80,30 @@ def raised_alerts(events: DataFrame, keys: Sequence[str], width: int, checkpoint
         before = cut(table.before(spark, i))
         asked = rows.where("kind = 'alert'").drop("kind")
         done = rows.where("kind = 'resolve'").select(*keys, "ts")
-        write_batch(health.suppress_repeats(asked, done, keys, width, before), out, i)
+        write_batch(health.suppress_repeats(asked, done, keys, open_keys=before), out, i)
         table.after(health.open_after(asked, done, keys, before), i)
 
     return run_each(events, step, checkpoint)
 
 
 def circuits(calls: DataFrame, checkpoint: str, state: str, out: str, **settings):
-    """Circuit breakers over a stream of calls: the batch replay, continued from batch to batch."""
+    """Circuit breakers over a stream of calls: the batch replay, continued from batch to batch.
+
+    A column `action`, where the stream has one, marks rows that are no calls but controls of their
+    circuit: 'reset' or 'force_open'.
+    """
     table = StateTable(state, circuit.CARRY)
 
     def step(batch: DataFrame, i: int) -> None:
         before = cut(table.before(batch.sparkSession, i))
-        told = cut(circuit.replay(batch, carry=before, **settings))
+        rows, controls = batch, None
+        if "action" in batch.columns:
+            both = cut(batch)
+            rows = both.where("action IS NULL").drop("action")
+            controls = both.where("action IS NOT NULL").select("circuit", "ts", "action")
+        told = cut(circuit.replay(rows, carry=before, controls=controls, **settings))
         write_batch(told, out, i)
-        table.after(circuit.end_states(told, before), i)
+        table.after(circuit.end_states(told, before, controls), i)
 
     return run_each(calls, step, checkpoint)
 
@@ -116,26 +125,31 @@ def degradations(snapshots: DataFrame, checkpoint: str, state: str, out: str):
 def adaptive_weights(reports: DataFrame, start: DataFrame, checkpoint: str, state: str, out: str):
     """Weights after each report (seq, model_name, metric, value), applied in order of seq.
 
-    A micro-batch holds a few reports of a few models, so its steps are planned one after another.
+    All reports of a micro-batch are one fold. It is sequential by nature, as each report's weights
+    are normalised over all models; a trigger with few files bounds what a batch holds.
     """
     table = StateTable(state, "model_name string, weight double")
 
     def step(batch: DataFrame, i: int) -> None:
         rows = cut(batch)
-        weights = start if i == 0 else table.before(batch.sparkSession, i)
-        for seq, metric in sorted(map(tuple, rows.select("seq", "metric").distinct().collect())):
-            report = rows.where((F.col("seq") == seq) & (F.col("metric") == metric))
-            weights = cut(ensemble.update_weights(weights, report, metric))
-            write_batch(weights.withColumn("seq", F.lit(seq)), f"{out}/seq={seq}", i)
-        table.after(weights, i)
+        before = start if i == 0 else table.before(batch.sparkSession, i)
+        told = cut(ensemble.fold_reports(before, rows))
+        write_batch(told, out, i)
+        last = told.groupBy("model_name").agg(F.max_by("weight", "seq").alias("weight"))
+        kept = before.withColumnRenamed("weight", "_old").join(last, "model_name", "left")
+        table.after(cut(kept.select("model_name", F.coalesce("weight", "_old").alias("weight"))), i)
 
     return run_each(reports, step, checkpoint)
 
 
 def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str, out: str,
-                    as_of: str, ttl_seconds: int = 3600, mode: str = "legacy"):
+                    as_of: Callable[[DataFrame], str] | str | None = None, ttl_seconds: int = 3600,
+                    mode: str = "legacy"):
     """Answer requests from the cache or by scoring; new answers join the cache.
 
+    as_of is the time of a batch: by default the clock's when the batch starts, or what the given
+    function takes from the batch (such as its latest event time). Entries expire by it.
+
     The cache is an append-only log with one folder per micro-batch, read newest-first per hash, so
     a batch adds files and rewrites none. Invalid requests go to `out`/rejected.
     """
@@ -144,13 +158,15 @@ def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str
               "ts timestamp, ttl_seconds int")
 
     def score(rows: DataFrame) -> DataFrame:
-        done = model.score(rows, "input_hash", "combined_text")
+        done = model.score(rows, "combined_text")
         return done.select("input_hash", "cls",
                            shaping.served_score(F.col("raw_score")).alias("score"),
                            shaping.served_confidence(F.col("confidence_raw")).alias("confidence"))
 
     def step(batch: DataFrame, i: int) -> None:
         spark = batch.sparkSession
+        now = as_of(batch) if callable(as_of) else as_of or datetime.now(timezone.utc).strftime(
+            "%Y-%m-%d %H:%M:%S")
         valid, bad = split_valid(check_requests(batch, mode))
         text = combine(F.col("description"), F.col("input_desc"), F.col("output_desc"))
         asked = cut(valid.select("request_id", text.alias("combined_text")).withColumn(
@@ -159,10 +175,10 @@ def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str
             known = spark.createDataFrame([], schema)
         else:
             # Older entries have expired, so their files are skipped by their statistics.
-            oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+            oldest = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
             known = spark.read.schema(schema + ", batch int").parquet(cache_path).where(
                 (F.col("batch") < i) & (F.col("ts") >= oldest)).drop("batch")
-        answers, fresh = cache.serve(asked, known, as_of, score, answer, ttl_seconds, "voting")
+        answers, fresh = cache.serve(asked, known, now, score, answer, ttl_seconds, "voting")
         fresh = cut(fresh)
         write_batch(answers.drop("combined_text"), f"{out}/answers", i)
         write_batch(bad, f"{out}/rejected", i)

@@ -8,7 +8,7 @@ from ..functions import profiles
 from ..operators import evaluate as ev
 from ..operators import ordered, split, validate
 from ..schemas import CLASSES
-from .fixtures import (PREDICTIONS_SQL, PROBLEMS_SQL, REQUESTS_SQL, predictions, problems,
+from .fixtures import (MODELS, PREDICTIONS_SQL, PROBLEMS_SQL, REQUESTS_SQL, predictions, problems,
                        requests, rounded, table, texts)
 from .text import PROSE_WORDS, SPACE_SQL, core_sql
 
@@ -194,7 +194,40 @@ CHAIN_SQL = METRICS_SQL + """,
              AS low_confidence FROM chain c JOIN metrics m ON m.model_name = c.model_name
              AND m.metric = 'confidence' WHERE position = 1)"""
 
+def split_checks(spark, sf):
+    """What the check of a split says for several shares of test rows."""
+    rows = problems(spark, sf)
+    told = []
+    for share in (0.2, 0.01, 0.001):
+        try:
+            validate.check_split(rows, "problem_class", share)
+            told.append((share, "ok"))
+        except ValueError as err:
+            told.append((share, str(err)))
+    return spark.createDataFrame(told, "share double, verdict string")
+
+
+SPLIT_CHECKS_SQL = f"""
+  WITH p AS (SELECT count(*) AS n, count(DISTINCT problem_class) AS k FROM ({PROBLEMS_SQL}) x),
+  s AS (SELECT * FROM (VALUES (0.2, 6), (0.01, 101), (0.001, 1001)) AS v(share, per))
+  SELECT CAST(share AS DOUBLE) AS share, CASE WHEN n < per * k THEN 'need at least ' || per * k || ' rows for ' || k
+    || ' classes, got ' || n ELSE 'ok' END AS verdict FROM p, s"""
+
+
+def stand_in_metrics(spark, sf):
+    """An evaluation that fails for one model, and one that does not."""
+    preds = predictions(spark, sf)
+    return rounded(ev.evaluate_or_fallback(preds, "absent_model").unionByName(
+        ev.evaluate_or_fallback(preds, MODELS[0])), "value")
+
+
 QUERIES = {
+    "fil_split_checks": (split_checks, SPLIT_CHECKS_SQL),
+    "ml_stand_in_metrics": (stand_in_metrics, METRICS_SQL + f"""
+      SELECT model_name, metric, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS fallback_reason
+      FROM metrics WHERE model_name = '{MODELS[0]}'
+      UNION ALL SELECT 'absent_model', metric, value, 'no predictions' FROM (VALUES
+        {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in ev.FALLBACK_METRICS.items())}) AS f(metric, value)"""),
     "fil_legacy_requests": (checked("legacy"), checked_sql([
         (BLANK % "description", "'Missing required field'",
          "'The description field is required and cannot be empty'")])),

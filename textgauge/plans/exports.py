@@ -126,7 +126,27 @@ def restored(spark, sf):
     return us(out.select("data_type", "content", "created_at", "size_bytes"), "created_at")
 
 
+def recovery_export(spark, sf):
+    """The recovery actions written with the other tables, and read back."""
+    path = scratch(spark, "recovery")
+    actions = recovery_actions(spark, sf)
+    io.export_tables({"actions": actions}, path)
+    back = spark.read.schema(actions.schema).json(f"{path}/actions")
+    return back.groupBy("action", "success").agg(F.count("*").alias("n"), F.min(F.unix_micros("ts")).alias("first"))
+
+
+def recovery_actions(spark, sf):
+    i = F.col("event_id")
+    return telemetry(spark, sf).select(
+        "event_id", "ts", F.when(i % 3 == 0, "retry").when(i % 3 == 1, "fallback").otherwise("cache").alias("action"),
+        (F.col("confidence") > 0.4).alias("success"))
+
+
 QUERIES = {
+    "src_export_recovery": (recovery_export, f"""
+      SELECT CASE WHEN event_id % 3 = 0 THEN 'retry' WHEN event_id % 3 = 1 THEN 'fallback' ELSE 'cache' END AS action,
+        confidence > 0.4 AS success, count(*) AS n, epoch_us(date_trunc('millisecond', min(ts))) AS first
+      FROM ({TELEMETRY_SQL}) e GROUP BY 1, 2"""),
     "src_read_problems": (problem_rows, f"""
       SELECT CAST(problem_id AS VARCHAR) AS title, md5(description) AS digest, input_desc,
         output_desc, problem_class, problem_score AS problem_score_scaled

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import balance, evaluate, models, scoring, split, tfidf
-from ..session import cut
+from ..session import cut, scratch
 from ..schemas import CLASSES
 from .fixtures import PROBLEMS_SQL, REQUESTS_SQL, problems, requests, rounded, table, texts
 from .text import FEATURE_ANSWER_SQL, PROSE_WORDS, SPACE_SQL, STRIP_SQL, core_sql
@@ -267,6 +267,24 @@ def answered(spark, sf):
     return answers.select(*[F.col(f"features.{n}").cast("double").alias(n) for n in names], shaped.alias("well_formed"))
 
 
+def stored_model(spark, sf):
+    """The trained model saved and loaded: both answer every held-out row alike."""
+    from ..sources import store
+
+    model, parts = trained_model(spark, sf)
+    path = scratch(spark, "model")
+    store.save_model(model, spark, path)
+    again = store.load_model(spark, path)
+    rows = parts.where("split = 'test'")
+    names = ["cls", "raw_score", "confidence_raw"]
+    a = model.score(rows, "combined_text").select("problem_id", F.struct(*names).alias("a"))
+    b = again.score(rows, "combined_text").select("problem_id", F.struct(*names).alias("b"))
+    same = ((F.col("a.cls") == F.col("b.cls")) & (F.abs(F.col("a.raw_score") - F.col("b.raw_score")) < 1e-9)
+            & (F.abs(F.col("a.confidence_raw") - F.col("b.confidence_raw")) < 1e-9))
+    return properties(a.join(b, "problem_id"), ("same answers", F.bool_and(same)),
+                      ("every held-out row", F.count("*") == majority_share(parts)[0]))
+
+
 ANSWERED_SQL = f"""
   SELECT * EXCLUDE (doc_id), true AS well_formed FROM ({FEATURE_ANSWER_SQL.replace(
       core_sql("SELECT doc_id, text FROM documents", "doc_id", "text", PROSE_WORDS),
@@ -329,5 +347,6 @@ QUERIES = {
     "ml_feature_vectors": (feature_vectors, FEATURE_VECTORS_SQL),
     "ml_train_voting": (trained, properties_sql(*RULES)),
     "ml_answer_requests": (answered, ANSWERED_SQL),
+    "src_stored_model": (stored_model, properties_sql("same answers", "every held-out row")),
     "ml_model_zoo": (zoo, ZOO_SQL),
 }

@@ -387,7 +387,39 @@ def backups(spark, sf):
               "created_at")
 
 
+def remediated(spark, sf):
+    """The rules whose remediation ran, with the alerts that it was handed."""
+    rows = emitted(spark, sf)
+    handed = {}
+
+    def act(rule):
+        return lambda mine: handed.update({rule: mine.count()})
+
+    ran = al.remediate(rows, {r: act(r) for r in ("slow_signup", "slow_click", "off_rule", "other_buy")})
+    return spark.createDataFrame([(r, handed[r]) for r in ran], "rule_id string, alerts bigint")
+
+
+def health_checks(spark, sf):
+    """Given checks over the calls; one of them fails and says so."""
+    def slow(df):
+        worst = F.max("prediction_time")
+        return df.agg(F.when(worst > 1000, "degraded").otherwise("healthy").alias("status"),
+                      F.format_string("slowest %.2f ms", worst).alias("message"))
+
+    def broken(df):
+        raise RuntimeError("no answer")
+
+    return health.run_checks(telemetry(spark, sf), {"latency": slow, "model": broken})
+
+
 QUERIES = {
+    "agg_health_checks": (health_checks, f"""
+      SELECT 'latency' AS component, CASE WHEN max(prediction_time) > 1000 THEN 'degraded' ELSE 'healthy' END AS status,
+        'slowest ' || printf('%.2f', max(prediction_time)) || ' ms' AS message FROM ({TELEMETRY_SQL}) e
+      UNION ALL SELECT 'model', 'critical', 'Health check failed: no answer'"""),
+    "str_remediation": (remediated, EMITTED_SQL + """
+      SELECT rule_id, count(*) AS alerts FROM alerts
+      WHERE rule_id IN ('slow_signup', 'slow_click', 'off_rule', 'other_buy') GROUP BY 1"""),
     "win_circuit_controls": (controlled, replay_sql(controlled=True) + """
       SELECT call_id, circuit, state, outcome, opened, state_after, failure_count, success_count
       FROM told"""),

@@ -10,6 +10,7 @@ from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,7 +39,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of at most max_bytes of that column, one row at least."""
     for batch in batches:
-        lengths = np.array([len(x) for x in utf8(batch.column(column))], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0)
+        lengths = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
         while start < len(lengths):
             run = np.cumsum(lengths[start:])

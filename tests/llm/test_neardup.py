@@ -100,13 +100,21 @@ def test_cells_meet():
 
 def test_tree_finds_all_pairs():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 6, (400, neardup.GROUPS))
-    points = np.concatenate([base, base + (rng.random(base.shape) < 0.05)]).astype("<u4")
-    sizes, groups = points.sum(axis=1), np.arange(len(points))
-    bound = np.minimum(points[:, None], points[None]).sum(axis=2)
-    ok = 9 * bound >= 4 * (sizes[:, None] + sizes[None])
+    base = [rng.integers(0, 1 << 63, rng.integers(4, 400)).astype(np.uint64) * np.uint64(2) for _ in range(120)]
+    base += [rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) for n in (990, 1010, 1030, 40_000)]
+    near = [np.where(rng.random(len(b)) < 0.06, rng.integers(0, 1 << 63, len(b)).astype(np.uint64), b)[:int(len(b) * 0.99) + 1]
+            for b in base]
+    sets = [np.unique(x) for x in [*base, *near, np.zeros(0, np.uint64), np.full(300, 5, np.uint64)]]
+    sets[-1] = np.arange(300, dtype=np.uint64)  # all in one group: counts beyond one byte
+    sizes = np.array([len(x) for x in sets])
+    fine = neardup.points_of([neardup.point_of(x) for x in sets], sizes)
+    assert fine.shape[1] == 256 and (fine.sum(axis=1) == sizes).all()
+    bound = np.array([np.minimum(f, fine).astype(np.int64).sum(axis=1) for f in fine])
+    total = sizes[:, None] + sizes[None]
+    ok = (9 * bound >= 4 * total) & (5 * sizes[:, None] >= 4 * sizes[None]) & (4 * sizes[:, None] <= 5 * sizes[None])
     want = {(i, j) for i, j in zip(*np.nonzero(ok), strict=True) if i < j}
-    assert {(min(p), max(p)) for p in neardup.tree_pairs(sizes, points, groups)} == want
+    assert len(want) > 50
+    assert {(min(p), max(p)) for p in neardup.tree_pairs(sizes, fine, np.arange(len(sizes)))} == want
 
 
 def test_components(spark):

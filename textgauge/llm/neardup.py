@@ -22,9 +22,11 @@ so these must agree in some cells entirely, and documents meet in the trees of t
 * A cell that one class alone has is dropped at once.
 
 Only connected groups are asked for. First each class is verified against the one partner with which it shares most
-cells, and the links found are closed to components. Cells whose members are in one component by then are
-finished; the others are joined by their trees, and pairs across components are verified. Members of a busy cell
-are cut into chunks, and each pair of chunks is a task of its own.
+cells, and the links found are closed to components. In a few rounds, each component is then verified by one pair of
+members against the one component with which it shares most cells. Cells whose members are in one component by then
+are finished; the others are joined by their trees, and all pairs across components that survive are verified. The
+bound is taken twice, first with the tree's few groups, then with many, where little but links survives. Members of a
+busy cell are cut into chunks, and each pair of chunks is a task of its own.
 
 The sets are never kept as a table of all documents: they are made anew from the texts in each of the three passes,
 and only those of classes that share a cell are shuffled.
@@ -57,15 +59,19 @@ from .common import arrow_pass, per_worker, shared_path, slices, utf8
 WORDS = 5
 #: Blank characters to a blank, A-Z to lower case.
 BYTES = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point in the tree, and of the finer points that its survivors are bounded by. Groups are the
+#: leading bits of shingles, so sums of neighbouring groups are the coordinates of a coarser point. Documents of
+#: LARGE shingles and more have the second number of fine groups.
+GROUPS, FINE, LARGE = 64, (256, 1024), 1024
+#: Rounds of links between representatives of components that meet in a cell.
+ROUNDS = 1
 LEAF, FANOUT = 32, 16
 #: Shingles per cell for the smallest documents of a size class.
 LOAD = 2.2
 #: Entries that a task collects before it deals them out; that a task holds of a bucket of cells.
-FLUSH, HELD = 1 << 21, 1 << 22
+FLUSH, HELD = 1 << 20, 1 << 22
 #: Members of a cell beyond which they are passed on as they come; members joined in one task.
-BUSY, CHUNK = 1024, 2048
+BUSY, CHUNK = 1024, 1024
 FILTER_BITS = 1 << 23
 
 U64 = np.uint64
@@ -318,12 +324,30 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * overlap >= 80 * (len(a) + len(b) - overlap)
 
 
-def tree_pairs(sizes: np.ndarray, points: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
+def point_of(shingles: np.ndarray) -> bytes:
+    """The fine group counts of a document, in the least number of bytes each."""
+    groups = FINE[len(shingles) >= LARGE]
+    point = np.bincount((shingles >> U64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    return point.astype(np.min_scalar_type(point.max(initial=0))).tobytes()
+
+
+def points_of(data: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The points of documents in the fewest groups that any of them has."""
+    groups = [FINE[int(n >= LARGE)] for n in sizes.tolist()]
+    least = min(groups)
+    rows = [np.frombuffer(x, f"<u{len(x) // g}").reshape(least, -1).sum(axis=1, dtype=np.uint32)
+            for x, g in zip(data, groups, strict=True)]
+    return np.stack(rows)
+
+
+def tree_pairs(sizes: np.ndarray, fine: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows of different groups that a tree over the points cannot tell apart: by the bound they may link."""
     n = len(sizes)
+    points = fine.reshape(n, GROUPS, -1).sum(axis=2, dtype=np.uint32)
+    fine = fine.astype(np.uint8) if fine.max() < 256 else fine
     # Sort-tile packing: runs of like size, and within them runs of like first coordinates.
     order = np.lexsort((points[:, 1], points[:, 0], sizes * 8 // max(1, int(sizes.max()))))
-    points, sizes = points[order].astype(np.int64), sizes[order].astype(np.int64)
+    points, sizes, fine = points[order], sizes[order].astype(np.int64), fine[order]
 
     def boxes(high: np.ndarray, low: np.ndarray, top: np.ndarray, width: int):
         at = np.arange(0, len(high), width)
@@ -333,13 +357,14 @@ def tree_pairs(sizes: np.ndarray, points: np.ndarray, groups: np.ndarray) -> lis
     for width in (LEAF, FANOUT):
         levels.append(boxes(*levels[-1], width))
 
-    def survivors(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        high, low, top = levels[level]
+    def bounded(level: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        high, low, top = level
         keep = np.empty(len(i), dtype=bool)
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at:at + (1 << 14)], j[at:at + (1 << 14)]
-            bound = np.minimum(high[x], high[y]).sum(axis=1)
-            keep[at:at + (1 << 14)] = ((9 * bound >= 4 * (low[x] + low[y])) & (5 * top[y] >= 4 * low[x])
+        step = max(64, (4 << 20) // high.shape[1])  # some megabytes at a time
+        for at in range(0, len(i), step):
+            x, y = i[at:at + step], j[at:at + step]
+            bound = np.minimum(high[x], high[y]).sum(axis=1, dtype=np.int64)
+            keep[at:at + step] = ((9 * bound >= 4 * (low[x] + low[y])) & (5 * top[y] >= 4 * low[x])
                                        & (5 * top[x] >= 4 * low[y]))
         return keep
 
@@ -353,14 +378,16 @@ def tree_pairs(sizes: np.ndarray, points: np.ndarray, groups: np.ndarray) -> lis
     tops = len(levels[2][0])
     for i in range(tops):
         rest = np.arange(i, tops)
-        for j in rest[survivors(2, np.full(len(rest), i), rest)].tolist():
+        for j in rest[bounded(levels[2], np.full(len(rest), i), rest)].tolist():
             x, y = below(i, j, FANOUT, len(levels[1][0]))
-            keep = survivors(1, x, y)
+            keep = bounded(levels[1], x, y)
             for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
                 p, q = below(u, v, LEAF, n)
                 apart = (p != q) & (groups[order[p]] != groups[order[q]])
                 p, q = p[apart], q[apart]
-                ok = survivors(0, p, q)
+                ok = bounded(levels[0], p, q)
+                p, q = p[ok], q[ok]
+                ok = bounded((fine, sizes, sizes), p, q)
                 found += zip(order[p[ok]].tolist(), order[q[ok]].tolist(), strict=True)
     return found
 
@@ -370,8 +397,7 @@ def _tree_join(table: pa.Table) -> pa.Table:
     column = {c: table.column(c).combine_chunks() for c in table.column_names}
     classes, sizes, comps, chunks = (column[c].to_numpy(zero_copy_only=False) for c in ("class", "n", "comp", "chunk"))
     a, b = column["low"][0].as_py(), column["high"][0].as_py()
-    points = np.frombuffer(b"".join(column["point"].to_pylist()), "<u4").reshape(len(classes), GROUPS)
-    pairs = tree_pairs(sizes, points, comps)
+    pairs = tree_pairs(sizes, points_of(column["point"].to_pylist(), sizes), comps)
     if a != b:
         pairs = [(i, j) for i, j in pairs if chunks[i] != chunks[j]]
     lesser = [min(int(classes[i]), int(classes[j])) for i, j in pairs]
@@ -433,7 +459,6 @@ def _chosen_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """Class, size, point and shingles of the wanted classes: the texts are read once more, no text is shuffled."""
     spark = documents.sparkSession
     bits = spark.sparkContext.broadcast(_filter_bits(wanted))
-    # Spark's hash of each class comes along, so that both sides use the same one.
     plain = _texts(documents.where(F.col("doc_id").isNotNull()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,8 +468,7 @@ def _chosen_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in shingle_sets(utf8(part.column("text"))):
                 if len(s) >= 4 and (name := class_of(s)) not in seen and _has_bit(bits.value, name):
                     seen.add(name)
-                    point = np.bincount((s >> U64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
-                    rows.append((name, len(s), point.tobytes(), s.tobytes()))
+                    rows.append((name, len(s), point_of(s), s.tobytes()))
             if len(seen) > 1_000_000:
                 seen.clear()
             if rows:
@@ -494,6 +518,33 @@ def classify(documents: DataFrame) -> DataFrame:
     return arrow_pass(_texts(documents), "doc_id bigint, n_shingles bigint, class bigint", work)
 
 
+def _open(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of cells in which several components meet, with their component; and these cells' sizes."""
+    own = members.join(comps, members["class"] == comps["node"], "left").select(
+        "cell", "class", F.coalesce("comp", "class").alias("comp"))
+    cells = own.groupBy("cell").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+    own = cut(own.join(cells.select("cell", "size"), "cell"))
+    return own.drop("size"), own
+
+
+def _chosen_pairs(own: DataFrame, turn: int) -> DataFrame:
+    """One pair of classes for each component: its most frequent pair with the leading component of a cell.
+
+    A cell's leading component is that with most members in it. Each component sends a member that the turn's hash
+    chooses, so the pairs of a cell are as many as its components.
+    """
+    chance = F.xxhash64("class", F.lit(turn))
+    senders = own.groupBy("cell", "comp").agg(F.min_by("class", chance).alias("class"), F.count("*").alias("n"))
+    leaders = senders.groupBy("cell").agg(F.max_by(F.struct("comp", "class"), F.struct("n", "comp")).alias("lead"))
+    met = senders.join(leaders, "cell").where(F.col("comp") != F.col("lead.comp")).select(
+        "comp", F.col("lead.comp").alias("other"), F.col("class").alias("a"), F.col("lead.class").alias("b"))
+    pairs = met.groupBy("comp", "other").agg(
+        F.count("*").alias("n"), F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair"))
+    best = pairs.groupBy("comp").agg(F.max_by("pair", F.struct("n", "other")).alias("pair"))
+    return best.select("pair.a", "pair.b")
+
+
 def _links(documents: DataFrame) -> DataFrame:
     """The component of every class that is linked with a smaller one: node, comp."""
     spark = documents.sparkSession
@@ -508,11 +559,13 @@ def _links(documents: DataFrame) -> DataFrame:
     sets = _written(_chosen_sets(documents, members.select("class").distinct()), "sets")
     near = cut(_verified(first.select(F.col("class").alias("a"), F.col("partner").alias("b")), sets))
     comps = cut(components(near))
-    own = members.join(comps, members["class"] == comps["node"], "left").select(
-        "cell", "class", F.coalesce("comp", "class").alias("comp"))
-    open_cells = own.groupBy("cell").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    left = cut(own.join(open_cells.select("cell", "size"), "cell").distinct())
+    own, open_cells = _open(members, comps)
+    for i in range(ROUNDS):
+        new = cut(_verified(_chosen_pairs(own, i), sets))
+        near = cut(near.union(new))
+        comps = cut(components(near))
+        own, open_cells = _open(members, comps)
+    left = open_cells.distinct()
     chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
     spread = (left.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

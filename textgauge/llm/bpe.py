@@ -1,8 +1,9 @@
 """Byte-level BPE: each distinct pre-token is encoded once, in a shuffle of distinct words.
 
-1. Texts are cut into pre-tokens where they are read. The rows of a task make blocks of bounded size; a block keeps,
+1. Texts are cut into pre-tokens where they are read. The rows of a task make blocks of bounded size; a block has,
    for each document, the numbers of its pre-tokens by position, and a list of its distinct pre-tokens. That is the
-   (document, position, word) table, with repeated words of a block folded before anything moves.
+   (document, position, word) table, with repeated words of a block folded before anything moves. The texts are cut
+   twice, once for the lists and once for the numbers, as storing the numbers would cost more than making them.
 2. The blocks' word lists, split into buckets by a hash of the word, are shuffled by bucket. A bucket's task encodes
    each distinct word once, whichever blocks it comes from, and answers each list with the ids.
 3. The answers go back to their block by a join on it, and each document's ids are put together by position.
@@ -10,6 +11,10 @@
 A word is in a block's list once, so a very common word makes one entry per block and no busy key. Decoding looks
 up the bytes of each id in the table of ranks and joins them by position.
 
+A block is named by a digest of its list. If the rows that the second cut sees make other blocks than those of the
+first, which takes an input that changes between two reads, the job fails; it never mixes up numbers. So give it
+documents that are read from files or a checkpoint.
+
 The result equals that of the tiktoken library for ranks and pattern, without special tokens. The merges of one
 pre-token are that library's; the cutting into pre-tokens is done with class tables over code points here.
 
@@ -21,7 +26,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, shared_path
+from .common import per_worker
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 24 << 20
@@ -133,21 +137,23 @@ def _unframe(data: bytes) -> list[bytes]:
     return out
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -> Iterator[pa.RecordBatch]:
+def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int, lists_only: bool,
+                ) -> Iterator[pa.RecordBatch]:
+    """The blocks' lists of words by bucket, or else their documents with the numbers of their words."""
     classes = per_worker("classes", _classes)
 
     def closed() -> Iterator[pa.RecordBatch]:
-        name = uuid.uuid4().hex
-        counts = np.array([len(c) for c in codes])
-        flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-        yield _batch(BLOCK_TYPES, [[name], [-1], [doc_ids], [_pack(counts, flat)]])
+        data = [w.encode() for w in numbers]
+        name = hashlib.sha256(b"\xff".join(data)).hexdigest()
+        if not lists_only:
+            counts = np.array([len(c) for c in codes])
+            yield _batch(BLOCK_TYPES, [[name], [-1], [doc_ids], [_pack(counts, np.concatenate(codes))]])
+            return
         lists: list[list[int]] = [[] for _ in range(buckets)]
-        words = list(numbers)
-        data = [w.encode() for w in words]
         for i, w in enumerate(data):
             lists[zlib.crc32(w) % buckets].append(i)
         for bucket, own in enumerate(lists):
-            if own:
+            if own or not bucket:  # a block without words still has an answer
                 lengths = np.array([len(data[i]) for i in own])
                 letters = zstandard.ZstdCompressor(level=3).compress(b"".join([data[i] for i in own]))
                 yield _batch(BLOCK_TYPES, [[name], [bucket], [None], [_frame(_pack(np.diff(own, prepend=0), lengths), letters)]])
@@ -190,7 +196,7 @@ def _encode_lists(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
             letters = zstandard.ZstdDecompressor().decompress(letters)
             ends = np.cumsum(lengths).tolist()
             found = []
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            for a, b in zip([0, *ends][:-1], ends, strict=True):
                 if (ids := known.get(word := letters[a:b])) is None:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -226,8 +232,10 @@ class ByteTable:
 def _documents(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[int | None, np.ndarray, list[int], list[str]]]:
     """Per document of a block: its id, its ids, its words' numbers; and for each word its ids as text."""
     parts = [_unpack(x, 3) for x in answers.column("data").to_pylist()]
-    numbers = [np.cumsum(steps) for steps, _, _ in parts]
-    size = sum(map(len, numbers))
+    if blocks.num_rows and not parts:
+        raise RuntimeError("the documents changed between two reads: read them from files or a checkpoint")
+    numbers = [np.cumsum(steps).astype(np.int64) for steps, _, _ in parts]
+    size = 1 + max((int(n[-1]) for n in numbers if len(n)), default=-1)
     sizes = np.zeros(size, dtype=np.int64)
     for own, (_, counts, _) in zip(numbers, parts, strict=True):
         sizes[own] = counts
@@ -245,23 +253,14 @@ def _documents(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[int | None
             yield doc_id, flat[_spread(starts[own], sizes[own])], own.tolist(), texts
 
 
-def _blocks(documents: DataFrame, buckets: int, block_chars: int) -> DataFrame:
-    """The blocks of documents, written to the shared folder."""
-    spark = documents.sparkSession
-    path = shared_path(spark, "bpe-blocks")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(lambda b: _cut_blocks(b, buckets, block_chars), BLOCKS).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _reassemble(documents: DataFrame, vocabulary: str | None, block_chars: int, work, schema: str) -> DataFrame:
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS, parts)
-    blocks = _blocks(documents, buckets, block_chars)
-    words = blocks.where("bucket >= 0").select("block", "bucket", "data")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = rows.mapInArrow(lambda b: _cut_blocks(b, buckets, block_chars, True), BLOCKS).select("block", "bucket", "data")
+    mine = rows.mapInArrow(lambda b: _cut_blocks(b, buckets, block_chars, False), BLOCKS).select("block", "doc_ids", "data")
     answers = words.repartition(parts, "bucket").mapInArrow(lambda b: _encode_lists(b, path), ANSWERS)
-    mine = blocks.where("bucket < 0").select("block", "doc_ids", "data")
     return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: work(a, b, path), schema)
 
 

@@ -40,3 +40,25 @@ def test_defined_cases(spark):
     bare = df.where("lang is null")
     assert {r.lang_pred for r in language.identify(bare).collect()} == {"und"}
     assert language.identify(df.where("false")).count() == 0
+
+
+def test_copies_draw_once_and_every_language_is_learned(spark):
+    words = {"aa": "sol mar luz pan voz", "bb": "krig haus wolf stein berg", "cc": "zima voda hleb more grad"}
+    rows = []
+    for lang, line in words.items():
+        for i in range(2):
+            for _ in range(200):
+                rows.append((len(rows), f"{line} {i} " * 30, lang))
+    rows += [(len(rows) + i, f"{words['aa']} {i} " * 30, "aa") for i in range(400)]
+    rows += [(len(rows) + i, "7" * 3000 + words["bb"], "dd") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(df, dictionary_bytes=1500)
+    assert sorted(model) == ["aa", "bb", "cc", "dd"] and all(0 < len(x) <= 1500 for x in model.values())
+    assert model["dd"] == (words["bb"] + "\n").encode()
+    for lang in ("bb", "cc"):  # both texts, each once
+        assert len({x for x in model[lang].split(b"\n") if x}) == 2 and model[lang].count(b"\n") <= 2
+    assert language.learn(df.union(df), dictionary_bytes=1500) == model
+    # The smallest hashes until the dictionary is full.
+    distinct = df.where("lang = 'aa'").selectExpr("text", "shiftrightunsigned(xxhash64(text), 1) draw").distinct()
+    best = [r.text[:1024].lower() for r in distinct.orderBy("draw").collect()]
+    assert model["aa"] == "".join(x + "\n" for x in best).encode()[:1500]

@@ -6,7 +6,8 @@ repetitions), each piece is compressed with every dictionary, and the language w
 The saving over the second best, as a share of the text, is the margin; narrow margins are rejected.
 
 Bound of the sample (documented parameter): DICTIONARY_BYTES of text per language, at most MAX_LANGUAGES languages;
-the languages with most labelled rows go first. Rows are drawn by a hash of their text. All else covers all rows.
+the languages with most distinct labelled texts go first. Of a language's distinct texts with letters those with the
+smallest hashes fill its dictionary, so copies count once and each language gets text. All else covers all rows.
 
 Defined cases: a null text and one without letters are `und` with score 0; texts of few letters still get the best
 language but are marked as rejected if the margin is narrow; ties go to the language that sorts first; without
@@ -16,11 +17,12 @@ labelled rows every text is `und`; rows with a null id, repeated rows and furthe
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, per_worker, slices
@@ -34,6 +36,8 @@ MARGIN, LEAST_BYTES = 0.002, 1
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
 
 LETTER = re.compile(r"[^\W\d_]")
+#: The same characters for Spark.
+LETTERS = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
@@ -47,31 +51,44 @@ def is_held_out():
 
 def learn(rows: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES,
           max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary of at most dictionary_bytes of text per language.
+    """A dictionary of at most dictionary_bytes of text per language, of the distinct texts with the smallest hashes.
 
-    One aggregate counts the rows and bytes of each language; a second pass draws rows by hash with the
-    probability that fills the dictionary twice over.
+    The first pass counts the bytes of each language's distinct texts by the number of bits of their hash, which tells
+    up to how many bits they fill the dictionary. The second reads the pieces of these texts, each text once.
     """
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = (rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.octet_length("text"), F.lit(PIECE)))
-                                      .alias("size")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 2.0 * dictionary_bytes / max(r["size"], 1))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # A piece from a place that the hash chooses stands for a long text.
+    text = F.col("text").cast("string")
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), text.alias("text"),
+                       F.shiftrightunsigned(F.xxhash64(text), 1).alias("draw"))
+    # A piece from a place that the hash chooses stands for a long text; one without letters gives way to the first letter.
     at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1
-    drawn = (rows.withColumn("p", F.element_at(share, F.col("lang"))).where(draw < F.col("p"))
-             .select("lang", F.substring("text", at, F.lit(PIECE)).alias("piece"), draw.alias("draw")))
+    at = F.when(F.substring("text", at, F.lit(PIECE)).rlike(LETTERS), at).otherwise(F.regexp_instr("text", F.lit(LETTERS)))
+    pieces = rows.withColumn("at", at).where("at > 0").select(
+        "lang", "draw", F.substring("text", F.col("at"), F.lit(PIECE)).alias("piece"))
+    size = F.octet_length("piece") + 1
+    texts = pieces.groupBy("lang", "draw").agg(F.max(size).alias("size"))
+    bits = F.length(F.bin("draw"))
+    counted = texts.groupBy("lang", bits.alias("bits")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    if not counted:
+        return {}
+    number: Counter[str] = Counter()
+    for r in counted:
+        number[r["lang"]] += r["n"]
+    names = sorted(number, key=lambda k: (-number[k], k))[:max_languages]
+    room, last = dict.fromkeys(names, dictionary_bytes), dict.fromkeys(names, 0)
+    for r in sorted(counted, key=lambda r: r["bits"]):
+        if room.get(r["lang"], 0) > 0:
+            last[r["lang"]] = (1 << r["bits"]) - 1
+            room[r["lang"]] -= r["size"]
+    ends = rows.sparkSession.createDataFrame(list(last.items()), "lang string, last bigint")
+    drawn = (pieces.join(F.broadcast(ends), "lang").where("draw <= last")
+             .groupBy("lang", "draw").agg(F.first("piece").alias("piece")))
+    before = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(
+        F.col("before") < dictionary_bytes).select("lang", "draw", "piece")
     parts: dict[str, list[bytes]] = {}
-    room: dict[str, int] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], r["piece"])):
-        left = room.setdefault(r["lang"], dictionary_bytes)
-        if left > 0 and LETTER.search(r["piece"]):
-            piece = (r["piece"].lower() + "\n").encode()[:left]
-            parts.setdefault(r["lang"], []).append(piece)
-            room[r["lang"]] -= len(piece)
-    return {k: b"".join(v) for k, v in sorted(parts.items())}
+    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"])):
+        parts.setdefault(r["lang"], []).append((r["piece"].lower() + "\n").encode())
+    return {k: b"".join(v)[:dictionary_bytes] for k, v in sorted(parts.items())}
 
 
 def _compressors(model: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:

@@ -62,3 +62,19 @@ def test_copies_draw_once_and_every_language_is_learned(spark):
     distinct = df.where("lang = 'aa'").selectExpr("text", "shiftrightunsigned(xxhash64(text), 1) draw").distinct()
     best = [r.text[:1024].lower() for r in distinct.orderBy("draw").collect()]
     assert model["aa"] == "".join(x + "\n" for x in best).encode()[:1500]
+
+
+def test_every_label_is_learned(spark):
+    """105 labels: each has a dictionary and can be predicted, within one budget for all."""
+    def line(k):
+        return " ".join(f"{a}{chr(97 + k % 26)}{b}{chr(97 + k // 26)}{a}" for a in "bdfgk" for b in "aeiou")
+
+    rows = [(200 * i + k, line(k), f"l{k:03}") for k in range(105) for i in range(1 + (k < 100))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(df)
+    assert sorted(model) == [f"l{k:03}" for k in range(105)]
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()}
+    assert all(got[k] == f"l{k:03}" for k in range(105))
+    small = language.learn(df, total_bytes=105 * 40)
+    assert len(small) == 105 and all(len(x) == 40 for x in small.values())
+    assert len(language.learn(df, total_bytes=50)) == 105

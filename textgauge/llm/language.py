@@ -5,8 +5,9 @@ cut into pieces of at most PIECE bytes (all of them, so long texts don't drown t
 repetitions), each piece is compressed with every dictionary, and the language with the smallest total wins.
 The saving over the second best, as a share of the text, is the margin; narrow margins are rejected.
 
-Bound of the sample (documented parameter): DICTIONARY_BYTES of text per language, at most MAX_LANGUAGES languages;
-the languages with most distinct labelled texts go first. Of a language's distinct texts with letters those with the
+Bounds of the sample (documented parameters): DICTIONARY_BYTES of text per language, and TOTAL_BYTES for all, so beyond
+100 languages each one's share is smaller; every language has a dictionary. A Python worker holds up to some 0.8 MB of
+tables per language, 0.1 MB where there are a thousand. Of a language's distinct texts with letters those with the
 smallest hashes fill its dictionary, so copies count once and each language gets text. All else covers all rows.
 
 Defined cases: a null text and one without letters are `und` with score 0; texts of few letters still get the best
@@ -17,7 +18,6 @@ labelled rows every text is `und`; rows with a null id, repeated rows and furthe
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, per_worker, slices
 
 DICTIONARY_BYTES = 96 << 10
-MAX_LANGUAGES = 100
+TOTAL_BYTES = 100 * DICTIONARY_BYTES
 PIECE = 1024
 LEVEL = 6
 #: Least saving over the second best language: in bytes for each byte of the text, and in bytes.
@@ -50,8 +50,10 @@ def is_held_out():
 
 
 def learn(rows: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES,
-          max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary of at most dictionary_bytes of text per language, of the distinct texts with the smallest hashes.
+          total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
+    """A dictionary for every language, of the distinct texts with the smallest hashes.
+
+    It has at most dictionary_bytes, or an equal share of total_bytes if that is less (one byte at least).
 
     The first pass counts the bytes of each language's distinct texts by the number of bits of their hash, which tells
     up to how many bits they fill the dictionary. The second reads the pieces of these texts, each text once.
@@ -67,16 +69,14 @@ def learn(rows: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES,
     size = F.octet_length("piece") + 1
     texts = pieces.groupBy("lang", "draw").agg(F.max(size).alias("size"))
     bits = F.length(F.bin("draw"))
-    counted = texts.groupBy("lang", bits.alias("bits")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    counted = texts.groupBy("lang", bits.alias("bits")).agg(F.sum("size").alias("size")).collect()
     if not counted:
         return {}
-    number: Counter[str] = Counter()
-    for r in counted:
-        number[r["lang"]] += r["n"]
-    names = sorted(number, key=lambda k: (-number[k], k))[:max_languages]
-    room, last = dict.fromkeys(names, dictionary_bytes), dict.fromkeys(names, 0)
+    names = {r["lang"] for r in counted}
+    share = max(1, min(dictionary_bytes, total_bytes // len(names)))
+    room, last = dict.fromkeys(names, share), dict.fromkeys(names, 0)
     for r in sorted(counted, key=lambda r: r["bits"]):
-        if room.get(r["lang"], 0) > 0:
+        if room[r["lang"]] > 0:
             last[r["lang"]] = (1 << r["bits"]) - 1
             room[r["lang"]] -= r["size"]
     ends = rows.sparkSession.createDataFrame(list(last.items()), "lang string, last bigint")
@@ -84,11 +84,11 @@ def learn(rows: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES,
              .groupBy("lang", "draw").agg(F.first("piece").alias("piece")))
     before = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(
-        F.col("before") < dictionary_bytes).select("lang", "draw", "piece")
+        F.col("before") < share).select("lang", "draw", F.substring("piece", 1, share).alias("piece"))
     parts: dict[str, list[bytes]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"])):
         parts.setdefault(r["lang"], []).append((r["piece"].lower() + "\n").encode())
-    return {k: b"".join(v)[:dictionary_bytes] for k, v in sorted(parts.items())}
+    return {k: b"".join(v)[:share] for k, v in sorted(parts.items())}
 
 
 def _compressors(model: tuple[tuple[str, bytes], ...]) -> list[zstandard.ZstdCompressor]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,3 +49,19 @@ def test_against_the_library(spark):
     broken = spark.createDataFrame([(1, None), (2, [encoder.encode_ordinary("é")[0]] if len(encoder.encode_ordinary("é")) > 1 else [])],
                                    "doc_id bigint, ids array<int>")
     assert bpe.decode(broken).where("doc_id = 1 and text is null").count() == 1
+
+
+def test_blocks_of_copies_do_not_meet(spark):
+    """Blocks with equal lists of words: one block a group, in one partition or several, and right ids."""
+    rows = [(i if i % 3 else None, "the same text again", "x") for i in range(300)] + [(i, None, "x") for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, block string").coalesce(2)
+
+    def sizes(blocks, answers, path):
+        return pa.table({"doc_id": pa.array([blocks.num_rows], pa.int64())})
+
+    found = [r.doc_id for r in bpe._reassemble(df, None, 100, sizes, "doc_id bigint").collect()]
+    assert len(found) > 50 and set(found) == {1}
+    encoder = bpe._encoding(public_tokenizers.path(bpe.VOCABULARY))
+    got = bpe.encode_rows(df, block_chars=100).collect()
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(
+        ((i, encoder.encode_ordinary(t or "")) for i, t, _ in rows), key=str)

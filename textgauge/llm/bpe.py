@@ -11,9 +11,10 @@
 A word is in a block's list once, so a very common word makes one entry per block and no busy key. Decoding looks
 up the bytes of each id in the table of ranks and joins them by position.
 
-A block is named by a digest of its list. If the rows that the second cut sees make other blocks than those of the
-first, which takes an input that changes between two reads, the job fails; it never mixes up numbers. So give it
-documents that are read from files or a checkpoint.
+A block is named by a digest of its list and its place in the input (partition, number), so blocks of copies, whose
+lists are equal, don't meet in one task. If the rows that the second cut sees make other blocks than those of the
+first, or lie in other partitions, which takes an input that changes between two reads, the job fails; it never mixes
+up numbers. So give it documents that are read from files or a checkpoint.
 
 The result equals that of the tiktoken library for ranks and pattern, without special tokens. The merges of one
 pre-token are that library's; the cutting into pre-tokens is done with class tables over code points here.
@@ -37,6 +38,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,10 +143,12 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: in
                 ) -> Iterator[pa.RecordBatch]:
     """The blocks' lists of words by bucket, or else their documents with the numbers of their words."""
     classes = per_worker("classes", _classes)
+    part, places = TaskContext.get().partitionId(), count()
 
     def closed() -> Iterator[pa.RecordBatch]:
         data = [w.encode() for w in numbers]
-        name = hashlib.sha256(b"\xff".join(data)).hexdigest()
+        digest = hashlib.sha256(b"\xff".join(data)).hexdigest()
+        name = f"{digest}-{part}-{next(places)}"
         if not lists_only:
             counts = np.array([len(c) for c in codes])
             yield _batch(BLOCK_TYPES, [[name], [-1], [doc_ids], [_pack(counts, np.concatenate(codes))]])

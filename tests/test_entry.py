@@ -1,6 +1,9 @@
 """The registry, the flagship query and pluggable health checks."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +21,21 @@ def test_registry_is_consistent():
     assert set(found) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
+def test_registry_without_optional_folders(fresh):
+    """A copy without the optional folders registers everything else, with and without the pipeline's file."""
+    home = os.path.dirname(os.path.abspath(entry_module.__file__))
+    shutil.copytree(f"{home}/textgauge", f"{fresh}/textgauge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{home}/__spark_entry__.py", fresh)
+    count = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    for name in (None, "corpus_pipeline.py"):
+        if name and os.path.exists(f"{home}/{name}"):
+            shutil.copy(f"{home}/{name}", fresh)
+        out = subprocess.run([sys.executable, "-c", count], cwd=fresh, capture_output=True, text=True, check=True,
+                             env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).stdout.splitlines()
+        assert set(out[0].split()) == set(registry.registered())
+        assert set(out[1].split()) == {n for n, (_, sql) in registry.registered().items() if sql}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables not present")
 def test_flagship(spark):
     df = entry_module.entry(spark)

@@ -77,6 +77,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root if re.match(r'[a-z][a-z0-9+.-]*:', root) else 'file://' + root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: a lost executor costs nothing before it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI; on a cluster the shared folder is in a store that Arrow can open."""
     return fs.FileSystem.from_uri(uri)

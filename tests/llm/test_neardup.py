@@ -66,7 +66,7 @@ def cases(seed):
 def test_against_brute_force(spark, seed, monkeypatch):
     rows = cases(seed)
     if seed == 2:  # small bounds, so that every path is taken
-        for name, value in (("BUSY", 3), ("HELD", 500), ("CHUNK", 4), ("FLUSH", 3000), ("LEAF", 4), ("FANOUT", 2)):
+        for name, value in (("BUSY", 3), ("HELD", 500), ("CHUNK", 4), ("CHUNK_BYTES", 4000), ("FLUSH", 3000), ("LEAF", 4), ("FANOUT", 2)):
             monkeypatch.setattr(neardup, name, value)
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id bigint, text string, class string").repartition(3)
     got = neardup.join(df).collect()
@@ -117,6 +117,32 @@ def test_tree_finds_all_pairs():
     assert {(min(p), max(p)) for p in neardup.tree_pairs(sizes, fine, np.arange(len(sizes)))} == want
 
 
+def test_trees_give_joining_links_only(spark, monkeypatch):
+    """750 texts near the limit: all components are right, and no more links leave the trees than they have members."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 4000)}" for _ in range(200)]
+    rows = []
+    for i in range(750):
+        other = list(base)
+        for _ in range(3):
+            other[rng.randrange(200)] = f"v{rng.randint(0, 10 ** 6)}"
+        rows.append((i, " ".join(other)))
+    counts = {}
+
+    def counted(own, sets):
+        own, links = own.persist(), made(own, sets).persist()
+        counts["links"], counts["members"] = links.count(), own.select("lead", "class").distinct().count()
+        counts["classes"], counts["entries"] = own.select("class").distinct().count(), own.count()
+        return links
+
+    made = neardup._tree_links
+    monkeypatch.setattr(neardup, "_tree_links", counted)
+    got = neardup.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert counts["links"] <= counts["members"]
+    print(counts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

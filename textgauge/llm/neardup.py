@@ -24,9 +24,12 @@ so these must agree in some cells entirely, and documents meet in the trees of t
 Only connected groups are asked for. First each class is verified against the one partner with which it shares most
 cells, and the links found are closed to components. In a few rounds, each component is then verified by one pair of
 members against the one component with which it shares most cells. Cells whose members are in one component by then
-are finished; the others are joined by their trees, and all pairs across components that survive are verified. The
-bound is taken twice, first with the tree's few groups, then with many, where little but links survives. Members of a
-busy cell are cut into chunks, and each pair of chunks is a task of its own.
+are finished. The others are brought together by their smallest class: documents that are alike meet in many cells, most
+of which have the same smallest class, so a document takes part in a few trees instead of one a cell, and a pair comes
+up in a few places. A tree's members bring their sets. The bound is taken twice, first with the tree's few groups, then
+with many, where little but links survives; survivors are verified on the spot unless links found before join them
+already, so no more links leave a tree than it has members. Members of a large tree are cut into chunks of bounded
+number and bytes, and each pair of chunks is a task of its own.
 
 The sets are never kept as a table of all documents: they are made anew from the texts in each of the three passes,
 and only those of classes that share a cell are shuffled.
@@ -70,9 +73,12 @@ LEAF, FANOUT = 32, 16
 LOAD = 2.2
 #: Entries that a task collects before it deals them out; that a task holds of a bucket of cells.
 FLUSH, HELD = 1 << 20, 1 << 22
-#: Members of a cell beyond which they are passed on as they come; members joined in one task.
-BUSY, CHUNK = 1024, 1024
-FILTER_BITS = 1 << 23
+#: Members of a cell beyond which they are passed on as they come; members, and bytes of sets, in a chunk of a tree.
+BUSY, CHUNK, CHUNK_BYTES = 1024, 1024, 16 << 20
+#: Bytes of text whose entries are dealt to one bucket, on average.
+BUCKET_BYTES = 64 << 20
+#: Bits of the filter of wanted classes: FILTER_LOAD for each, within these bounds.
+FILTER_LOAD, LEAST_BITS, MOST_BITS = 8, 1 << 23, 1 << 28
 
 U64 = np.uint64
 ODD = 0x9E3779B97F4A7C15 | 1
@@ -392,17 +398,38 @@ def tree_pairs(sizes: np.ndarray, fine: np.ndarray, groups: np.ndarray) -> list[
     return found
 
 
+class _Joined:
+    """Union-find over components."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[max(x, y)] = min(x, y)
+
+
 def _tree_join(table: pa.Table) -> pa.Table:
-    """The surviving pairs of one cell, or of two chunks of its members."""
+    """The links that join components among the members of one tree, or between two chunks of them."""
     column = {c: table.column(c).combine_chunks() for c in table.column_names}
     classes, sizes, comps, chunks = (column[c].to_numpy(zero_copy_only=False) for c in ("class", "n", "comp", "chunk"))
     a, b = column["low"][0].as_py(), column["high"][0].as_py()
-    pairs = tree_pairs(sizes, points_of(column["point"].to_pylist(), sizes), comps)
-    if a != b:
-        pairs = [(i, j) for i, j in pairs if chunks[i] != chunks[j]]
-    lesser = [min(int(classes[i]), int(classes[j])) for i, j in pairs]
-    larger = [max(int(classes[i]), int(classes[j])) for i, j in pairs]
-    return pa.table([pa.array(lesser, pa.int64()), pa.array(larger, pa.int64())], names=["a", "b"])
+    sets, joined, links = column["shingles"], _Joined(), []
+    for i, j in tree_pairs(sizes, points_of(column["point"].to_pylist(), sizes), comps):
+        if a != b and chunks[i] == chunks[j]:
+            continue
+        x, y = joined.root(int(comps[i])), joined.root(int(comps[j]))
+        if x != y and _linked(np.frombuffer(sets[i].as_buffer(), U64), np.frombuffer(sets[j].as_buffer(), U64)):
+            joined.join(x, y)
+            links.append((int(classes[i]), int(classes[j])))
+    return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())],
+                    names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -443,13 +470,15 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _filter_bits(ids: DataFrame) -> bytes:
-    """A bit for the hash of every id; a table of fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
+    """A bit for the hash of every id. The table grows with the number of ids up to its bound; a full one only filters less."""
+    n = ids.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_LOAD * n).bit_length()))
+    place = F.pmod(F.xxhash64("class"), F.lit(size))
     # The functions count from 1.
     rows = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("at")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
     width = 4096
-    out = bytearray(FILTER_BITS // 8)
+    out = bytearray(size // 8)
     for r in rows:
         out[(r["at"] - 1) * width:r["at"] * width] = r["bits"]
     return bytes(out)
@@ -482,7 +511,7 @@ def _chosen_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _has_bit(bits: bytes, name: int) -> bool:
-    at = _xxhash64_long(name) % FILTER_BITS
+    at = _xxhash64_long(name) % (8 * len(bits))
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
@@ -518,14 +547,13 @@ def classify(documents: DataFrame) -> DataFrame:
     return arrow_pass(_texts(documents), "doc_id bigint, n_shingles bigint, class bigint", work)
 
 
-def _open(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of cells in which several components meet, with their component; and these cells' sizes."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of cells in which several components meet, with their component and their cell's smallest class."""
     own = members.join(comps, members["class"] == comps["node"], "left").select(
         "cell", "class", F.coalesce("comp", "class").alias("comp"))
     cells = own.groupBy("cell").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    own = cut(own.join(cells.select("cell", "size"), "cell"))
-    return own.drop("size"), own
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("class").alias("lead")).where("low <> high")
+    return cut(own.join(cells.select("cell", "lead"), "cell"))
 
 
 def _chosen_pairs(own: DataFrame, turn: int) -> DataFrame:
@@ -549,32 +577,38 @@ def _links(documents: DataFrame) -> DataFrame:
     """The component of every class that is linked with a smaller one: node, comp."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
     plain = _texts(documents.where(F.col("doc_id").isNotNull())).select("text")
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * parts, -(-total // BUCKET_BYTES))
     dealt = plain.mapInArrow(lambda b: _deal(b, buckets), DEALT)
-    met = _written(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "cells")
+    met = _written(dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "cells")
     members = met.where(F.col("kind") == MEMBER).select("cell", "class")
     stars = met.where(F.col("kind") == STAR).groupBy("class", "partner").agg(F.sum("shared").alias("shared"))
     first = stars.groupBy("class").agg(F.max_by("partner", F.struct("shared", "partner")).alias("partner"))
     sets = _written(_chosen_sets(documents, members.select("class").distinct()), "sets")
     near = cut(_verified(first.select(F.col("class").alias("a"), F.col("partner").alias("b")), sets))
     comps = cut(components(near))
-    own, open_cells = _open(members, comps)
+    own = _open(members, comps)
     for i in range(ROUNDS):
         new = cut(_verified(_chosen_pairs(own, i), sets))
         near = cut(near.union(new))
         comps = cut(components(near))
-        own, open_cells = _open(members, comps)
-    left = open_cells.distinct()
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
-    spread = (left.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        own = _open(members, comps)
+    return components(near.union(_tree_links(own, sets)))
+
+
+def _tree_links(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b that join the components that meet in open cells: all of them are joined that way."""
+    left = cut(own.select("lead", "class", "comp").distinct().join(sets.select("class", "n"), "class"))
+    sizes = left.groupBy("lead").agg(F.greatest(
+        F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int").alias("chunks"))
+    spread = (left.drop("n").join(sizes, "lead")
+              .withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-              .select("cell", "class", "comp", "chunk", F.least("chunk", "other").alias("low"),
+              .select("lead", "class", "comp", "chunk", F.least("chunk", "other").alias("low"),
                       F.greatest("chunk", "other").alias("high")))
-    pairs = (spread.join(sets.select("class", "n", "point"), "class").groupBy("cell", "low", "high")
-             .applyInArrow(_tree_join, "a bigint, b bigint").distinct())
-    more = _verified(pairs, sets)
-    return components(near.union(more))
+    return (spread.join(sets.select("class", "n", "point", "shingles"), "class").groupBy("lead", "low", "high")
+            .applyInArrow(_tree_join, "a bigint, b bigint"))
 
 
 def _grouped(documents: DataFrame) -> DataFrame:

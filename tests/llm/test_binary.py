@@ -28,12 +28,12 @@ def cases():
     return rows + [(None, "no id"), (None, None), (7, "seven"), (7, "seven"), (7, "other"), (1 << 62, "last")]
 
 
-@pytest.mark.parametrize("task_bytes,read_rows", [(binary.TASK_BYTES, binary.READ_ROWS), (3_000, 7)])
-def test_round_trip(spark, library, task_bytes, read_rows):
+@pytest.mark.parametrize("file_bytes,read_rows", [(binary.FILE_BYTES, binary.READ_ROWS), (3_000, 7)])
+def test_round_trip(spark, library, file_bytes, read_rows):
     rows = cases()
     schema = "doc_id bigint, text string, hash string, place int, base long"
     df = spark.createDataFrame([(*r, "h", 1, 2) for r in rows], schema).repartition(5)
-    got = binary.round_trip(df, task_bytes=task_bytes, read_rows=read_rows).collect()
+    got = binary.round_trip(df, file_bytes=file_bytes, read_rows=read_rows).collect()
     want = sorted(((d, np.array(library(t), dtype="<u4").tobytes()) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(
         ((d, len(x) // 4, zlib.crc32(x)) for d, x in want), key=str)
@@ -50,11 +50,38 @@ def test_files(spark, library):
     folder = common.shared_path(spark, "ids")
     manifest = common.written(binary.write_files(df, folder), "manifest")
     files = binary.with_bases(manifest).orderBy("base").collect()
-    data = np.concatenate([np.memmap(f.file, "<u4", "r") for f in files])
+    data = np.concatenate([np.memmap(f.file, binary.IDS, "r") for f in files])
     starts = np.concatenate([np.fromfile(f.offsets, "<u8")[:-1] + np.uint64(f.base) for f in files])
     assert [data[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)] == [library(t) for _, t in rows]
 
 
+def test_one_id_for_all(spark, library):
+    """Rows that share one id are cut into several ranges all the same."""
+    rows = [(7, f"text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    manifest = common.written(binary.write_files(df, common.shared_path(spark, "ids"), file_bytes=500), "manifest")
+    assert manifest.count() >= 5 and manifest.agg({"n_rows": "max"}).first()[0] < 200
+    got = binary.read_files(binary.with_bases(manifest), common.shared_path(spark, "ids")).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(library(t)) for _, t in rows)
+
+
+def test_range_of():
+    ids, places = np.array([1, 5, 5, 5, 9, 2]), np.array([3, 0, 4, 9, 1, 8])
+    got = binary.range_of(ids, places, np.array([2, 5, 5, 8]), np.array([9, 4, 6, 0]))
+    assert got.tolist() == [sum((b, p) <= (i, q) for b, p in [(2, 9), (5, 4), (5, 6), (8, 0)]) for i, q in zip(ids, places, strict=True)]
+
+
+def test_pieces_against_library():
+    """Texts of letters, marks, signs and blanks that a wrong cut would show in."""
+    rng = random.Random(1)
+    signs = "abzéßÿ÷×ñ AZÉÀ.,!'-s\t\n\x0b\x0c\x1c\x85\xa0\u0323\u0301\u030cJjH\u0331tT\u0308012½²中Σςσ\U0001f600İI\u212a 'st'll\x00<|>"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(20_000)]
+    encoder = binary.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    got = encoder.encode([t.encode() for t in texts])
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(np.frombuffer(g, "<u2").tolist() == w.ids for g, w in zip(got, want, strict=True))
+
+
 def test_empty(spark):
     assert binary.round_trip(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

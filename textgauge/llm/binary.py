@@ -1,25 +1,29 @@
 """Token ids as flat binary files with 64-bit document offsets, in ascending order of doc_id.
 
-Documents are dealt to tasks by ranges of their id and sorted there. A task writes one file of token ids, little-endian
-unsigned integers without any header, each document closed by the end id, and beside it a file of 64-bit offsets: where
-in the file of ids each document begins, and the file's length at the end. The manifest has one row per pair of files. A
+Documents are encoded where they are read; their ids are dealt by ranges of doc_id, whose bounds come from a sample of
+the keys, and sorted there. Each range is written as one file of token ids, little-endian unsigned integers without any
+header (16 bits where the vocabulary allows), each document closed by the end id, and beside it a file of 64-bit offsets:
+where in the file of ids each document begins, and the file's length at the end. The manifest has one row per range. A
 prefix sum over its lengths gives each file's base, the number of ids in all files before, so a document's place in the
 whole is its file's base and its offset in it. The files are read back memory-mapped (by ranges where a store cannot be
 mapped), in pieces of a file.
 
-Encoding is per piece between ASCII white space: the vocabulary's normaliser drops white space and no token spans it, so
-the ids of a text are those of its pieces in order. A task encodes each distinct piece once while it knows it.
+Encoding is per piece: the vocabulary drops white space, and its words end where punctuation begins, so a text cut at ASCII
+white space, and between an ASCII letter or digit and punctuation other than an apostrophe, has the ids of its pieces in
+order. A task encodes each distinct piece once while it knows it. Another vocabulary must keep to these two rules, and be
+a byte-level one that leaves lower-case Latin words whole.
 
 Files are named anew by each attempt of a task and count only if the manifest names them, so an executor that is lost
 leaves files that nothing reads.
 
 Defined cases: null and empty texts are the end id alone; rows without doc_id come first; rows with the same id follow
-the hash of their text, equal rows in any order; the special tokens' strings in a text are ordinary text; an empty table
+their place in the input; the special tokens' strings in a text are ordinary text; an empty table
 gives no files; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,18 +35,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_file, open_store, per_worker, shared_path, slices, utf8, written
+from .common import arrow_pass, new_file, open_store, per_worker, shared_path, slices, utf8, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-IDS, OFFSETS = "<u4", "<u8"
-#: Bytes of text that a task is to write, on average.
-TASK_BYTES = 128 << 20
+IDS, OFFSETS = "<u2", "<u8"
+#: Bytes of text that a file is to hold, on average; keys in the sample that the ranges come from, for each range.
+FILE_BYTES = 32 << 20
+SAMPLE = 50
 #: Bytes of a piece up to which its ids are kept, and how many are kept.
 SHORT, KEPT = 48, 1 << 20
 #: Documents that a reading task takes from a file.
 READ_ROWS = 1 << 16
-MANIFEST = "file string, offsets string, ids string, n_rows bigint, n_tokens bigint, first_id bigint, first_hash bigint, first_place bigint"
+MANIFEST = "number int, file string, offsets string, ids string, n_rows bigint, n_tokens bigint"
+
+
+#: Whether an ASCII letter or digit, and whether ASCII punctuation but an apostrophe, by byte.
+ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+BLANK = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
+PUNCTUATION = np.array([33 <= b <= 126 and b != 39 and not ALNUM[b] for b in range(256)])
+
+
+#: Words of lower-case Latin letters, in UTF-8: one word to the vocabulary too, and its normaliser leaves them alone.
+PLAIN = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+
+
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """The texts' pieces, and where those of each text end among them.
+
+    Texts are cut where no token can span: at ASCII white space, and before punctuation behind a letter or digit.
+    """
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    at = np.flatnonzero(ALNUM[data[:-1]] & PUNCTUATION[data[1:]]) + 1
+    spaced = np.insert(data, at, 32)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    ends += np.searchsorted(at, ends)
+    blank = BLANK[spaced]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    return spaced.tobytes().split(), np.searchsorted(starts, ends).tolist()
 
 
 class Encoder:
@@ -56,77 +93,137 @@ class Encoder:
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"ids of {path} do not fit {dtype}")
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct pieces: plain words by the vocabulary's merges alone, others by all of its steps."""
+        word, letters = self.tokenizer.model.tokenize, self.letters
+        out, others = {}, []
+        for p in pieces:
+            if PLAIN.fullmatch(p):
+                ids = [t.id for t in word(p.decode() if p.isascii() else p.decode("latin-1").translate(letters))]
+                out[p] = np.array(ids, dtype=self.dtype).tobytes()
+            else:
+                others.append(p)
+        made = self.tokenizer.encode_batch([p.decode() for p in others], add_special_tokens=False)
+        return out | {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(others, made, strict=True)}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        pieces = [x.split() for x in texts]
+        pieces, ends = pieces_of(texts)
         known = self.known
         if len(known) > KEPT:
             known.clear()
-        new = list({p for x in pieces for p in x if p not in known})
-        made = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
-        found = {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(new, made, strict=True)}
-        long = {p: ids for p, ids in found.items() if len(p) > SHORT}
-        known |= {p: ids for p, ids in found.items() if len(p) <= SHORT}
-        get = (lambda p: long[p] if len(p) > SHORT else known[p]) if long else known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        ids = list(map(known.get, pieces))
+        new = {p for p, x in zip(pieces, ids, strict=True) if x is None}
+        if new:
+            # The vocabulary's normaliser lowers case; only in ASCII does that not depend on marks that follow.
+            plain = {p: p.lower() if p.isascii() else p for p in new}
+            found = self._learn([p for p in set(plain.values()) if p not in known])
+            made = {p: found[q] if q in found else known[q] for p, q in plain.items()}
+            known |= {p: x for p, x in (made | found).items() if len(p) <= SHORT}
+            ids = [made[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+NO_ID = np.iinfo(np.int64).min
 
 
-def _tasks(documents: DataFrame, task_bytes: int) -> int:
-    total = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(1, documents.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+def _bounds(rows: DataFrame, file_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least key (id, place) of each range but the first, from a sample that is SAMPLE keys a range."""
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // file_bytes))
+    keys = rows.select("doc_id", "place").sample(min(1.0, SAMPLE * ranges / max(n, 1)), 42)
+    found = sorted((NO_ID if r[0] is None else r[0], r[1]) for r in keys.collect())
+    cuts = [found[i * len(found) // ranges] for i in range(1, ranges)] if found else []
+    return tuple(np.array([c[i] for c in cuts], dtype=np.int64) for i in (0, 1))
+
+
+def range_of(ids: np.ndarray, places: np.ndarray, bound_ids: np.ndarray, bound_places: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds are no larger than each key."""
+    low, high = np.searchsorted(bound_ids, ids, side="left"), np.searchsorted(bound_ids, ids, side="right")
+    tied = low < high
+    for i in np.unique(ids[tied]).tolist():  # ids that are bounds themselves
+        rows = np.flatnonzero(ids == i)
+        a, b = low[rows[0]], high[rows[0]]
+        low[rows] = a + np.searchsorted(bound_places[a:b], places[rows], side="right")
+    return low
 
 
 def write_files(documents: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, dtype: str = IDS,
-                task_bytes: int = TASK_BYTES) -> DataFrame:
+                file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the documents' ids and offsets in order of doc_id; the result is the manifest. Run it once, into a table."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Ids that many rows have are cut by the text's hash and the row's place in the input.
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"), "text")
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
-    dealt = keyed.repartitionByRange(_tasks(rows, task_bytes), *keys).sortWithinPartitions(*keys)
+    # Ids that many rows have are cut by the rows' places.
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("place"),
+                            F.col("text").cast("string").alias("text"))
+    bounds = _bounds(rows, file_bytes)
+    width, stop = np.dtype(dtype).itemsize, np.array([end], dtype=dtype).tobytes()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batch: pa.RecordBatch) -> list:
         encoder = per_worker(("tokenizers", path, dtype), lambda: Encoder(path, dtype))
-        width, stop = np.dtype(dtype).itemsize, np.array([end], dtype=dtype).tobytes()
+        docs, place = batch.column("doc_id"), batch.column("place")
+        number = range_of(docs.fill_null(NO_ID).to_numpy(), place.to_numpy(), *bounds)
+        return [pa.array(number.astype(np.int32)), docs, place, [x + stop for x in encoder.encode(utf8(batch.column("text")))]]
+
+    coded = arrow_pass(rows, "number int, doc_id bigint, place bigint, ids binary", encode)
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(len(bounds[0]) + 1) // 4))
+    dealt = coded.repartition(tasks, "number").sortWithinPartitions("number", F.col("doc_id").asc_nulls_first(), "place")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        first, streams, names = None, [], []
-        n_rows = n_tokens = 0
-        for batch in slices(batches):
-            if not streams:
-                store.create_dir(root, recursive=True)
-                names = [new_file(root, x) for x in (".ids", ".offsets", ".docs")]
-                streams = [store.open_output_stream(x, compression=None) for x in names]
-                first = [batch.column(c)[0].as_py() for c in ("doc_id", "hash", "place")]
-            data = [x + stop for x in encoder.encode(utf8(batch.column("text")))]
-            lengths = np.array([len(x) // width for x in data], dtype=np.int64)
-            starts = n_tokens + np.cumsum(lengths) - lengths
-            streams[0].write(b"".join(data))
-            streams[1].write(starts.astype(OFFSETS).tobytes())
-            # Two numbers a document: whether it has an id, and the id.
-            docs = batch.column("doc_id")
-            streams[2].write(np.stack([docs.is_valid().to_numpy(zero_copy_only=False).astype("<i8"),
-                                       docs.fill_null(0).to_numpy(zero_copy_only=False)], axis=1).astype("<i8").tobytes())
-            n_rows, n_tokens = n_rows + len(data), n_tokens + int(lengths.sum())
-        if streams:
-            streams[1].write(np.array([n_tokens], dtype=OFFSETS).tobytes())
-            for s in streams:
-                s.close()
-            values = [*names, n_rows, n_tokens, *first]
-            kinds = [pa.string()] * 3 + [pa.int64()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
-                                             names=[x.split()[0] for x in MANIFEST.split(", ")])
+        current = None
+        for whole in batches:
+            numbers = whole.column("number").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if current is None or current.number != numbers[a]:
+                        if current is not None:
+                            yield current.close()
+                        current = _Files(store, root, int(numbers[a]), width)
+                    for part in slices(iter([whole.slice(a, b - a)]), "ids"):
+                        current.add(part.column("doc_id"), part.column("ids").to_pylist())
+        if current is not None:
+            yield current.close()
 
     return dealt.mapInArrow(write, MANIFEST)
 
 
+class _Files:
+    """The files of one range while a task writes them: ids, offsets, and documents."""
+
+    def __init__(self, store: fs.FileSystem, root: str, number: int, width: int):
+        store.create_dir(root, recursive=True)
+        self.number, self.width, self.n_rows, self.n_tokens = number, width, 0, 0
+        self.names = [new_file(root, x) for x in (".ids", ".offsets", ".docs")]
+        self.streams = [store.open_output_stream(x, compression=None) for x in self.names]
+
+    def add(self, docs: pa.Array, ids: list[bytes]) -> None:
+        lengths = np.array([len(x) // self.width for x in ids], dtype=np.int64)
+        starts = self.n_tokens + np.cumsum(lengths) - lengths
+        self.streams[0].write(b"".join(ids))
+        self.streams[1].write(starts.astype(OFFSETS).tobytes())
+        # Two numbers a document: whether it has an id, and the id.
+        both = docs.is_valid().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy(zero_copy_only=False)
+        self.streams[2].write(np.stack(both, axis=1).astype("<i8").tobytes())
+        self.n_rows, self.n_tokens = self.n_rows + len(ids), self.n_tokens + int(lengths.sum())
+
+    def close(self) -> pa.RecordBatch:
+        self.streams[1].write(np.array([self.n_tokens], dtype=OFFSETS).tobytes())
+        for s in self.streams:
+            s.close()
+        values = [self.number, *self.names, self.n_rows, self.n_tokens]
+        kinds = [pa.int32(), *[pa.string()] * 3, pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
+                                          names=[x.split()[0] for x in MANIFEST.split(", ")])
+
+
 def with_bases(manifest: DataFrame) -> DataFrame:
     """The manifest with each file's base: the ids in all files before it. One row per file, so one task suffices."""
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "first_place")
-    before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("base", before).withColumn("number", F.row_number().over(order) - 1)
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def mapped(store: fs.FileSystem, path: str, dtype: str, start: int, count: int) -> np.ndarray:
@@ -167,9 +264,9 @@ def read_files(manifest: DataFrame, folder: str, dtype: str = IDS, read_rows: in
     return pieces.repartition(tasks, "file", "piece").mapInArrow(read, READ)
 
 
-def round_trip(documents: DataFrame, vocabulary: str | None = None, task_bytes: int = TASK_BYTES,
+def round_trip(documents: DataFrame, vocabulary: str | None = None, file_bytes: int = FILE_BYTES,
                read_rows: int = READ_ROWS) -> DataFrame:
     """Write the documents to files in the shared folder and read these back."""
     folder = shared_path(documents.sparkSession, "token-ids")
-    manifest = written(write_files(documents, folder, vocabulary, task_bytes=task_bytes), "token-ids-manifest")
+    manifest = written(write_files(documents, folder, vocabulary, file_bytes=file_bytes), "token-ids-manifest")
     return read_files(with_bases(manifest), folder, read_rows=read_rows)

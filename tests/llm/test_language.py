@@ -78,3 +78,10 @@ def test_every_label_is_learned(spark):
     small = language.learn(df, total_bytes=105 * 40)
     assert len(small) == 105 and all(len(x) == 40 for x in small.values())
     assert len(language.learn(df, total_bytes=50)) == 105
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(0, "sol mar luz pan voz " * 20, "aa"), (1, "krig haus wolf stein " * 20, "bb"), (3, "\u00b2\u2167 12 !!", None), (4, "\u00e9", None)]
+    rows += [(i, t, lang) for i, (_, t, lang) in enumerate(rows[:2], 5)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[3] == "und" and got[4] != "und"

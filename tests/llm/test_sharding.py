@@ -50,3 +50,17 @@ def test_place(spark, fresh):
     back = spark.read.parquet(f"{fresh}/out")
     where = {r.doc_id: r.shard for r in got}
     assert back.count() == 203 and all(where[r.doc_id] == r.shard_no for r in back.collect())
+
+
+def test_clashing_names(spark, fresh):
+    table = sharding.fill_table(sharding.shard_names(5), 101)
+    rows = [(i, i % 3, i % 7, "x", "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "slot bigint, shard_no int, slot_of int, Slot_No string, shard string")
+    got = sharding.place(df, ["slot", "shard"], table)
+    assert got.columns == ["slot", "shard", "slot_", "shard_"]
+    where = {r.slot: (r.slot_, r.shard_) for r in got.collect()}
+    assert set(where) == set(range(60)) and all(table[s] == n for s, n in where.values())
+    sharding.write_shards(df, "slot", table, f"{fresh}/out")
+    back = spark.read.parquet(f"{fresh}/out")
+    assert set(back.columns) == {*df.columns, "shard_no_"}
+    assert sorted(tuple(r) for r in back.select(*df.columns).collect()) == rows

@@ -17,10 +17,10 @@ labelled rows every text is `und`; rows with a null id, repeated rows and furthe
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +35,9 @@ LEVEL = 6
 MARGIN, LEAST_BYTES = 0.002, 1
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
 
-LETTER = re.compile(r"[^\W\d_]")
-#: The same characters for Spark.
-LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+#: A letter, in Python and for Spark; numerals are none.
+LETTERS = r"\p{L}"
+LETTER = regex.compile(LETTERS)
 
 
 def training_rows(documents: DataFrame) -> DataFrame:

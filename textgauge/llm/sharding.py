@@ -61,20 +61,31 @@ def fill_table(names: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[i
     return table
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores behind it as it takes to differ from those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def place(df: DataFrame, keys: Sequence[str], table: np.ndarray) -> DataFrame:
-    """The key columns of df with slot and shard, row by row."""
-    spark = df.sparkSession
-    slots = spark.createDataFrame([(i, int(s)) for i, s in enumerate(table)], "slot_no int, shard int")
-    placed = df.select(*[F.col(k) for k in keys]).withColumn(
-        "slot", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(len(table))).cast("int"))
-    return placed.join(F.broadcast(slots), placed["slot"] == slots["slot_no"]).drop("slot_no")
+    """The key columns of df with slot and shard, row by row. Where a key has one of these names, that gets underscores."""
+    slot, shard, at = (free_name(x, keys) for x in ("slot", "shard", "slot_no"))
+    slots = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"`{at}` int, `{shard}` int")
+    columns = [F.col(f"`{k}`") for k in keys]
+    placed = df.select(*columns).withColumn(slot, F.pmod(F.xxhash64(*columns), F.lit(len(table))).cast("int"))
+    return placed.join(F.broadcast(slots), placed[slot] == slots[at]).drop(at)
 
 
 def write_shards(df: DataFrame, key: str, table: np.ndarray, path: str, files_per_shard: int = 1) -> None:
-    """Write df with one folder per shard; the rows of a shard are dealt to files_per_shard tasks by their hash."""
+    """Write df with one folder per shard; the rows of a shard are dealt to files_per_shard tasks by their hash.
+
+    The folders are named by shard_no, with underscores behind it if df has such a column.
+    """
     n = int(table.max()) + 1
-    slots = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], "slot_no int, shard_no int")
-    rows = df.withColumn("slot_of", F.pmod(F.xxhash64(key), F.lit(len(table))).cast("int"))
-    rows = rows.join(F.broadcast(slots), rows["slot_of"] == slots["slot_no"]).drop("slot_no", "slot_of")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))
-    rows.repartition(n * files_per_shard, "shard_no", salt).write.partitionBy("shard_no").parquet(path)
+    shard, at, slot = (free_name(x, df.columns) for x in ("shard_no", "slot_no", "slot_of"))
+    slots = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"`{at}` int, `{shard}` int")
+    rows = df.withColumn(slot, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(len(table))).cast("int"))
+    rows = rows.join(F.broadcast(slots), rows[slot] == slots[at]).drop(at, slot)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
+    rows.repartition(n * files_per_shard, F.col(shard), salt).write.partitionBy(shard).parquet(path)

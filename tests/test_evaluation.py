@@ -196,3 +196,30 @@ def test_recovery_ladder(spark):
                    3: ("default_response", "medium")}
     voted = recovery.recover(failed, cached, preds, ("ensemble_voting", "default_response"))
     assert {r["strategy"] for r in voted.collect()} == {"ensemble_voting", "default_response"}
+
+
+@pytest.mark.parametrize("seed,slice_reports", [(1, 1000), (2, 7), (3, 5)])
+def test_weight_fold_by_slices(spark, seed, slice_reports):
+    """Slices give the weights of one fold after the other, with and without weights that reach the floor."""
+    rng = random.Random(seed)
+    models, start = ["a", "b", "c"], {"a": 0.5, "b": 0.48 if seed == 3 else 0.3, "c": 0.02 if seed == 3 else 0.2}
+    reports = [(s, m, metric, rng.choice([None, 0.2, 0.6, 0.9, 3.0]) if m != "c" or seed != 3 else 0.1)
+               for s in range(60) for metric in ("accuracy", "mae")[:1 + s % 2] for m in models + ["other"] if rng.random() < 0.8]
+    df = spark.createDataFrame(reports, "seq bigint, model_name string, metric string, value double").repartition(3)
+    weights = spark.createDataFrame(list(start.items()), "model_name string, weight double")
+    got = {(r.seq, r.metric, r.model_name): r.weight
+           for r in ensemble.fold_reports(weights, df, slice_reports).collect()}
+    now, floors, want = dict(start), 0, {}
+    for s, metric in sorted({(r[0], r[2]) for r in reports}):
+        for m in models:
+            value = next((r[3] for r in reports if r[:3] == (s, m, metric)), None)
+            if value is not None:
+                up = metric == "accuracy"
+                f = 1.05 if (value > 0.7 if up else value < 1.0) else 0.95 if (value < 0.5 if up else value > 2.0) else 1.0
+                floors += now[m] * f < 0.01
+                now[m] = max(now[m] * f, 0.01)
+        total = sum(now.values())
+        now = {m: w / total for m, w in now.items()}
+        want |= {(s, metric, m): w for m, w in now.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert seed != 3 or floors > 0

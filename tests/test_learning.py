@@ -191,3 +191,20 @@ def test_sources_round_trip(spark, fresh):
     io.append_backup(backup, f"{fresh}/b")
     from textgauge.operators.cache import newest_backup
     assert newest_backup(spark.read.parquet(f"{fresh}/b")).first()["content"] == "new"
+
+
+def test_neighbours_on_equal_lengths_rule_out_blocks(spark):
+    """Unit vectors in clusters: exact neighbours, and most block pairs are never compared."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(12, 8)), 40, axis=0) * 4 + rng.normal(size=(480, 8)) / 3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(x)], "id int, c string, x array<double>")
+    told = {}
+    got = {}
+    for r in balance.nearest(df, "id", "c", "x", 4, block_rows=20, told=told).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(480):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[[j for j in range(480) if j == i or j % 2 != i % 2]] = np.inf
+        assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(480), d))[:4].tolist()
+    assert told["compared"] < 0.4 * told["pairs"]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textgauge.operators import ordered
@@ -99,3 +100,28 @@ def test_top_per_key_and_slice_width(spark):
     assert ordered.slice_width(df, ["k"], "p", 10_000, (1000, 100, 10)) == 1000
     assert ordered.slice_width(df, ["k"], "p", 120, (1000, 100, 10)) == 100
     assert ordered.slice_width(df, ["k"], "p", 1, (1000, 100, 10)) == 10
+
+
+@pytest.mark.parametrize("few", [1, 10, 1_000])
+def test_first_n_by_selection(spark, few, monkeypatch):
+    """Ties, busy and small keys, null keys and different numbers per key, with passes of few bits."""
+    monkeypatch.setattr(ordered, "PASS_BITS", 3)
+    rng = random.Random(few)
+    rows = [(rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0, 1, 5, 7, 8, 63, 64, 900, 1023]), i) for i in range(400)]
+    rows += [("z", 3, 1000 + i) for i in range(3)]
+    wanted = {"a": 37, "b": 0, "c": 10_000, None: 5, "z": 2}
+    df = spark.createDataFrame([(k, p, i, wanted[k]) for k, p, i in rows], "k string, p int, i int, n int").repartition(3)
+    marked = ordered.first_n(df, ["k"], F.col("p"), [F.col("i").desc()], F.col("n"), bits=10, mark="first", few=few).collect()
+    assert len(marked) == len(rows)
+    want = {r[2] for k in wanted for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -r[2]))[:wanted[k]]}
+    assert {r.i for r in marked if r["first"]} == want
+    same = ordered.first_n(df, ["k"], F.col("p"), [F.col("i").desc()], 4, bits=10, few=few).collect()
+    want = {r[2] for k in wanted for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -r[2]))[:4]}
+    assert {r.i for r in same} == want
+
+
+def test_slice_width(spark):
+    df = spark.createDataFrame([("a", i * 1_000_000) for i in range(100)] + [("b", 5)], "k string, p bigint")
+    assert [ordered.slice_width(df, ["k"], "p", n) for n in (100, 99, 60, 59, 1, 0)] == [
+        ordered.SLICES[0], 60_000_000, 60_000_000, 1_000_000, 1_000_000, 1_000_000]
+    assert ordered.slice_width(df.where("false"), ["k"], "p") == ordered.SLICES[0]

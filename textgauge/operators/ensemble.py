@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES
-from ..session import small
+from ..session import cut, small
 
 # Answers when nothing was predicted, and the rules of weight adaptation.
 DEFAULT_CLASS, DEFAULT_SCORE = "medium", 5.0
@@ -116,39 +118,104 @@ def adapted(weight: Column, value: Column, metric: str | Column) -> Column:
         F.greatest(weight * factor, F.lit(MIN_WEIGHT)))
 
 
-def fold_reports(weights: DataFrame, reports: DataFrame) -> DataFrame:
-    """Weights after each report: (seq, metric, model_name, weight), one fold over all reports.
+#: Reports that one task folds.
+SLICE_REPORTS = 50_000
+
+
+def fold_reports(weights: DataFrame, reports: DataFrame, slice_reports: int = SLICE_REPORTS) -> DataFrame:
+    """Weights after each report: (seq, metric, model_name, weight).
 
     reports: (seq, model_name, metric, value), applied in order of seq and metric; a model that a
-    report leaves out keeps its weight before normalising. Weights and reports become one row.
+    report leaves out keeps its weight before normalising.
+
+    Normalising scales all weights alike, so as long as no weight falls to the floor, weights are the
+    start times a product of factors. Reports are cut into slices by seq. Each slice tells, per model,
+    the product of its factors and the least and greatest product on the way; a scan over the slices
+    carries the start weights on by these, and only a slice in which some weight may reach the floor is
+    folded at once, from its start, to know where it ends. With all starts known, the slices are folded
+    side by side. The driver holds one row per slice and model.
     """
+    start = {r["model_name"]: float(r["weight"]) for r in weights.select("model_name", "weight").collect()}
+    models = sorted(start)
     values = reports.groupBy("seq", "metric", "model_name").agg(F.max("value").alias("value"))
-    per = values.groupBy("seq", "metric").agg(F.map_from_entries(
-        F.collect_list(F.struct("model_name", "value"))).alias("values"))
-    report, weight = F.struct("seq", "metric", "values"), F.struct("model_name", "weight")
-    rows = per.select(report.alias("r")).unionByName(
-        weights.select(weight.alias("w")), allowMissingColumns=True).agg(
-        F.collect_list("r").alias("reports"), F.collect_list("w").alias("weights"))
-    kind = "array<struct<seq:bigint,metric:string,weights:array<struct<model_name:string,weight:double>>>>"
-
-    def step(acc: Column, report: Column) -> Column:
-        moved = F.transform(acc["weights"], lambda m: F.struct(
-            m["model_name"].alias("model_name"), adapted(
-                m["weight"], report["values"][m["model_name"]], report["metric"]).alias("weight")))
-        total = F.aggregate(moved, F.lit(0.0), lambda s, m: s + m["weight"])
-        new = F.transform(moved, lambda m: F.struct(
-            m["model_name"].alias("model_name"),
-            F.when(total > 0, m["weight"] / total).otherwise(F.lit(1.0) / F.size(moved)).alias("weight")))
-        return F.struct(new.alias("weights"), F.concat(acc["done"], F.array(F.struct(
-            report["seq"].alias("seq"), report["metric"].alias("metric"), new.alias("weights")))).alias("done"))
-
-    ordered = F.array_sort("reports", lambda x, y: F.when(
-        F.struct(x["seq"], x["metric"]) < F.struct(y["seq"], y["metric"]), -1).otherwise(1))
-    start = F.struct(F.col("weights").alias("weights"), F.array().cast(kind).alias("done"))
-    done = F.aggregate(ordered, start, step)["done"]
-    steps = rows.select(F.explode(done).alias("d"))
-    return steps.select("d.seq", "d.metric", F.explode("d.weights").alias("w")).select(
-        "seq", "metric", "w.model_name", "w.weight")
+    per = cut(values.groupBy("seq", "metric").agg(F.map_from_entries(
+        F.collect_list(F.struct("model_name", "value"))).alias("values")))
+    parts = max(1, -(-per.count() // slice_reports))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = per.agg(F.percentile_approx("seq", shares, 100 * parts)).first()[0] if shares else []
+    number = F.size(F.filter(F.lit(sorted(set(bounds or []))).cast("array<bigint>"), lambda b: b < F.col("seq")))
+    known = F.array(*[F.try_element_at("values", F.lit(m)) for m in models])
+    sliced = cut(per.select("seq", "metric", number.alias("slice"), known.alias("values"),
+                            F.col("metric").isin(HIGHER_IS_BETTER).alias("up")))
+    starts = _slice_starts(sliced, [start[m] for m in models])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        told = _folded(pdf, starts[int(pdf["slice"].iloc[0])])
+        pdf = pdf.sort_values(["seq", "metric"])
+        return pd.DataFrame({"seq": np.repeat(pdf["seq"].to_numpy(), len(models)), "metric": np.repeat(pdf["metric"].to_numpy(), len(models)),
+                             "model_name": np.tile(np.array(models, dtype=object), len(pdf)), "weight": told.ravel()})
+
+    return sliced.groupBy("slice").applyInPandas(fold, "seq bigint, metric string, model_name string, weight double")
+
+
+def _factors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per report of a slice, in order, and per model: its factor, and whether the report names it."""
+    pdf = pdf.sort_values(["seq", "metric"])
+    x = np.array([[np.nan if v is None else v for v in row] for row in pdf["values"]], dtype=float)
+    up = pdf["up"].to_numpy(dtype=bool)[:, None]
+    with np.errstate(invalid="ignore"):
+        good, poor = np.where(up, x > 0.7, x < 1.0), np.where(up, x < 0.5, x > 2.0)
+    return np.where(good, BOOST, np.where(poor, DECAY, 1.0)), ~np.isnan(x)
+
+
+def _folded(pdf: pd.DataFrame, start: Sequence[float]) -> np.ndarray:
+    """The weights after each report of a slice, one report after the other."""
+    factors, named = _factors(pdf)
+    out, now = np.empty(factors.shape), np.array(start, dtype=float)
+    for i, (f, has) in enumerate(zip(factors, named, strict=True)):
+        now = np.where(has, np.maximum(now * f, MIN_WEIGHT), now)
+        total = now.sum()
+        now = now / total if total > 0 else np.full(len(now), 1.0 / len(now))
+        out[i] = now
+    return out
+
+
+def _slice_starts(sliced: DataFrame, start: list[float]) -> dict[int, list[float]]:
+    """The weights at the start of each slice."""
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        factors, _ = _factors(pdf)
+        way = np.cumsum(np.log(factors), axis=0)
+        n = factors.shape[1]
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]] * n, "model": range(n), "last": way[-1], "least": way.min(axis=0),
+                             "most": way.max(axis=0)})
+
+    rows: dict[int, list] = {}
+    summary = sliced.groupBy("slice").applyInPandas(summarise, "slice int, model int, last double, least double, most double")
+    for r in summary.collect():  # one row per slice and model
+        rows.setdefault(r["slice"], []).append(r)
+    now, out, order = np.array(start), {}, sorted(rows)
+    for i, s in enumerate(order):
+        out[s] = now.tolist()
+        if i + 1 == len(order):
+            break
+        last, least, most = (np.array([r[c] for r in sorted(rows[s], key=lambda r: r["model"])]) for c in ("last", "least", "most"))
+        # The least that a weight can be on the way, with all others at their greatest.
+        high = now * np.exp(np.maximum(most, 0))
+        low = now * np.exp(np.minimum(least, 0)) * DECAY / max(high.sum(), 1e-300)
+        if (low > MIN_WEIGHT).all() and (now * DECAY > MIN_WEIGHT).all():
+            now = now * np.exp(last)
+            now = now / now.sum()
+        else:
+            now = _slice_end(sliced.where(F.col("slice") == s), out[s])
+    return out
+
+
+def _slice_end(rows: DataFrame, start: Sequence[float]) -> np.ndarray:
+    """The weights behind one slice, folded in a task."""
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"end": [_folded(pdf, start)[-1].tolist()]})
+
+    return np.array(rows.groupBy("slice").applyInPandas(end, "end array<double>").first()["end"])
 
 
 def update_weights(weights: DataFrame, report: DataFrame, metric: str) -> DataFrame:

@@ -260,8 +260,33 @@ def sample_rows(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def report_rows(split: DataFrame, metrics: DataFrame, limits: DataFrame, label: str) -> DataFrame:
-    """Evaluation report as (section, item, value): data set, metrics, compliance."""
+def model_info_rows(spark: SparkSession, info: dict[str, object]) -> DataFrame:
+    """The report's rows on the models: their kinds, number of features, test share and seed, as given."""
+    return spark.createDataFrame([("model", k, str(v)) for k, v in info.items()], "section string, item string, value string")
+
+
+def quality_row(metrics: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per model whether all of its limited metrics keep their limits: acceptable, else mixed."""
+    passed = F.bool_and(F.col("label") == "PASS")
+    return verdicts(metrics, limits).groupBy("model_name").agg(passed.alias("p")).select(
+        F.lit("quality").alias("section"), F.col("model_name").alias("item"),
+        F.when(F.col("p"), "acceptable").otherwise("mixed").alias("value"))
+
+
+def report_rows(split: DataFrame, metrics: DataFrame, limits: DataFrame, label: str,
+                info: dict[str, object] | None = None) -> DataFrame:
+    """Evaluation report as (section, item, value): data set, metrics, compliance, and what is told of the models.
+
+    With info, rows on the data set's total and shares, the models and their overall quality are added.
+    """
+    if info is not None:
+        plain = report_rows(split, metrics, limits, label)
+        sizes = split.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t"))
+        share = lambda x: F.concat(F.round(x / F.col("n") * 100, 1).cast("string"), F.lit("%"))
+        told = {"total_samples": F.col("n").cast("string"), "test_share": share(F.col("t")), "train_share": share(F.col("n") - F.col("t"))}
+        sums = sizes.select(F.lit("dataset").alias("section"), F.explode(F.create_map(
+            *[x for i, v in told.items() for x in (F.lit(i), v)])).alias("item", "value"))
+        return plain.unionByName(sums).unionByName(model_info_rows(split.sparkSession, info)).unionByName(quality_row(metrics, limits))
     data = split.groupBy("split").agg(F.count("*").alias("n")).select(
         F.lit("dataset").alias("section"), F.concat("split", F.lit("_samples")).alias("item"),
         F.col("n").cast("string").alias("value"))

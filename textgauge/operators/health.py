@@ -114,15 +114,18 @@ def component_alerts(health: DataFrame) -> DataFrame:
 
 
 def suppress_repeats(alerts: DataFrame, resolutions: DataFrame, keys: Sequence[str],
-                     width: int | None = None, open_keys: DataFrame | None = None) -> DataFrame:
+                     width: int | None = None, open_keys: DataFrame | None = None,
+                     resolved_by: Sequence[str] | None = None) -> DataFrame:
     """Alerts that are raised: per key, the first one since the key was last resolved.
 
-    Both tables have (keys, ts). The last resolution is found by a sliced as-of match; the first
+    Both tables have (keys, ts); resolutions may name some of the keys only (resolved_by) and then
+    resolve all that agree in these. The last resolution is found by a sliced as-of match; the first
     alert of each span between resolutions is a plain aggregate, combined map-side. Keys in
     `open_keys` are already open when the tables begin, so their first span raises nothing.
     """
-    res = resolutions.select(*keys, "ts").distinct().withColumn("_resolved", F.col("ts"))
-    spans = asof(alerts, res, keys, "ts", "_resolved", width)
+    by = list(resolved_by or keys)
+    res = resolutions.select(*by, "ts").distinct().withColumn("_resolved", F.col("ts"))
+    spans = asof(alerts, res, by, "ts", "_resolved", width)
     rest = [c for c in alerts.columns if c not in keys]
     order = [F.col("ts"), *[F.col(c) for c in rest if c != "ts"]]
     firsts = spans.groupBy(*keys, "_resolved").agg(

@@ -13,9 +13,16 @@ from .telemetry import at_time
 
 def search(logs: DataFrame, tie: Sequence[str], correlation_id: str | None = None,
            event_type: str | None = None, level: str | None = None, as_of: str | None = None,
-           minutes: int | None = None, limit: int = 100) -> DataFrame:
-    """Newest entries matching all given filters."""
+           minutes: int | None = None, limit: int = 100, metadata: dict[str, object] | None = None) -> DataFrame:
+    """Newest entries matching all given filters.
+
+    metadata gives values by path into the entries' metadata, a VARIANT column: {"$.request.user": 7}. An entry whose
+    path is missing or has a value of another kind does not match.
+    """
     out = logs
+    for path, value in (metadata or {}).items():
+        kind = {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+        out = out.where(F.try_variant_get("metadata", path, kind) == F.lit(value))
     for name, value in (("correlation_id", correlation_id), ("event_type", event_type),
                         ("level", level)):
         if value is not None:
@@ -25,6 +32,11 @@ def search(logs: DataFrame, tie: Sequence[str], correlation_id: str | None = Non
     return out.orderBy(F.col("ts").desc(), *[F.col(c).desc() for c in tie]).limit(limit)
 
 
+def with_metadata(logs: DataFrame, text: str, out: str = "metadata") -> DataFrame:
+    """The entries with their metadata, JSON text of any shape, as VARIANT; NULL where it is no JSON."""
+    return logs.withColumn(out, F.try_parse_json(F.col(text)))
+
+
 def trace(logs: DataFrame, correlation_id: str, tie: Sequence[str], limit: int = 1000) -> DataFrame:
     """The entries of one request."""
     return search(logs, tie, correlation_id=correlation_id, limit=limit)

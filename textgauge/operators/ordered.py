@@ -36,17 +36,15 @@ def slice_width(df: DataFrame, keys: Sequence[str], pos: str, max_rows: int = SL
                 widths: Sequence[int] = SLICES) -> int:
     """The widest of `widths` whose fullest (key, slice) holds at most `max_rows`, else the last.
 
-    One map-side combined count at the finest width answers for all of them.
+    One job: rows are counted, combined map-side, at the finest width, and these counts are rolled
+    up to all widths at once.
     """
     fine = widths[-1]
     counts = df.groupBy(*keys, slice_of(pos, fine).alias("_s")).agg(F.count("*").alias("_n"))
-    for width in widths:
-        top = counts.groupBy(*keys, F.floor(F.col("_s") * fine / width)).agg(
-            F.sum("_n").alias("_n")
-        ).agg(F.max("_n")).first()[0]
-        if top is None or top <= max_rows:
-            return width
-    return fine
+    at = F.explode(F.array(*[F.struct(F.lit(w).cast("bigint").alias("_w"), F.floor(F.col("_s") * fine / w).alias("_c")) for w in widths]))
+    rolled = counts.select(*keys, "_n", at.alias("_a")).groupBy(*keys, "_a").agg(F.sum("_n").alias("_n"))
+    fullest = {r["_w"]: r["_n"] for r in rolled.groupBy("_a._w").agg(F.max("_n").alias("_n")).collect()}  # one row a width
+    return next((w for w in widths if fullest.get(w, 0) <= max_rows), fine)
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,6 +74,46 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
             .where(F.col("_rn") <= n).drop("_rn"))
 
 
+#: Bits of an order's position that one pass of first_n tells apart.
+PASS_BITS = 16
+
+
+def first_n(df: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], n: int | Column,
+            bits: int = 62, mark: str | None = None, few: int = SLICE_ROWS) -> DataFrame:
+    """The first n rows per key by (pos, order), by selection instead of numbering all rows.
+
+    pos is an integer in [0, 2^bits); order, which must be total together with it, decides among equal positions. n may
+    be a column that is the same for all rows of a key. Each pass counts the rows of a key by the next PASS_BITS bits of
+    pos, map-side combined, among those that share the bits found so far, until the range in which the n-th row lies has
+    `few` rows of a key at most; only these are ordered. With `mark`, all rows come back, with that boolean column.
+    """
+    want = F.lit(n).cast("bigint") if isinstance(n, int) else n.cast("bigint")
+    rows = df.withColumns({"_pos": pos.cast("bigint"), "_want": want, "_g": F.struct(F.lit(0).alias("_0"), *keys)})
+    found, at = None, bits  # per key the range of its n-th row, and the rows before it
+    while at > 0 and (found is None or (found.agg(F.max("_n")).first()[0] or 0) > few):
+        shift = max(0, at - PASS_BITS)
+        part, held = rows, ["_g"]
+        if found is not None:
+            part = rows.join(found.select("_g", "_range", "_before"), "_g").where(F.shiftright("_pos", at) == F.col("_range"))
+            held.append("_before")
+        counts = part.groupBy(*held, F.shiftright("_pos", shift).alias("_range")).agg(
+            F.count("*").alias("_n"), F.max("_want").alias("_want"))
+        run = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_n").over(run), F.lit(0)) + (F.lit(0) if found is None else F.col("_before"))
+        placed = counts.withColumn("_start", start).where(
+            (F.col("_start") < F.col("_want")) & (F.col("_start") + F.col("_n") >= F.col("_want")))
+        found, at = cut(placed.select("_g", "_range", F.col("_start").alias("_before"), "_n")), shift
+    # Keys with fewer rows than wanted have no such range: all of theirs are taken.
+    joined = rows.join(found.drop("_n"), "_g", "left").withColumn("_mine", F.shiftright("_pos", at))
+    flag = mark or "_first"
+    inside = F.coalesce(F.col("_mine") == F.col("_range"), F.lit(False))
+    rest = joined.where(~inside).withColumn(flag, (F.col("_want") > 0) & (F.col("_range").isNull() | (F.col("_mine") < F.col("_range"))))
+    number = F.row_number().over(Window.partitionBy("_g").orderBy("_pos", *order))
+    tied = joined.where(inside).withColumn(flag, F.col("_before") + number <= F.col("_want"))
+    out = rest.select(*df.columns, flag).unionByName(tied.select(*df.columns, flag))
+    return out if mark else out.where(flag).drop(flag)
+
+
 def rank_in_key(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column],
                 out: str = "rank", total: str | None = None) -> DataFrame:
     """Row number per key over (chunk, order); `chunk` must rise with the wanted order.

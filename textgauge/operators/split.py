@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small
-from .ordered import rank_in_key
+from .ordered import first_n
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -41,18 +41,17 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
                      ) -> DataFrame:
     """Append `split` ('train' / 'test'): exact per-class sizes, whatever the partitioning.
 
-    Rows of a class are ranked by a seeded digest of their key. The digest's first digits cut each
-    class into 4,096 chunks, so a class with most of the rows is ranked by many tasks.
+    A class's test rows are those with the least seeded digests of their key. They are found by
+    selection, so no class is ordered as a whole.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    hashed = df.withColumn("_digest", digest).withColumn(
-        "_chunk", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
-    ranked = rank_in_key(hashed, [label], "_chunk", [F.col("_digest"), F.col(key)], "_rank")
     quotas = small(
-        test_quotas(class_counts(df, label), label, test_share).select(label, "test_rows"))
-    return ranked.join(quotas, label).withColumn(
-        "split", F.when(F.col("_rank") <= F.col("test_rows"), "test").otherwise("train")
-    ).select(*df.columns, "split")
+        test_quotas(class_counts(df, label), label, test_share).select(label, F.col("test_rows").alias("_quota")))
+    # Fifteen hexadecimal digits are the 60 bits that the selection goes by; the whole digest decides among equal ones.
+    hashed = df.withColumn("_digest", digest).withColumn(
+        "_at", F.conv(F.substring("_digest", 1, 15), 16, 10).cast("bigint")).join(quotas, label)
+    marked = first_n(hashed, [label], F.col("_at"), [F.col("_digest"), F.col(key)], F.col("_quota"), bits=60, mark="_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def split_info(split: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered import micros, top_per_key
+from .ordered import first_n, micros, top_per_key
 
 # Alert tiers of model and host metrics as (direction, warning, critical).
 MODEL_TIERS = {
@@ -23,6 +23,10 @@ HOST_TIERS = {
 DEGRADATION = 0.1
 WATCHED = {"accuracy": -1, "f1_score": -1, "mae": 1, "avg_confidence": -1}
 BASELINE_SNAPSHOTS = 5
+# How many of the newest rows each table keeps per key.
+RETAINED = {"metrics": 10_000, "snapshots": 100, "hosts": 1_000, "health": 100, "calls": 1_000, "actions": 1_000, "logs": 10_000}
+#: A time behind all others, in microseconds: 2^61.
+NEVER_US = 1 << 61
 
 
 def at_time(as_of: str) -> Column:
@@ -219,7 +223,16 @@ def retain_newest(df: DataFrame, keys: Sequence[str], n: int, tie: str, as_of: s
     """The newest n rows per key, optionally only those of the last `seconds`."""
     if as_of is not None and seconds is not None:
         df = since(df, as_of, seconds)
-    return top_per_key(df, keys, [F.col("ts").desc(), F.col(tie).desc()], n)
+    # Newest first: positions count down from a time that lies beyond all.
+    return first_n(df, keys, F.lit(NEVER_US) - micros("ts"), [F.col(tie).desc()], n)
+
+
+def retain_all(tables: dict[str, tuple[DataFrame, Sequence[str], str]], as_of: str, window_seconds: int = 3600,
+               limits: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """What each of the named tables (rows, keys, tie) keeps: the newest rows per key, and metrics those of two windows."""
+    limits = limits or RETAINED
+    return {name: retain_newest(df, keys, limits[name], tie, *((as_of, 2 * window_seconds) if name == "metrics" else ()))
+            for name, (df, keys, tie) in tables.items()}
 
 
 def retain_alerts(alerts: DataFrame, tie: str, limit: int = 1000, resolved: int = 500) -> DataFrame:

@@ -145,6 +145,15 @@ def report(spark, sf):
                           ev.limits_table(spark), "problem_class")
 
 
+INFO = {"classification_model": "voting", "regression_model": "forest", "feature_count": 3015, "test_size": 0.2, "random_state": 42}
+
+
+def full_report(spark, sf):
+    """The report with the rows on the data set's shares, the models and their quality."""
+    return ev.report_rows(split_rows(spark, sf), ev.evaluate_models(predictions(spark, sf)), ev.limits_table(spark),
+                          "problem_class", INFO)
+
+
 def profile(spark, sf):
     df = profiles.core_profile(problems(spark, sf), "description", PROSE_WORDS)
     out = ordered.column_profile(df, ["problem_score", *profiles.CORE_FEATURES])
@@ -221,6 +230,18 @@ def stand_in_metrics(spark, sf):
         ev.evaluate_or_fallback(preds, MODELS[0])), "value")
 
 
+REPORT_SQL = (
+        METRICS_SQL + "," + QUOTA_SQL.replace(f"problems AS ({PROBLEMS_SQL}),", "") + f"""
+      SELECT 'dataset' AS section, split || '_samples' AS item, CAST(count(*) AS VARCHAR) AS value
+        FROM split GROUP BY split
+      UNION ALL SELECT 'class_distribution', problem_class, CAST(count(*) AS VARCHAR) FROM split
+        WHERE split = 'train' GROUP BY problem_class
+      UNION ALL SELECT 'metrics', model_name || '.' || metric, printf('%.3f', value) FROM metrics
+      UNION ALL SELECT 'compliance', model_name || '.' || metric, CASE WHEN
+        CASE WHEN kind = 'min' THEN value >= threshold ELSE value <= threshold END THEN 'PASS'
+        ELSE 'WARN' END FROM metrics JOIN {limits_sql(ev.LIMITS)} USING (metric)""")
+
+
 QUERIES = {
     "fil_split_checks": (split_checks, SPLIT_CHECKS_SQL),
     "ml_stand_in_metrics": (stand_in_metrics, METRICS_SQL + f"""
@@ -365,16 +386,15 @@ QUERIES = {
             THEN 'warning' ELSE 'healthy' END AS status
           FROM (SELECT DISTINCT model_name FROM more) m LEFT JOIN graded g USING (model_name)
           GROUP BY 1"""),
-    "ml_evaluation_report": (report, (
-        METRICS_SQL + "," + QUOTA_SQL.replace(f"problems AS ({PROBLEMS_SQL}),", "") + f"""
-      SELECT 'dataset' AS section, split || '_samples' AS item, CAST(count(*) AS VARCHAR) AS value
-        FROM split GROUP BY split
-      UNION ALL SELECT 'class_distribution', problem_class, CAST(count(*) AS VARCHAR) FROM split
-        WHERE split = 'train' GROUP BY problem_class
-      UNION ALL SELECT 'metrics', model_name || '.' || metric, printf('%.3f', value) FROM metrics
-      UNION ALL SELECT 'compliance', model_name || '.' || metric, CASE WHEN
-        CASE WHEN kind = 'min' THEN value >= threshold ELSE value <= threshold END THEN 'PASS'
-        ELSE 'WARN' END FROM metrics JOIN {limits_sql(ev.LIMITS)} USING (metric)""")),
+    "ml_evaluation_report": (report, REPORT_SQL),
+    "ml_evaluation_report_full": (full_report, REPORT_SQL + f"""
+      UNION ALL SELECT 'dataset', 'total_samples', CAST(count(*) AS VARCHAR) FROM split
+      UNION ALL SELECT 'dataset', s || '_share', CAST(round(count_if(split = s) * 100.0 / count(*), 1) AS VARCHAR) || '%'
+        FROM split, (VALUES ('test'), ('train')) AS v(s) GROUP BY s
+      UNION ALL SELECT 'model', k, v FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in INFO.items())}) AS i(k, v)
+      UNION ALL SELECT 'quality', model_name, CASE WHEN bool_and(CASE WHEN kind = 'min' THEN value >= threshold
+        ELSE value <= threshold END) THEN 'acceptable' ELSE 'mixed' END
+        FROM metrics JOIN {limits_sql(ev.LIMITS)} USING (metric) GROUP BY 2"""),
     "top_fallback_chain": (
         lambda spark, sf: rounded(ev.fallback_chain(
             ev.evaluate_models(predictions(spark, sf))), "value"),

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cache
 from ..operators import ensemble as en
+from ..operators import logs
 from ..session import scratch
-from ..sources import io
+from ..sources import io, snapshot
 from .ensembles import REPORTS_SQL, START_SQL, reports, start_weights
-from .fixtures import HOSTS_SQL, LOGS_SQL, PROBLEMS_SQL, SNAPSHOTS_SQL, TELEMETRY_SQL
+from .fixtures import AS_OF, HOSTS_SQL, LOGS_SQL, PROBLEMS_SQL, SNAPSHOTS_SQL, TELEMETRY_SQL
 from .fixtures import hosts, problems, rounded, snapshots, table, telemetry
 from .fixtures import logs as log_table
 from .service import HITS_SQL, marked_hits
@@ -142,7 +143,75 @@ def recovery_actions(spark, sf):
         (F.col("confidence") > 0.4).alias("success"))
 
 
+def state_tables(spark, sf):
+    """All that the service exports: ensemble, telemetry, alerts, health and recovery, with their histories and statistics."""
+    from ..operators import alerts as al
+    from ..operators import health, recovery, telemetry as tm
+    from .service import RULES
+    from .telemetry import alert_rows, alert_table, component_rows
+    hits, actions = marked_hits(spark, sf), recovery_actions(spark, sf)
+    return {
+        "ensemble_weights": start_weights(spark, sf), "ensemble_history": reports(spark, sf),
+        "metrics": telemetry(spark, sf), "snapshots": snapshots(spark, sf), "metric_alerts": alert_table(spark, sf),
+        "alerts_active": hits.where("NOT resolved"), "alerts_history": hits, "alert_rules": al.rules_table(spark, RULES),
+        "alert_statistics": tm.alert_totals(alert_table(spark, sf)),
+        "health_hosts": hosts(spark, sf), "health_components": component_rows(spark, sf), "health_alerts": alert_rows(spark, sf),
+        "recovery_actions": actions,
+        "recovery_statistics": actions.groupBy("action").agg(F.count("*").alias("total"), F.count_if("success").alias("successes")),
+        "recovery_metrics": hosts(spark, sf).drop("host")}
+
+
+def state_export(spark, sf):
+    """The state exported whole, a second export that stops before its manifest, and what a reader then finds."""
+    path = scratch(spark, "state")
+    tables = state_tables(spark, sf)
+    n = tables["metrics"].count()
+    snapshot.save_state(spark, path, tables, {"min_weight": en.MIN_WEIGHT, "weight_decay": en.DECAY, "weight_boost": en.BOOST,
+                                              "prediction_count": n}, AS_OF)
+    snapshot.write_tables(f"{path}/export-stopped", {"metrics": tables["metrics"].limit(0), "snapshots": tables["snapshots"]})
+    found, settings = snapshot.load_state(spark, path)
+    out = spark.createDataFrame([(f"settings.{k}", float(v)) for k, v in settings.items()], "part string, n double")
+    for name, df in found.items():
+        out = out.unionByName(df.agg(F.count("*").cast("double").alias("n")).select(F.lit(name).alias("part"), "n"))
+    sums = found["recovery_statistics"].select(F.concat_ws(".", F.lit("recovered"), "action").alias("part"),
+                                               F.col("successes").cast("double").alias("n"))
+    return rounded(out.unionByName(sums), "n")
+
+
+def state_export_sql() -> str:
+    from .service import RULES
+    from .telemetry import ALERT_TABLE_SQL, COMPONENT_ALERTS_SQL, COMPONENTS_SQL
+    counts = {"ensemble_weights": START_SQL, "ensemble_history": REPORTS_SQL, "metrics": TELEMETRY_SQL, "snapshots": SNAPSHOTS_SQL,
+              "metric_alerts": ALERT_TABLE_SQL, "alerts_active": f"SELECT * FROM ({HITS_SQL}) h WHERE event_id % 3 <> 0",
+              "alerts_history": HITS_SQL, "alert_rules": f"SELECT unnest(range({len(RULES)}))", "alert_statistics": "SELECT 1",
+              "health_hosts": HOSTS_SQL, "health_components": COMPONENTS_SQL, "health_alerts": COMPONENT_ALERTS_SQL,
+              "recovery_actions": TELEMETRY_SQL, "recovery_statistics": "SELECT unnest(range(3))", "recovery_metrics": HOSTS_SQL}
+    fixed = {"min_weight": en.MIN_WEIGHT, "weight_decay": en.DECAY, "weight_boost": en.BOOST}
+    return " UNION ALL ".join(
+        [f"SELECT '{n}' AS part, CAST(count(*) AS DOUBLE) AS n FROM ({sql}) x" for n, sql in counts.items()]
+        + [f"SELECT 'settings.{k}', CAST({v} AS DOUBLE)" for k, v in fixed.items()]
+        + [f"SELECT 'settings.prediction_count', CAST(count(*) AS DOUBLE) FROM ({TELEMETRY_SQL}) x",
+           f"""SELECT 'recovered.' || CASE WHEN event_id % 3 = 0 THEN 'retry' WHEN event_id % 3 = 1 THEN 'fallback' ELSE 'cache' END,
+             CAST(count_if(confidence > 0.4) AS DOUBLE) FROM ({TELEMETRY_SQL}) x GROUP BY 1"""])
+
+
+def found_by_metadata(spark, sf):
+    """Log entries whose metadata, JSON text of several shapes, name one role and an even turn below a nested path."""
+    i = F.col("turn")
+    text = (F.when(i % 5 == 4, F.lit("no json")).when(i % 5 == 3, F.to_json(F.struct(F.col("event_type").alias("request"))))
+            .otherwise(F.to_json(F.struct(F.struct(F.struct(F.col("event_type").alias("role"), (i % 2 == 0).alias("even"),
+                                                            F.array(i).alias("turns")).alias("user")).alias("request")))))
+    rows = logs.with_metadata(log_table(spark, sf).withColumn("text", text), "text")
+    out = logs.search(rows, ["conv_id", "turn"], limit=200, metadata={"$.request.user.role": "user", "$.request.user.even": True})
+    return out.select("conv_id", "turn", F.try_variant_get("metadata", "$.request.user.turns[0]", "bigint").alias("first"),
+                      F.md5("message").alias("digest"))
+
+
 QUERIES = {
+    "src_export_state": (state_export, state_export_sql()),
+    "fil_log_metadata": (found_by_metadata, f"""
+      SELECT conv_id, turn, turn AS first, md5(message) AS digest FROM ({LOGS_SQL}) l
+      WHERE event_type = 'user' AND turn % 2 = 0 AND turn % 5 < 3 ORDER BY ts DESC, conv_id DESC, turn DESC LIMIT 200"""),
     "src_export_recovery": (recovery_export, f"""
       SELECT CASE WHEN event_id % 3 = 0 THEN 'retry' WHEN event_id % 3 = 1 THEN 'fallback' ELSE 'cache' END AS action,
         confidence > 0.4 AS success, count(*) AS n, epoch_us(date_trunc('millisecond', min(ts))) AS first

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import balance, evaluate, models, scoring, split, tfidf
+from ..operators import balance, boosting, kernel, models, scoring, split, tfidf
 from ..session import cut, scratch
 from ..schemas import CLASSES
 from .fixtures import PROBLEMS_SQL, REQUESTS_SQL, problems, requests, rounded, table, texts
@@ -203,19 +203,12 @@ FEATURE_VECTORS_SQL = f"""
   i AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM v)
   SELECT doc_id AS problem_id, idx, round(weight, 6) AS weight FROM weights JOIN i USING (term)"""
 
-# The published sizes but for the boosting rounds: Spark fits one tree of one class after the other, and 900 trees
-# of depth 12 take more than half an hour even on a few hundred rows. The library's defaults are the full ones.
-ROUNDS = 2
-SIZES = models.Sizes(boost_rounds=ROUNDS)
-_MODELS: dict = {}
+SIZES = models.Sizes()
 
 
 def trained_model(spark, sf):
-    """A model of the labelled documents with its split, fitted once per session and table folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        _MODELS[key] = scoring.train(problems(spark, sf), SIZES, stop_words=STOP, words=PROSE_WORDS)
-    return _MODELS[key]
+    """A model of the labelled documents, of the published sizes, with its split."""
+    return scoring.train(problems(spark, sf), SIZES, stop_words=STOP, words=PROSE_WORDS)
 
 
 def properties(rows, *conditions):
@@ -293,33 +286,122 @@ ANSWERED_SQL = f"""
                "doc_id", "text", PROSE_WORDS))}) a"""
 
 
-def zoo(spark, sf):
-    """Fit every model of the zoo on the labelled documents; all predictions of held-out rows keep the rules."""
+def zoo_data(spark, sf):
+    """Features of the labelled documents with their split, and the split itself."""
     p = problems(spark, sf).select("problem_id", F.col("description").alias("text"),
                                    "problem_class", "problem_score")
     parts = cut(split.stratified_split(p, "problem_id", "problem_class"))
-    train_rows = parts.where("split = 'train'")
-    features = models.fit_features(train_rows, "problem_id", "text", "problem_class", SIZES, STOP,
+    features = models.fit_features(parts.where("split = 'train'"), "problem_id", "text", "problem_class", SIZES, STOP,
                                    PROSE_WORDS)
-    data = cut(models.add_features(parts, "text", features).select(
-        "problem_id", "problem_class", "problem_score", "split", "features"))
-    fitted = models.fit_zoo(data.where("split = 'train'"), "problem_class", "problem_score",
-                            boost_rounds=ROUNDS, iterations=200)
-    preds = cut(models.zoo_predictions(fitted, data.where("split = 'test'"), "problem_id",
-                                       "problem_class", "problem_score"))
-    rules = prediction_rules(*majority_share(parts))
-    out = None
-    for name in sorted(fitted):
-        rows = properties(preds.where(F.col("model_name") == name), *rules).withColumn("model_name", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return cut(models.add_features(parts, "text", features).select(
+        "problem_id", "problem_class", "problem_score", "split", "features")), parts
+
+
+def zoo_model(name):
+    """Fit one model of the zoo on the labelled documents; its predictions of held-out rows keep the rules."""
+    def query(spark, sf):
+        data, parts = zoo_data(spark, sf)
+        fitted = models.fit_zoo(data.where("split = 'train'"), "problem_class", "problem_score", names=[name])
+        preds = cut(models.zoo_predictions(fitted, data.where("split = 'test'"), "problem_id", "problem_class",
+                                           "problem_score"))
+        return properties(preds, *prediction_rules(*majority_share(parts)))
+    return query
+
+
+class WordLimits:
+    """A rule as a model: long texts are hard. Anything with transform() can stand in a dict of models."""
+
+    def __init__(self, limits, sure):
+        self.limits, self.sure = limits, sure
+
+    def transform(self, df):
+        words = F.size(F.split(F.trim("text"), " +"))
+        cls = sum(((words > n).cast("double") for n in self.limits[1:]), (words > self.limits[0]).cast("double"))
+        out = df.withColumn("prediction", cls)
+        if self.sure is None:
+            return out
+        rest = (1 - self.sure) / 2
+        return out.withColumn("probability", F.array(*[F.when(cls == k, F.lit(self.sure)).otherwise(F.lit(rest)) for k in range(3)]))
+
+
+class Broken:
+    def transform(self, df):
+        raise RuntimeError("no model")
+
+
+def stacked(spark, sf):
+    """Predictions of a dict of models of several kinds, one of them broken, for every document."""
+    from ..operators.ensemble import long_predictions
+
+    rows = texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return rounded(long_predictions(rows, {"short": WordLimits((40, 200), 0.8), "broken": Broken(), "long": WordLimits((100, 900), None)})
+                   .withColumn("p0", F.get("probs", F.lit(0))).withColumn("p1", F.get("probs", F.lit(1))).drop("probs"), "p0", "p1")
+
 
+STACKED_SQL = """
+  WITH w AS (SELECT doc_id AS id, len(regexp_split_to_array(trim(text, ' '), ' +')) AS n FROM documents),
+  m AS (SELECT id, 'short' AS model_name, 0 AS model_pos, (n > 40)::INT + (n > 200)::INT AS c, true AS sure FROM w
+        UNION ALL SELECT id, 'long', 2, (n > 100)::INT + (n > 900)::INT, false FROM w)
+  SELECT id, model_name, model_pos, CAST(c AS DOUBLE) AS prediction,
+    CASE WHEN sure THEN CASE WHEN c = 0 THEN 0.8 ELSE 0.1 END END AS p0,
+    CASE WHEN sure THEN CASE WHEN c = 1 THEN 0.8 ELSE 0.1 END END AS p1 FROM m"""
 
-ZOO_SQL = f"""
-  SELECT model_name, property, holds FROM ({properties_sql(*RULES)}) p, (VALUES
-    ('logistic_regression_classifier'), ('logistic_regression_regressor'), ('random_forest_classifier'),
-    ('random_forest_regressor'), ('svm_classifier'), ('gradient_boosting_classifier'),
-    ('gradient_boosting_regressor')) AS m(model_name)"""
+
+def kernel_map(spark, sf):
+    """Gaussian kernels of every 50th vector with all, and whether mapped rows' products are close to them."""
+    gamma = 1.0 / 64
+    rows = vectors(spark, sf).withColumn("v", array_to_vector("x"))
+    idx, val = boosting.entries("v")
+    mapped = cut(rows.select("vec_id", "x", kernel.fourier_map(idx, val, 64, gamma).alias("z")))
+    asked = mapped.where("vec_id % 50 = 0").toDF("query_id", "qx", "qz")
+    # The stated query set meets all rows: blocks of it are broadcast in turn where there are many.
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    gap = F.aggregate(F.zip_with("x", "qx", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    out = mapped.crossJoin(asked).select("query_id", "vec_id", F.exp(-gamma * gap).alias("kernel"), dot("z", "qz").alias("made"))
+    return rounded(out.select("query_id", "vec_id", "kernel", (F.abs(F.col("made") - F.col("kernel")) < 0.1).alias("close")), "kernel")
+
+
+KERNEL_SQL = """
+  WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+  SELECT a.vec_id AS query_id, b.vec_id, round(exp(-pow(list_distance(a.x, b.x), 2) / 64), 6) AS kernel, true AS close
+  FROM e a JOIN e b ON a.vec_id % 50 = 0"""
+
+
+def root_gains(spark, sf):
+    """What every split of the 15 features takes from the first residuals of each class, on the labelled documents."""
+    from ..functions.profiles import CORE_FEATURES, core_profile
+
+    p = problems(spark, sf).select(F.col("description").alias("text"), "problem_class")
+    rows = core_profile(p, "text", PROSE_WORDS).select(
+        array_to_vector(F.array(*[F.col(c).cast("double") for c in CORE_FEATURES])).alias("features"),
+        models.label_index("problem_class").alias("label"))
+    gains = boosting.first_gains(cut(rows), "label", len(CLASSES))
+    return rounded(gains.select("tree", "feature", "bin", "n_left", "n_right", "gain"), "gain", places=5)
+
+
+def root_gains_sql() -> str:
+    from ..functions.profiles import CORE_FEATURES
+
+    core = core_sql(f"SELECT problem_id AS doc_id, description AS text FROM ({PROBLEMS_SQL}) q", "doc_id", "text", PROSE_WORDS)
+    values = " UNION ALL ".join(f"SELECT doc_id, {i} AS feature, CAST({c} AS DOUBLE) AS v FROM f" for i, c in enumerate(CORE_FEATURES))
+    shares = ", ".join(f"CAST('{(b + 1) / (boosting.BINS - 1)!r}' AS DOUBLE)" for b in range(boosting.BINS - 1))
+    trees = ", ".join(f"('{c}', {k})" for k, c in enumerate(CLASSES))
+    return f"""
+  WITH f AS MATERIALIZED ({core}), v AS MATERIALIZED ({values}),
+  o AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS i, count(*) OVER (PARTITION BY feature) AS n
+        FROM v WHERE v <> 0),
+  e AS (SELECT feature, list_sort(list_distinct(list_append(list(v), 0.0)))[:{boosting.BINS}] AS edges
+        FROM o JOIN (SELECT unnest([{shares}]) AS p) q ON i = CAST(ceil(p * n) AS BIGINT) GROUP BY 1),
+  b AS (SELECT doc_id, feature, v, len(list_filter(edges, lambda x: x < v)) AS bin,
+          len(list_filter(edges, lambda x: x < 0)) AS zero FROM v JOIN e USING (feature)),
+  y AS (SELECT doc_id, tree, CAST(problem_class = name AS INTEGER) - avg(CAST(problem_class = name AS INTEGER)) OVER (PARTITION BY tree)
+          AS r FROM (SELECT problem_id AS doc_id, problem_class FROM ({PROBLEMS_SQL}) q), (VALUES {trees}) AS t(name, tree)),
+  h AS (SELECT tree, feature, bin, count(*) AS n, sum(r) AS total FROM b JOIN y USING (doc_id) GROUP BY 1, 2, 3),
+  z AS (SELECT *, sum(n) OVER w AS n_left, sum(total) OVER w AS l, sum(n) OVER a AS n_all, sum(total) OVER a AS s FROM h
+        WINDOW w AS (PARTITION BY tree, feature ORDER BY bin), a AS (PARTITION BY tree, feature))
+  SELECT tree, feature, bin, CAST(n_left AS BIGINT) AS n_left, CAST(n_all - n_left AS BIGINT) AS n_right,
+    round(n_left * (n_all - n_left) / n_all * pow(l / n_left - (s - l) / (n_all - n_left), 2), 5) AS gain
+  FROM z WHERE n_left < n_all"""
 
 
 QUERIES = {
@@ -348,5 +430,8 @@ QUERIES = {
     "ml_train_voting": (trained, properties_sql(*RULES)),
     "ml_answer_requests": (answered, ANSWERED_SQL),
     "src_stored_model": (stored_model, properties_sql("same answers", "every held-out row")),
-    "ml_model_zoo": (zoo, ZOO_SQL),
+    "ml_long_predictions": (stacked, STACKED_SQL),
+    "ml_kernel_map": (kernel_map, KERNEL_SQL),
+    "ml_split_gains": (root_gains, root_gains_sql()),
+    **{f"ml_zoo_{name}": (zoo_model(name), properties_sql(*RULES)) for name in models.ZOO},
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from ..streaming.state import places
 from ..operators import telemetry as tm
 from ..session import scratch
@@ -14,6 +14,7 @@ from .fixtures import SNAPSHOTS_SQL, TELEMETRY_SQL, rounded, snapshots, table
 from .service import EMITTED_SQL, RULES, replay_sql
 from .telemetry import (PREDICTION_ALERTS_SQL, RAISED_SQL, alert_rows, component_rows,
                         degraded_sql)
+from .text import SPACE_SQL, STRIP_SQL
 
 
 def stream(spark, sf, name):
@@ -31,22 +32,37 @@ def events(spark, sf):
 
 
 BATCH_ROWS = 500_000
+#: Files of a micro-batch of many rows.
+BATCH_FILES = 8
 
 
-def in_files(df, spark, name, parts=3):
-    """A derived table as a stream of files in order of time, one per micro-batch.
+def in_files(df, spark, name, parts=3, edges=None):
+    """A derived table as a stream in order of time, one slice of it per micro-batch.
 
-    There are three batches at least, and as many as keep a batch to about BATCH_ROWS rows.
+    There are three slices at least, and as many as keep each to about BATCH_ROWS rows, by count; or those between the
+    given edges (in microseconds). Rows without a time are in the first. One job deals all rows to their slices, by
+    many tasks where there are many; each slice is then added to the stream's folder, as a stream takes files in the
+    order in which they came.
     """
-    path = scratch(spark, name)
     us = F.unix_micros("ts")
-    lo, hi, n = df.agg(F.min(us), F.max(us), F.count("*")).first()
-    parts = max(parts, -(-n // BATCH_ROWS))
-    edges = [(lo or 0) + ((hi or 0) - (lo or 0) + 1) * k // parts for k in range(parts + 1)]
-    for k in range(parts):  # written one after the other: a stream takes files in order of time
-        part = df.where((us >= edges[k]) & (us < edges[k + 1])).coalesce(1)
-        part.sortWithinPartitions("ts").write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    if edges is None:
+        n = df.count()
+        parts = max(parts, -(-n // BATCH_ROWS))
+        shares = [k / parts for k in range(1, parts)]
+        edges = sorted(set(df.agg(F.percentile_approx(us, shares, 100 * parts)).first()[0] or []))
+    else:
+        n = df.count()
+    number = F.size(F.filter(F.lit(list(edges)).cast("array<bigint>"), lambda e: e <= F.coalesce(us, F.lit(-(1 << 62)))))
+    files = BATCH_FILES if n >= BATCH_ROWS else 1
+    given, path = scratch(spark, f"{name}-slices"), scratch(spark, name)
+    salt = F.pmod(F.xxhash64(us), F.lit(files))
+    df.withColumn("slice", number).withColumn("salt", salt).repartition(
+        files * (len(edges) + 1), "slice", "salt").write.partitionBy("slice").parquet(given)
+    schema = df.schema
+    for k in range(len(edges) + 1):  # one after the other: a stream takes files in order of their time
+        part = spark.read.parquet(given).where(F.col("slice") == k).drop("slice", "salt").select(*df.columns)
+        part.repartition(files, salt).sortWithinPartitions("ts").write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def event_batches(spark, sf):
@@ -147,19 +163,24 @@ def circuit_stream(spark, sf):
     return spark.read.parquet(spots[2]).select("call_id", "circuit", "state", "outcome", "opened")
 
 
-def raised_stream(spark, sf):
+KEYS = ["component", "severity", "alert_message"]
+
+
+def component_events(spark, sf, name):
     """Component alerts and resolutions as one stream of events."""
-    keys = ["component", "severity", "alert_message"]
     alerts = alert_rows(spark, sf).select(
         "component", "severity", F.regexp_replace("alert_message", "[0-9.]+", "N").alias(
             "alert_message"), "ts", "event_id").withColumn("kind", F.lit("alert"))
-    kinds = alerts.select(*keys).distinct()
+    kinds = alerts.select(*KEYS).distinct()
     done = component_rows(spark, sf).where(
         (F.col("status") == "healthy") & (F.col("event_id") % 6 == 0)).join(kinds, "component")
-    rows = alerts.unionByName(done.select(*keys, "ts", "event_id", F.lit("resolve").alias("kind")))
+    return in_files(alerts.unionByName(done.select(*KEYS, "ts", "event_id", F.lit("resolve").alias("kind"))), spark, name)
+
+
+def raised_stream(spark, sf):
     spots = places(spark, "raised")
-    finished(jobs.raised_alerts(in_files(rows, spark, "component_events"), keys, *spots))
-    return spark.read.parquet(spots[2]).select("event_id", *keys)
+    finished(jobs.raised_alerts(component_events(spark, sf, "component_events"), KEYS, *spots))
+    return spark.read.parquet(spots[2]).select("event_id", *KEYS)
 
 
 def degradation_stream(spark, sf):
@@ -201,7 +222,109 @@ WEIGHT_STREAM_SQL = f"""
   SELECT seq, model_name, round(weight, 6) AS weight FROM r WHERE seq IN (SELECT seq FROM s)"""
 
 
+def keyed_rules(spark, sf):
+    samples = event_batches(spark, sf).select("event_id", "ts", F.col("model_name").alias("metric_name"),
+                                              F.round("prediction_time", 2).alias("value"))
+    out = to_table(stateful.rule_alerts(samples, al.rules_table(spark, RULES), "event_id"), spark, "keyed-rules")
+    return out.select("alert_id", "rule_id", "event_id")
+
+
+def keyed_circuits(spark, sf):
+    calls = event_batches(spark, sf).select(
+        F.col("model_name").alias("circuit"), "ts", F.col("event_id").alias("call_id"),
+        (F.col("confidence") >= 0.35).alias("success"))
+    out = to_table(stateful.circuits(calls, recovery_timeout=5400), spark, "keyed-circuits")
+    return out.select("call_id", "circuit", "state", "outcome", "opened")
+
+
+def keyed_raised(spark, sf):
+    events = component_events(spark, sf, "keyed_events")
+    return to_table(stateful.raised_alerts(events, KEYS, "event_id"), spark, "keyed-raised").select("event_id", *KEYS)
+
+
+def keyed_degradations(spark, sf):
+    """Each model's verdict after its last snapshot."""
+    rows = snapshots(spark, sf).select("model_name", "ts", *tm.WATCHED)
+    told = to_table(stateful.degradations(in_files(rows, spark, "keyed_snapshots")), spark, "keyed-degradations")
+    last = F.max_by(F.struct(*[c for c in told.columns if c not in ("model_name", "ts")]), F.struct("ts", "snapshots"))
+    out = told.groupBy("model_name").agg(last.alias("r")).select("model_name", "r.*")
+    return rounded(out, "accuracy_drop", "f1_score_drop", "mae_rise", "avg_confidence_drop")
+
+
+TTL = 36 * 3600
+
+
+def expiring(spark, sf):
+    """Events as requests for their user: which find an entry that has not expired, over several batches."""
+    rows = event_batches(spark, sf).select(F.col("user_id").cast("string").alias("input_hash"), "event_id", "ts")
+    return to_table(stateful.cache_hits(rows, TTL, "event_id"), spark, "cache-hits").select("input_hash", "event_id", "cached")
+
+
+EXPIRING_SQL = f"""
+  WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS input_hash, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us_,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT input_hash, event_id, i, us_ AS made, false AS cached FROM e WHERE i = 1
+    UNION ALL SELECT e.input_hash, e.event_id, e.i, CASE WHEN us_ - made < {TTL * 1_000_000} THEN made ELSE us_ END,
+      us_ - made < {TTL * 1_000_000} FROM r JOIN e ON e.input_hash = r.input_hash AND e.i = r.i + 1)
+  SELECT input_hash, event_id, cached FROM r"""
+
+
+class WordCountModel:
+    """A rule that stands for a trained model: class, score and confidence from the number of words."""
+
+    def score(self, df, text):
+        n = F.size(F.split(F.trim(text), " +"))
+        cls = F.when(n <= 3, "easy").when(n <= 200, "medium").otherwise("hard")
+        return df.select("*", cls.alias("cls"), (1 + n % 90 / 10).alias("raw_score"), (0.4 + n % 50 / 100).alias("confidence_raw"))
+
+
+def scored_stream(spark, sf):
+    """Documents and short labels as requests in four batches; entries of the cache live to the next batch but one."""
+    i = F.col("doc_id")
+    minutes = (i % 4) * 45 + i % 40
+    label = F.concat_ws(" ", "lang", "source", (F.col("n_chars") % 20).cast("string"))
+    rows = table(spark, sf, "documents").select(
+        i.alias("request_id"), F.when(F.col("n_chars") % 2 == 0, F.col("text")).otherwise(label).alias("description"),
+        F.lit("").alias("input_desc"), F.lit("").alias("output_desc"),
+        F.timestamp_micros(F.lit(START_US) + minutes * 60_000_000).alias("ts"))
+    stream = in_files(rows, spark, "scored", edges=[START_US + k * 45 * 60_000_000 for k in (1, 2, 3)])
+    base = scratch(spark, "scored-cache")
+
+    def latest(batch):
+        return batch.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+
+    checkpoint, _, out = places(spark, "scored")
+    finished(jobs.scored_requests(stream, WordCountModel(), base, checkpoint, out, latest, 3600, compact_every=2))
+    return spark.read.parquet(f"{out}/answers").select("request_id", "cls", "score", "confidence", "cached")
+
+
+START_US = 1_704_067_200_000_000  # 2024-01-01
+
+SCORED_SQL = f"""
+  WITH RECURSIVE r AS (SELECT doc_id AS request_id, CASE WHEN n_chars % 2 = 0 THEN text
+        ELSE concat_ws(' ', lang, source, CAST(n_chars % 20 AS VARCHAR)) END AS description, '' AS input_desc, '' AS output_desc,
+      doc_id % 4 AS b, (doc_id % 4) * 45 + doc_id % 40 AS minute FROM documents),
+  t AS MATERIALIZED (SELECT request_id, b, {STRIP_SQL} AS txt FROM r
+      WHERE regexp_replace(coalesce(description, ''), '{SPACE_SQL}+', '', 'g') <> ''),
+  a AS (SELECT b, max(minute) AS at_ FROM r GROUP BY 1),
+  k AS MATERIALIZED (SELECT txt, b, at_, row_number() OVER (PARTITION BY txt ORDER BY b) AS i
+      FROM (SELECT DISTINCT txt, b FROM t) JOIN a USING (b)),
+  m AS (SELECT txt, b, i, at_ AS made, false AS cached FROM k WHERE i = 1
+    UNION ALL SELECT k.txt, k.b, k.i, CASE WHEN at_ - made < 60 THEN made ELSE at_ END, at_ - made < 60
+    FROM m JOIN k ON k.txt = m.txt AND k.i = m.i + 1),
+  n AS (SELECT request_id, cached, len(regexp_split_to_array(trim(t.txt, ' '), ' +')) AS n FROM t JOIN m USING (txt, b))
+  SELECT request_id, CASE WHEN n <= 3 THEN 'easy' WHEN n <= 200 THEN 'medium' ELSE 'hard' END AS cls,
+    1 + n % 90 / 10.0 AS score, round(0.4 + n % 50 / 100.0, 3) AS confidence, cached FROM n"""
+
+
 QUERIES = {
+    "str_keyed_rule_alerts": (keyed_rules, EMITTED_SQL + " SELECT alert_id, rule_id, event_id FROM alerts"),
+    "str_keyed_circuits": (keyed_circuits, replay_sql() + """
+      SELECT call_id, circuit, state, outcome, opened FROM told"""),
+    "str_keyed_raised_alerts": (keyed_raised, RAISED_SQL),
+    "str_keyed_degradations": (keyed_degradations, degraded_sql()),
+    "str_cache_expiry": (expiring, EXPIRING_SQL),
+    "str_scored_requests": (scored_stream, SCORED_SQL),
     "str_raised_alerts": (raised_stream, RAISED_SQL),
     "str_degradations": (degradation_stream, degraded_sql()),
     "str_adaptive_weights": (weight_stream, WEIGHT_STREAM_SQL),

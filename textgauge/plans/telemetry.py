@@ -220,6 +220,43 @@ def retained(n, seconds):
     return run
 
 
+def retained_tables(spark, sf):
+    """What each table of the service keeps at the published limits, all in one: table, key, entry."""
+    from .fixtures import calls, logs
+    e = telemetry(spark, sf)
+    entry = lambda df, key, name, tie: df.select(F.col(key).cast("string").alias("key"), "ts", F.lit(name).alias("part"),
+                                                 F.col(tie).alias("entry"))
+    tables = {
+        "metrics": entry(e, "model_name", "metrics", "event_id"),
+        "snapshots": entry(snapshots(spark, sf).withColumn("day", F.dayofyear("ts").cast("bigint")), "model_name", "snapshots", "day"),
+        "hosts": entry(hosts(spark, sf).withColumn("all", F.lit("host")), "all", "hosts", "event_id"),
+        "health": entry(component_rows(spark, sf), "component", "health", "event_id"),
+        "calls": entry(calls(spark, sf), "circuit", "calls", "call_id"),
+        "actions": entry(e.withColumn("all", F.lit("actions")), "all", "actions", "event_id"),
+        "logs": entry(logs(spark, sf).withColumn("all", F.lit("logs")).withColumn(
+            "entry", F.col("conv_id") * 1000 + F.col("turn")), "all", "logs", "entry")}
+    out = None
+    for df in tm.retain_all({n: (df, ["key"], "entry") for n, df in tables.items()}, AS_OF, 10 * DAY).values():
+        part = df.select("part", "key", F.col("entry").cast("bigint").alias("entry"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def retained_sql() -> str:
+    from .fixtures import CALLS_SQL, LOGS_SQL
+    parts = {
+        "metrics": (f"SELECT model_name AS key, ts, event_id AS entry FROM ({TELEMETRY_SQL}) e WHERE ts >= {NOW} - INTERVAL 20 DAY"),
+        "snapshots": f"SELECT model_name AS key, ts, dayofyear(ts) AS entry FROM ({SNAPSHOTS_SQL}) e",
+        "hosts": f"SELECT 'host' AS key, ts, event_id AS entry FROM ({HOSTS_SQL}) e",
+        "health": f"SELECT component AS key, ts, event_id AS entry FROM ({COMPONENTS_SQL}) e",
+        "calls": f"SELECT circuit AS key, ts, call_id AS entry FROM ({CALLS_SQL}) e",
+        "actions": f"SELECT 'actions' AS key, ts, event_id AS entry FROM ({TELEMETRY_SQL}) e",
+        "logs": f"SELECT 'logs' AS key, ts, conv_id * 1000 + turn AS entry FROM ({LOGS_SQL}) e"}
+    return " UNION ALL ".join(f"""
+  SELECT * FROM (SELECT '{n}' AS part, CAST(key AS VARCHAR) AS key, CAST(entry AS BIGINT) AS entry FROM ({sql}) x
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, entry DESC) <= {tm.RETAINED[n]}) r""" for n, sql in parts.items())
+
+
 def retained_alerts(spark, sf):
     out = tm.retain_alerts(alert_table(spark, sf).withColumn(
         "tie", F.concat_ws("/", F.lpad(F.col("event_id").cast("string"), 9, "0"), "metric_name")),
@@ -319,16 +356,15 @@ def alert_rows(spark, sf):
     return health.component_alerts(component_rows(spark, sf))
 
 
-def raised(spark, sf):
+def raised(spark, sf, whole=False):
     """Alerts that are raised when a healthy sample resolves its component's open ones."""
-    alerts = alert_rows(spark, sf).withColumn(
-        "alert_message", F.regexp_replace("alert_message", "[0-9.]+", "N"))
+    alerts = alert_rows(spark, sf)
+    if not whole:
+        alerts = alerts.withColumn("alert_message", F.regexp_replace("alert_message", "[0-9.]+", "N"))
     keys = ["component", "severity", "alert_message"]
-    kinds = alerts.select(*keys).distinct()
     resolved = component_rows(spark, sf).where(
         (F.col("status") == "healthy") & (F.col("event_id") % 6 == 0)).select("component", "ts")
-    out = health.suppress_repeats(alerts, resolved.join(kinds, "component").select(*keys, "ts"),
-                                  keys)
+    out = health.suppress_repeats(alerts, resolved, keys, resolved_by=["component"])
     return out.select("event_id", *keys)
 
 
@@ -345,6 +381,10 @@ RAISED_SQL = f"""
     ORDER BY ts, event_id) = 1"""
 
 
+#: By the whole message, numbers and all.
+RAISED_WHOLE_SQL = RAISED_SQL.replace("regexp_replace(alert_message, '[0-9.]+', 'N', 'g') AS alert_message", "alert_message")
+
+
 def system_status(spark, sf):
     out = hosts(spark, sf).withColumn("open", (F.col("event_id") % 5).cast("int"))
     return out.select("event_id", health.system_health(
@@ -381,6 +421,9 @@ def advice(spark, sf):
     return health.recommendations(alerts, "2024-01-30 12:00:00")
 
 
+RETAINED_SQL = retained_sql()
+
+
 QUERIES = {
     "agg_window_statistics": (window, WINDOW_SQL),
     "join_metrics_with_snapshot": (metrics, METRICS_SQL),
@@ -418,6 +461,8 @@ QUERIES = {
         lambda spark, sf: alert_rows(spark, sf).drop("ts"),
         f"SELECT component, event_id, severity, alert_message FROM ({COMPONENT_ALERTS_SQL}) x"),
     "win_suppress_repeats": (raised, RAISED_SQL),
+    "win_suppress_whole_message": (lambda spark, sf: raised(spark, sf, whole=True), RAISED_WHOLE_SQL),
+    "win_retain_published": (retained_tables, RETAINED_SQL),
     "agg_system_health": (system_status, SYSTEM_SQL),
     "agg_error_report": (
         lambda spark, sf: health.error_report(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import shaping
 from ..functions.text import cache_key, combine
 from ..operators import alerts, cache, circuit, ensemble, health, telemetry
+from ..operators.ordered import newest
 from ..operators.validate import check_requests, split_valid
 from ..session import cut
 from .state import StateTable, run_each, write_batch
@@ -125,8 +126,7 @@ def degradations(snapshots: DataFrame, checkpoint: str, state: str, out: str):
 def adaptive_weights(reports: DataFrame, start: DataFrame, checkpoint: str, state: str, out: str):
     """Weights after each report (seq, model_name, metric, value), applied in order of seq.
 
-    All reports of a micro-batch are one fold. It is sequential by nature, as each report's weights
-    are normalised over all models; a trigger with few files bounds what a batch holds.
+    A micro-batch's reports are folded by slices, see fold_reports.
     """
     table = StateTable(state, "model_name string, weight double")
 
@@ -144,14 +144,16 @@ def adaptive_weights(reports: DataFrame, start: DataFrame, checkpoint: str, stat
 
 def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str, out: str,
                     as_of: Callable[[DataFrame], str] | str | None = None, ttl_seconds: int = 3600,
-                    mode: str = "legacy"):
+                    mode: str = "legacy", compact_every: int = 32):
     """Answer requests from the cache or by scoring; new answers join the cache.
 
     as_of is the time of a batch: by default the clock's when the batch starts, or what the given
     function takes from the batch (such as its latest event time). Entries expire by it.
 
     The cache is an append-only log with one folder per micro-batch, read newest-first per hash, so
-    a batch adds files and rewrites none. Invalid requests go to `out`/rejected.
+    a batch adds files and rewrites none. Every compact_every batches a new generation begins with
+    the newest unexpired entries of the one before in one place: a batch reads no more than one
+    generation, and older ones may be deleted. Invalid requests go to `out`/rejected.
     """
     answer = ["cls", "score", "confidence"]
     schema = ("input_hash string, cls string, score double, confidence double, model_name string, "
@@ -171,17 +173,23 @@ def scored_requests(requests: DataFrame, model, cache_path: str, checkpoint: str
         text = combine(F.col("description"), F.col("input_desc"), F.col("output_desc"))
         asked = cut(valid.select("request_id", text.alias("combined_text")).withColumn(
             "input_hash", cache_key(F.col("combined_text"))))
-        if i == 0:
-            known = spark.createDataFrame([], schema)
-        else:
-            # Older entries have expired, so their files are skipped by their statistics.
-            oldest = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
-            known = spark.read.schema(schema + ", batch int").parquet(cache_path).where(
-                (F.col("batch") < i) & (F.col("ts") >= oldest)).drop("batch")
+        first = i - i % compact_every
+        home = f"{cache_path}/from={first}"
+        # Older entries have expired, so their files are skipped by their statistics.
+        oldest = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+
+        def log(generation: int) -> DataFrame:
+            return spark.read.schema(schema + ", batch int").parquet(
+                f"{cache_path}/from={generation}").where(F.col("ts") >= oldest)
+
+        if i == first and i:
+            left = newest(log(first - compact_every).drop("batch"), ["input_hash"], ["ts"])
+            write_batch(left, home, -1)
+        known = spark.createDataFrame([], schema) if i == 0 else log(first).where(F.col("batch") < i).drop("batch")
         answers, fresh = cache.serve(asked, known, now, score, answer, ttl_seconds, "voting")
         fresh = cut(fresh)
         write_batch(answers.drop("combined_text"), f"{out}/answers", i)
         write_batch(bad, f"{out}/rejected", i)
-        write_batch(fresh, cache_path, i)
+        write_batch(fresh, home, i)
 
     return run_each(requests, step, checkpoint)

@@ -24,6 +24,10 @@ from .boosting import entries
 
 DIMENSIONS = 2048
 FOLDS = 3
+#: Relative change of the loss at which a solver stops: the usual one of kernel machines.
+TOLERANCE = 1e-3
+#: Rows of a partition while machines are fitted.
+PART_ROWS = 5_000
 #: Rows times features of a dense block in a task.
 BLOCK = 1 << 22
 _DIRECTIONS: dict = {}
@@ -100,8 +104,8 @@ def _margin(machine, df: DataFrame, name: str) -> DataFrame:
 
 
 def fit(df: DataFrame, label: str, classes: int, weight: str | None = None, features: str = "features", c: float = 1.0,
-        iterations: int = 2000, dimensions: int = DIMENSIONS, gamma: float | None = None, folds: int = FOLDS,
-        seed: int = 42) -> KernelMachine:
+        iterations: int = 2000, tolerance: float = TOLERANCE, dimensions: int = DIMENSIONS, gamma: float | None = None,
+        folds: int = FOLDS, seed: int = 42) -> KernelMachine:
     """Fit on rows with a class index below `classes`. The sigmoids see margins of rows that their machine has not seen.
 
     Machines of classes and folds are fitted side by side from several threads of the driver.
@@ -112,9 +116,11 @@ def fit(df: DataFrame, label: str, classes: int, weight: str | None = None, feat
     mapped = array_to_vector(fourier_map(idx, val, size, gamma, dimensions, seed))
     fold = F.pmod(F.xxhash64(F.lit(seed), idx, val), F.lit(folds)).cast("int")  # equal rows are in one fold
     rows = cut(df.select(mapped.alias("_z"), F.col(label).cast("double").alias("label"),
-                         (F.col(weight) if weight else F.lit(1.0)).alias("weight"), fold.alias("fold"))).persist()
+                         (F.col(weight) if weight else F.lit(1.0)).alias("weight"), fold.alias("fold")))
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}  # one row a fold
     total = sum(sizes.values())
+    # Every iteration of a solver is a job over all partitions.
+    rows = rows.coalesce(-(-total // PART_ROWS) or 1).persist()
 
     def machine(k: int, without: int | None):
         part = rows if without is None else rows.where(F.col("fold") != without)
@@ -123,7 +129,7 @@ def fit(df: DataFrame, label: str, classes: int, weight: str | None = None, feat
         if without is not None and is_k.select("is").distinct().count() < 2:
             return None
         return LinearSVC(featuresCol="_z", labelCol="is", weightCol="weight", regParam=1.0 / (c * max(n, 1)), maxIter=iterations,
-                         standardization=False).fit(is_k)
+                         standardization=False, tol=tolerance).fit(is_k)
 
     def sigmoid(k: int, seen: dict) -> tuple[float, float]:
         parts = [_margin(m, rows.where(F.col("fold") == i), "margin").select("margin", (F.col("label") == k).cast("double").alias("is"))

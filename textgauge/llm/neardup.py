@@ -74,7 +74,7 @@ LOAD = 2.2
 #: Entries that a task collects before it deals them out; that a task holds of a bucket of cells.
 FLUSH, HELD = 1 << 20, 1 << 22
 #: Members of a cell beyond which they are passed on as they come; members, and bytes of sets, in a chunk of a tree.
-BUSY, CHUNK, CHUNK_BYTES = 1024, 1024, 16 << 20
+BUSY, CHUNK, CHUNK_BYTES = 1024, 1024, 4 << 20
 #: Bytes of text whose entries are dealt to one bucket, on average.
 BUCKET_BYTES = 64 << 20
 #: Bits of the filter of wanted classes: FILTER_LOAD for each, within these bounds.
@@ -428,6 +428,8 @@ def _tree_join(table: pa.Table) -> pa.Table:
         if x != y and _linked(np.frombuffer(sets[i].as_buffer(), U64), np.frombuffer(sets[j].as_buffer(), U64)):
             joined.join(x, y)
             links.append((int(classes[i]), int(classes[j])))
+    del column, sets
+    pa.default_memory_pool().release_unused()  # or the worker keeps what its largest tree took
     return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())],
                     names=["a", "b"])
 
@@ -638,9 +640,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Rows without id are kept. Decisions go by doc_id and class, since rows that share an id may differ in text.
     """
-    tag = f"class_{uuid.uuid4().hex}"
+    tag, twice = f"class_{uuid.uuid4().hex}", f"twice_{uuid.uuid4().hex}"
     no_class = F.coalesce(F.col("class"), F.lit(0))
-    stay = _grouped(documents).where("doc_id = component_id").select("doc_id", no_class.alias(tag)).distinct()
+    stay = _written(_grouped(documents).where("doc_id = component_id").groupBy("doc_id", no_class.alias(tag)).agg(
+        (F.count("*") > 1).alias(twice)), "stay")
     schema = StructType([*documents.schema.fields, StructField(tag, LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -648,6 +651,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
             names = [class_of(s) if len(s) else 0 for s in shingle_sets(utf8(part.column("text")))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], names=[*part.schema.names, tag])
 
-    tagged = documents.where("doc_id is not null").mapInArrow(add, schema)
-    kept = tagged.join(stay, ["doc_id", tag], "left_semi").dropDuplicates(["doc_id", tag])
+    tagged = documents.where("doc_id is not null").mapInArrow(add, schema).join(stay, ["doc_id", tag])
+    kept = tagged.where(~F.col(twice))
+    if stay.where(F.col(twice)).limit(1).count():  # only rows that share id and set meet, so that other texts stay where they are
+        kept = kept.union(tagged.where(F.col(twice)).dropDuplicates(["doc_id", tag]))
     return kept.select(*documents.columns).union(documents.where("doc_id is null"))

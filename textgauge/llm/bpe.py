@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import per_worker
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 12 << 20
 #: Buckets of words; at least as many as shuffle partitions.
 BUCKETS = 64
 #: Words that a bucket's task remembers; beyond it forgets them and may encode a word again.

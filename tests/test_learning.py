@@ -208,3 +208,19 @@ def test_neighbours_on_equal_lengths_rule_out_blocks(spark):
         d[[j for j in range(480) if j == i or j % 2 != i % 2]] = np.inf
         assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(480), d))[:4].tolist()
     assert told["compared"] < 0.4 * told["pairs"]
+
+
+def test_neighbour_blocks_grow_with_the_class(spark):
+    """A class of many rows is cut into a bounded number of blocks, however small they were asked for."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id int, c string, x array<double>")
+    told = {}
+    got = {}
+    for r in balance.nearest(df, "id", "c", "x", 3, block_rows=5, told=told).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    assert told["pairs"] <= (balance.PIVOTS + balance.BLOCKS) ** 2
+    for i in range(0, 2000, 7):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [n for _, n in sorted(got[i])] == np.argsort(d, kind="stable")[:3].tolist()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgauge.operators import balance, models, scoring, tfidf
+from textgauge.operators import balance, kernel, models, scoring, tfidf
 from textgauge.sources import io, store
 from textgauge.streaming import jobs
 from textgauge.streaming.state import places
@@ -224,3 +224,17 @@ def test_neighbour_blocks_grow_with_the_class(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         d[i] = np.inf
         assert [n for _, n in sorted(got[i])] == np.argsort(d, kind="stable")[:3].tolist()
+
+
+def test_kernels_of_blocks_are_those_of_pairs(spark):
+    """Blocks of queries meet blocks of rows: every pair once, its kernel exact, also for a key that repeats or has no vector."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 6)) / 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (50, None)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    out = kernel.compared(df, df.where("id % 10 = 7 or id = 50"), "id", "x", 6, 0.2, block_rows=4).collect()
+    vectors = [(i, None if v is None else np.array(v)) for i, v in rows]
+    want = Counter((i, j, None if a is None or b is None else round(math.exp(-0.2 * ((a - b) ** 2).sum()), 9))
+                   for i, a in vectors if i % 10 == 7 or i == 50 for j, b in vectors)
+    assert Counter((r["query_id"], r["id"], None if r["kernel"] is None else round(r["kernel"], 9)) for r in out) == want
+    assert all(abs(r["made"] - r["kernel"]) < 0.15 for r in out if r["kernel"] is not None)

@@ -40,6 +40,51 @@ def test_tfidf_against_definition(spark):
     assert got == pytest.approx({k: w / norm[k[0]] for k, w in raw.items()})
 
 
+def test_text_vocabulary_and_weights_without_all_terms(spark, monkeypatch):
+    """From texts: as from all term counts, in which rows of one key, or without one, share their norm; few terms are made."""
+    made = random.Random(5)
+    texts = [" ".join(made.choices(["w%d" % i for i in range(60)], [1 / (i + 1) for i in range(60)], k=80)) for _ in range(40)]
+    texts += [" ".join(f"rare{i}x{j}" for j in range(50)) for i in range(20)] + [None, "", "w0", "Ünï w1 w1"]
+    rows = [(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string").cache()
+    counts = tfidf.term_counts(df, "id", "t", 3, ["w3"])
+    terms = counts.select("term").distinct().count()
+    sizes = []
+    whole = tfidf._term_totals
+    monkeypatch.setattr(tfidf, "_term_totals", lambda *a: sizes.append((t := whole(*a)).count()) or t)
+    for size in (20, 10_000):
+        want = tfidf.vocabulary(counts, len(rows), size)
+        got = tfidf.text_vocabulary(df, "t", len(rows), 3, ["w3"], size)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        a = {(r["id"], r["term"], round(r["weight"], 9)) for r in tfidf.weights(counts, "id", want).collect()}
+        b = {(r["id"], r["term"], round(r["weight"], 9)) for r in tfidf.text_weights(df, "id", "t", got, 3, ["w3"]).collect()}
+        assert a == b
+    assert sizes[0] < terms / 10
+
+
+def test_text_vocabulary_takes_more_buckets_where_limits_drop_the_fullest(spark):
+    """The most frequent terms are in too many rows, or in too few."""
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(f"{common} " + " ".join([f"own{i}"] * 30) + f" kept{i // 2}",) for i in range(12)]
+    df = spark.createDataFrame(rows, "t string")
+    got = tfidf.text_vocabulary(df, "t", len(rows), 1, [], 2)
+    assert sorted((r["term"], r["df"], r["total"]) for r in got.collect()) == [("kept0", 2, 2), ("kept1", 2, 2)]
+
+
+def test_words_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from textgauge.operators import grams as counted
+
+    rows = [["a", "b", "a"], [], ["a", "b"], ["c"] * 5, ["b", "a", "b", "c"]]
+    monkeypatch.setattr(counted, "SLICE_WORDS", 4)
+    got = Counter()
+    for part in counted.slices(pa.array([["z"], *rows]).slice(1)):
+        for terms, term, row, n in part.row_counts(3, np.ones(counted.BUCKETS, bool)):
+            got.update({(part.first + r, terms[t]): k for t, r, k in zip(term, row, n, strict=True)})
+    assert got == Counter((i, " ".join(r[j:j + n])) for i, r in enumerate(rows) for n in (1, 2, 3) for j in range(len(r) - n + 1))
+
+
 def test_nearest_is_exact_over_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 4))

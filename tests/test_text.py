@@ -142,3 +142,22 @@ def test_served_fields(spark):
                     shaping.is_reliable(F.col("c")), shaping.score_band(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [
         (1.0, 0.55, True, "easy"), (10.0, 0.55, False, "hard"), (5.6, 0.9, True, "medium")]
+
+
+def test_expansion_of_plain_words_without_regular_expressions(spark):
+    """Literals between marks: as the patterns, also for texts with marks of their own; the plan has one pattern for words."""
+    from textgauge.functions.text import CLOSE, OPEN, bounded
+
+    some = {"dp": "dynamic programming", "bit": "a dp", "es": "es ist", "x_1": "x"}
+    rows = ["dp dp,dp edp dpe es_ es x_1 (x_1) Ées esÉ bit", "", None, f"{OPEN}dp{CLOSE} {OPEN}{OPEN} \ufdd2!{CLOSE}dp\ufdd2\"# es\ufdd2",
+            "\ufdd2\ufdd2# dp \ufdd2" + CLOSE, "no such word", "٣dp dp٣ dp\u0301"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    old = F.col("t")
+    for short, long in some.items():
+        old = F.regexp_replace(old, bounded([short]), long)
+    out = df.select(text.expand(F.col("t"), some).alias("a"), old.alias("b"))
+    assert all(r["a"] == r["b"] for r in out.collect())
+    plan = df.select(text.expand(F.col("t"), some).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1
+    odd = {"c.t": "cat", "a b": "$0!"}
+    assert df.select(text.expand(F.lit("cut a b"), odd).alias("a")).first()["a"] == "cat a b!"

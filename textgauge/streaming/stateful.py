@@ -1,6 +1,7 @@
 """The stateful jobs as keyed state of the stream: transformWithState with event-time timers.
 
 Each job keeps a few values per key in the state store and reads the rows of a key in order of time within a micro-batch.
+Where keys are as many as users or texts, a bucket of them shares a call and a state (EntryLife).
 Timers run on the watermark: they drop or advance state whose time has come, so a key that falls silent costs nothing.
 All rows that a key has in one micro-batch meet in one task; where single keys hold most of a stream, the jobs on state
 tables (jobs) do the same work spread over slices of time.
@@ -21,6 +22,8 @@ from ..operators import alerts, circuit, telemetry
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "1 minute"
+#: Buckets of keys whose entries share one state.
+BUCKETS = 256
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -188,31 +191,59 @@ def _change_names(metrics: dict[str, int]) -> list[str]:
 
 
 class EntryLife(_Keyed):
-    """Whether a request finds an entry of its key that has not expired, or makes one. State: the entry's time.
+    """Whether a request finds an entry of its key that has not expired, or makes one.
 
-    A timer removes the entry when its time to live is over, whether the key is asked for again or not.
+    Keys are dealt to buckets, and a bucket's keys are answered in one call: calls and exchanges with the state store
+    grow with buckets and micro-batches, not with keys. State: the bucket's keys with the time of their entry, and when
+    its timer is due. The timer removes entries when their time to live is over, whether their keys are asked for again
+    or not.
+
+    A request without a time finds no entry and makes none.
     """
 
-    STATE = "made bigint"
+    STATE = "keys array<string>, made array<bigint>, due bigint"
 
     def __init__(self, ttl_seconds: int, tie: str):
         self.ttl, self.tie = ttl_seconds * 1_000_000, tie
 
+    def entries(self) -> tuple[dict[str | None, int], int | None]:
+        """The time of each key's entry, and the instant of the timer in milliseconds."""
+        known = self.state.get()
+        return (dict(zip(known[0], known[1], strict=True)), known[2]) if known else ({}, None)
+
+    def keep(self, made: dict[str | None, int], old: int | None) -> None:
+        """Put the state back, the timer set to the first entry that expires; old: what it was set to."""
+        due = -(-(min(made.values()) + self.ttl) // 1000)
+        if due != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        self.state.update((list(made), list(made.values()), due))
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         found = _in_order(rows, ["at_us", self.tie])
-        known = self.known()
-        made = known[0] if known else None
-        hits = []
-        for at in found["at_us"].tolist():
-            hits.append(made is not None and at - made < self.ttl)
-            made = made if hits[-1] else at
-        self.state.update((made,))
-        self.wake(made + self.ttl)
+        made, due = self.entries()
+        hits, new = [], False
+        for name, at in zip(found["key_text"].tolist(), found["at_us"].tolist(), strict=True):
+            if at != at:  # no time
+                hits.append(False)
+                continue
+            since = made.get(name)
+            hits.append(since is not None and at - since < self.ttl)
+            if not hits[-1]:
+                made[name], new = int(at), True
+        if new:
+            self.keep(made, due)
         found["cached"] = hits
         yield found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        left = {name: at for name, at in self.entries()[0].items() if at + self.ttl > now}
+        if left:
+            self.keep(left, None)  # the timer that went off is removed by the stream
+        else:
+            self.state.clear()
         yield pd.DataFrame()
 
 
@@ -261,7 +292,13 @@ def degradations(snapshots: DataFrame, threshold: float = telemetry.DEGRADATION)
                 f"model_name string, ts timestamp, snapshots bigint, {changes}, retrain boolean", False)
 
 
-def cache_hits(requests: DataFrame, ttl_seconds: int, tie: str, key: str = "input_hash", late: str = LATE) -> DataFrame:
-    """Requests with `cached`: whether an entry of their key is younger than its time to live; the others make one."""
-    rows = _timed(requests, late)
-    return _run(rows, [key], EntryLife(ttl_seconds, tie), _ddl(rows, "cached boolean"), True).drop("at_us")
+def cache_hits(requests: DataFrame, ttl_seconds: int, tie: str, key: str = "input_hash", late: str = LATE,
+               buckets: int = BUCKETS) -> DataFrame:
+    """Requests with `cached`: whether an entry of their key is younger than its time to live; the others make one.
+
+    A micro-batch reads the unexpired entries of the buckets that it has requests of. Keys are told apart by their text.
+    """
+    rows = _timed(requests, late).withColumns({
+        "key_text": F.col(key).cast("string"), "key_bucket": F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))})
+    return _run(rows, ["key_bucket"], EntryLife(ttl_seconds, tie), _ddl(rows, "cached boolean"), True).drop(
+        "at_us", "key_text", "key_bucket")

@@ -147,3 +147,30 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, **{i: 100 for i in range(101, 140)}, 201: 200, 202: 200}
+
+
+def test_keep_one_leaves_the_texts_of_rows_that_stay_where_they_are(spark):
+    """Rows without copies go through no join: only texts of documents that lose a row are shuffled."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(400)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[7]), (7, texts[7]), (None, texts[8]), (9, texts[10]), (300, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+        size = lambda: sum(f.length() for f in _files(disk))
+        start = size()
+        got = kept.collect()
+        wrote = size() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(i, t) for i, t in enumerate(texts) if i != 10] + [(None, texts[8]), (9, texts[10]), (300, None)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert wrote < 0.3 * sum(map(len, texts))
+
+
+def _files(disk):
+    files = disk.getAllFiles()
+    return [files.apply(i) for i in range(files.size())]

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import per_worker, release, released
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 12 << 20
@@ -249,6 +249,7 @@ def _documents(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[int | None
         flat[_spread(starts[own], counts.astype(np.int64))] = ids
     values = list(map(str, flat.tolist()))
     texts = [" ".join(values[a:a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    del parts, numbers, values  # what follows takes its own room
     for doc_ids, data in zip(blocks.column("doc_ids").to_pylist(), blocks.column("data").to_pylist(), strict=True):
         counts, codes = _unpack(data, 2)
         ends = np.cumsum(counts).tolist()
@@ -262,10 +263,16 @@ def _reassemble(documents: DataFrame, vocabulary: str | None, block_chars: int,
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS, parts)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(lambda b: _cut_blocks(b, buckets, block_chars, True), BLOCKS).select("block", "bucket", "data")
-    mine = rows.mapInArrow(lambda b: _cut_blocks(b, buckets, block_chars, False), BLOCKS).select("block", "doc_ids", "data")
-    answers = words.repartition(parts, "bucket").mapInArrow(lambda b: _encode_lists(b, path), ANSWERS)
-    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: work(a, b, path), schema)
+    words = rows.mapInArrow(released(lambda b: _cut_blocks(b, buckets, block_chars, True)), BLOCKS).select("block", "bucket", "data")
+    mine = rows.mapInArrow(released(lambda b: _cut_blocks(b, buckets, block_chars, False)), BLOCKS).select("block", "doc_ids", "data")
+    answers = words.repartition(parts, "bucket").mapInArrow(released(lambda b: _encode_lists(b, path)), ANSWERS)
+
+    def joined(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        out = work(blocks, found, path)
+        release()
+        return out
+
+    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, schema)
 
 
 def round_trip(documents: DataFrame, vocabulary: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:

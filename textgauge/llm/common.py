@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import posixpath
 import re
 import sys
@@ -60,7 +62,7 @@ def arrow_pass(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list
                    for x, t in zip(work(part), types, strict=True)]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def per_worker(key: Hashable, make: Callable[[], object]):
@@ -71,6 +73,45 @@ def per_worker(key: Hashable, make: Callable[[], object]):
     return kept[key]
 
 
+def newest_per_worker(key: Hashable, version: Hashable, make: Callable[[], object]):
+    """What make gives for this version, kept until the worker is asked for another one: models come and go."""
+    kept = sys.__dict__.setdefault("_textgauge_kept", {})
+    if key not in kept or kept[key][0] != version:
+        kept.pop(key, None)
+        kept[key] = version, make()
+    return kept[key][1]
+
+
+def release() -> None:
+    """Give free memory back to the system; a worker lives on and else keeps what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The pass over batches, giving its memory back when the task is through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Jobs run here remove their shuffle files when they end: for results that are written or checkpointed, once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder's URI under the shared folder."""
     root = shared_dir(spark)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, per_worker, slices
+from .common import arrow_pass, newest_per_worker, released, slices
 
 DICTIONARY_BYTES = 96 << 10
 TOTAL_BYTES = 100 * DICTIONARY_BYTES
@@ -123,7 +123,7 @@ def predict(documents: DataFrame, model: dict[str, bytes]) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(tuple(model.items()))
 
     def work(batch: pa.RecordBatch) -> list:
-        compressors = per_worker(("languages", held.value), lambda: _compressors(held.value))
+        compressors = newest_per_worker("languages", held.value, lambda: _compressors(held.value))
         found = [_judge(t, compressors) for t in batch.column("text").to_pylist()]
         return [batch.column("doc_id"), batch.column("held_out"), [names[x[0]] for x in found],
                 [x[1] for x in found], [x[2] for x in found]]
@@ -142,9 +142,9 @@ def keep_identified(documents: DataFrame, model: dict[str, bytes]) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(tuple(model.items()))
 
     def keep(batches):
-        compressors = per_worker(("languages", held.value), lambda: _compressors(held.value))
+        compressors = newest_per_worker("languages", held.value, lambda: _compressors(held.value))
         for part in slices(batches):
             bad = [_judge(t, compressors)[2] for t in part.column("text").to_pylist()]
             yield part.filter(pa.array([not x for x in bad], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(released(keep), documents.schema)

@@ -55,9 +55,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from textgauge.session import cut
+from textgauge.session import cut as checkpointed
 
-from .common import arrow_pass, per_worker, shared_path, slices, utf8
+from .common import arrow_pass, per_worker, released, shuffles_freed, slices, utf8, written
 
 WORDS = 5
 #: Blank characters to a blank, A-Z to lower case.
@@ -465,10 +465,14 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    with shuffles_freed(df.sparkSession):
+        return checkpointed(df)
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        return written(df, name)
 
 
 def _filter_bits(ids: DataFrame) -> bytes:
@@ -507,7 +511,7 @@ def _chosen_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                                  names=["class", "n", "point", "shingles"])
 
-    found = plain.mapInArrow(work, "class bigint, n bigint, point binary, shingles binary")
+    found = plain.mapInArrow(released(work), "class bigint, n bigint, point binary, shingles binary")
     return found.join(wanted, "class").groupBy("class").agg(
         F.first("n").alias("n"), F.first("point").alias("point"), F.first("shingles").alias("shingles"))
 
@@ -536,7 +540,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         for x, y in zip(part.column("a_set"), part.column("b_set"), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(work, "a bigint, b bigint")
+    return joined.mapInArrow(released(work), "a bigint, b bigint")
 
 
 def classify(documents: DataFrame) -> DataFrame:
@@ -582,8 +586,8 @@ def _links(documents: DataFrame) -> DataFrame:
     plain = _texts(documents.where(F.col("doc_id").isNotNull())).select("text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * parts, -(-total // BUCKET_BYTES))
-    dealt = plain.mapInArrow(lambda b: _deal(b, buckets), DEALT)
-    met = _written(dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "cells")
+    dealt = plain.mapInArrow(released(lambda b: _deal(b, buckets)), DEALT)
+    met = _written(dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_meet), MET), "cells")
     members = met.where(F.col("kind") == MEMBER).select("cell", "class")
     stars = met.where(F.col("kind") == STAR).groupBy("class", "partner").agg(F.sum("shared").alias("shared"))
     first = stars.groupBy("class").agg(F.max_by("partner", F.struct("shared", "partner")).alias("partner"))
@@ -638,21 +642,37 @@ def join(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component: that with the smallest doc_id; equal rows with that id are one document.
 
-    Rows without id are kept. Decisions go by doc_id and class, since rows that share an id may differ in text.
+    Rows without id are kept. Decisions go by doc_id and class, since rows that share an id may differ in text. Rows
+    whose id, by a filter of bits, is none of those that lose a row stay where they are; only the others are classified
+    and joined with the decisions, so the texts that are shuffled are those of copies and of the filter's few errors.
     """
     tag, twice = f"class_{uuid.uuid4().hex}", f"twice_{uuid.uuid4().hex}"
     no_class = F.coalesce(F.col("class"), F.lit(0))
-    stay = _written(_grouped(documents).where("doc_id = component_id").groupBy("doc_id", no_class.alias(tag)).agg(
-        (F.count("*") > 1).alias(twice)), "stay")
+    decided = _written(_grouped(documents).where("doc_id is not null").groupBy("doc_id", no_class.alias(tag)).agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), (F.count("*") > 1).alias(twice)), "stay")
+    losing = decided.where(~F.col("stays") | F.col(twice)).select(F.col("doc_id").alias("class")).distinct()
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(losing))
+    stay = decided.where("stays").drop("stays")
     schema = StructType([*documents.schema.fields, StructField(tag, LongType())])
 
+    def split(part: pa.RecordBatch, lose: bool) -> pa.RecordBatch:
+        ids = part.column("doc_id").cast(pa.int64()).to_pylist()
+        return part.filter(pa.array([_has_bit(bits.value, i) == lose for i in ids], pa.bool_()))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield split(part, False)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            if not (part := split(part, True)).num_rows:
+                continue
             names = [class_of(s) if len(s) else 0 for s in shingle_sets(utf8(part.column("text")))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], names=[*part.schema.names, tag])
 
-    tagged = documents.where("doc_id is not null").mapInArrow(add, schema).join(stay, ["doc_id", tag])
-    kept = tagged.where(~F.col(twice))
+    known = documents.where("doc_id is not null")
+    tagged = known.mapInArrow(released(add), schema).join(stay, ["doc_id", tag])
+    kept = known.mapInArrow(released(untouched), documents.schema).union(tagged.where(~F.col(twice)).select(*documents.columns))
     if stay.where(F.col(twice)).limit(1).count():  # only rows that share id and set meet, so that other texts stay where they are
-        kept = kept.union(tagged.where(F.col(twice)).dropDuplicates(["doc_id", tag]))
-    return kept.select(*documents.columns).union(documents.where("doc_id is null"))
+        kept = kept.union(tagged.where(F.col(twice)).dropDuplicates(["doc_id", tag]).select(*documents.columns))
+    return kept.union(documents.where("doc_id is null"))

@@ -157,7 +157,7 @@ def test_keep_one_leaves_the_texts_of_rows_that_stay_where_they_are(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
         disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
         size = lambda: sum(f.length() for f in _files(disk))
         start = size()

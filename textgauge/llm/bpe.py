@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, release, released
+from .common import bounded, per_worker, release, released
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 12 << 20
@@ -262,7 +262,7 @@ def _reassemble(documents: DataFrame, vocabulary: str | None, block_chars: int,
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS, parts)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = rows.mapInArrow(released(lambda b: _cut_blocks(b, buckets, block_chars, True)), BLOCKS).select("block", "bucket", "data")
     mine = rows.mapInArrow(released(lambda b: _cut_blocks(b, buckets, block_chars, False)), BLOCKS).select("block", "doc_ids", "data")
     answers = words.repartition(parts, "bucket").mapInArrow(released(lambda b: _encode_lists(b, path)), ANSWERS)

@@ -20,7 +20,9 @@ from pyspark.sql.types import _parse_datatype_string
 
 from textgauge.session import shared_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 #: UTF-8 bytes: A-Z to lower case, what is no word character to a blank. Every byte of a character beyond
 #: ASCII counts as a word character, so the table is the character class [^\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -51,18 +53,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             start = stop
 
 
-def arrow_pass(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list], column: str = "text") -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session hands rows to Python in batches of BATCH_BYTES, unless it has a setting of its own for that.
+
+    By Spark's default a batch has 10,000 rows, and the executor and its worker each hold it more than once.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def arrow_pass(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list], column: str = "text",
+               max_bytes: int = SLICE_BYTES) -> DataFrame:
     """Run work over slices of df; it returns the columns of schema in order, as lists or Arrow arrays."""
     parsed = _parse_datatype_string(schema)
     names, types = parsed.names, to_arrow_schema(parsed).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, max_bytes):
             out = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t)
                    for x, t in zip(work(part), types, strict=True)]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.mapInArrow(released(run), schema)
+    return bounded(df).mapInArrow(released(run), schema)
 
 
 def per_worker(key: Hashable, make: Callable[[], object]):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, arrow_pass, released, slices, utf8
+from .common import WORD_BYTES, arrow_pass, bounded, released, slices, utf8
 
 WINDOW = 10
 #: Bytes of benchmark texts in one broadcast chunk.
@@ -208,5 +208,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 _, spans, _ = _search(utf8(part.column("text")), matcher.value)
                 yield part.filter(pa.array([not x for x in spans], pa.bool_()))
 
-        df = df.mapInArrow(released(keep), df.schema)
+        df = bounded(df).mapInArrow(released(keep), df.schema)
     return df

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, newest_per_worker, released, slices
+from .common import arrow_pass, bounded, newest_per_worker, released, slices
 
 DICTIONARY_BYTES = 96 << 10
 TOTAL_BYTES = 100 * DICTIONARY_BYTES
@@ -147,4 +147,4 @@ def keep_identified(documents: DataFrame, model: dict[str, bytes]) -> DataFrame:
             bad = [_judge(t, compressors)[2] for t in part.column("text").to_pylist()]
             yield part.filter(pa.array([not x for x in bad], pa.bool_()))
 
-    return documents.mapInArrow(released(keep), documents.schema)
+    return bounded(documents).mapInArrow(released(keep), documents.schema)

@@ -57,7 +57,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from textgauge.session import cut as checkpointed
 
-from .common import arrow_pass, per_worker, released, shuffles_freed, slices, utf8, written
+from .common import arrow_pass, bounded, per_worker, released, shuffles_freed, slices, utf8, written
 
 WORDS = 5
 #: Blank characters to a blank, A-Z to lower case.
@@ -511,7 +511,7 @@ def _chosen_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                                  names=["class", "n", "point", "shingles"])
 
-    found = plain.mapInArrow(released(work), "class bigint, n bigint, point binary, shingles binary")
+    found = bounded(plain).mapInArrow(released(work), "class bigint, n bigint, point binary, shingles binary")
     return found.join(wanted, "class").groupBy("class").agg(
         F.first("n").alias("n"), F.first("point").alias("point"), F.first("shingles").alias("shingles"))
 
@@ -540,7 +540,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         for x, y in zip(part.column("a_set"), part.column("b_set"), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(released(work), "a bigint, b bigint")
+    return bounded(joined).mapInArrow(released(work), "a bigint, b bigint")
 
 
 def classify(documents: DataFrame) -> DataFrame:
@@ -586,7 +586,7 @@ def _links(documents: DataFrame) -> DataFrame:
     plain = _texts(documents.where(F.col("doc_id").isNotNull())).select("text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * parts, -(-total // BUCKET_BYTES))
-    dealt = plain.mapInArrow(released(lambda b: _deal(b, buckets)), DEALT)
+    dealt = bounded(plain).mapInArrow(released(lambda b: _deal(b, buckets)), DEALT)
     met = _written(dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_meet), MET), "cells")
     members = met.where(F.col("kind") == MEMBER).select("cell", "class")
     stars = met.where(F.col("kind") == STAR).groupBy("class", "partner").agg(F.sum("shared").alias("shared"))
@@ -670,7 +670,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
             names = [class_of(s) if len(s) else 0 for s in shingle_sets(utf8(part.column("text")))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], names=[*part.schema.names, tag])
 
-    known = documents.where("doc_id is not null")
+    known = bounded(documents).where("doc_id is not null")
     tagged = known.mapInArrow(released(add), schema).join(stay, ["doc_id", tag])
     kept = known.mapInArrow(released(untouched), documents.schema).union(tagged.where(~F.col(twice)).select(*documents.columns))
     if stay.where(F.col(twice)).limit(1).count():  # only rows that share id and set meet, so that other texts stay where they are

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, released, slices
+from .common import arrow_pass, bounded, released, slices
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "id", "secret"]
@@ -469,7 +469,7 @@ def redact(documents: DataFrame) -> DataFrame:
             columns[part.schema.get_field_index("text")] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    out = documents.mapInArrow(released(work), documents.schema)
+    out = bounded(documents).mapInArrow(released(work), documents.schema)
     if "n_chars" not in documents.columns:
         return out
     size = F.length("text").cast(documents.schema["n_chars"].dataType)

@@ -89,3 +89,27 @@ def test_empty(spark):
 def test_ids_must_fit():
     with pytest.raises(ValueError):
         binary.Encoder(public_tokenizers.path("word_bpe_49k.json"), "u1")
+
+
+def test_latin_words_take_the_merges_alone(library):
+    """Words with letters beyond ASCII, capitals and a stop go the short way, each distinct piece once."""
+    texts = ["Éle vergeß. ÜBER, señor! Große ", "éle señor. Große"] * 50
+    encoder = binary.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    pieces, which, edges = binary.pieces_of([t.encode() for t in texts])
+    assert len(pieces) == len(set(pieces)) == 9 and [pieces[i] for i in which[edges[1]:edges[2]]] == ["éle".encode(), "señor".encode(), b".", "Große".encode()]
+
+    class Whole:
+        """The library's tokenizer, noting what goes to all of its steps."""
+
+        model, seen = encoder.tokenizer.model, []
+
+        def encode_batch_fast(self, some, **how):
+            self.seen.extend(some)
+            return made.encode_batch_fast(some, **how)
+
+        encode_batch = encode_batch_fast
+
+    made, encoder.tokenizer = encoder.tokenizer, Whole()
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library(t)[:-1] for t in texts]
+    assert set(Whole.seen) == {".", ",", "!"} and len(Whole.seen) == 3

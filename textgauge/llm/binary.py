@@ -9,8 +9,9 @@ whole is its file's base and its offset in it. The files are read back memory-ma
 mapped), in pieces of a file.
 
 Encoding is per piece: the vocabulary drops white space, and its words end where punctuation begins, so a text cut at ASCII
-white space, and between an ASCII letter or digit and punctuation other than an apostrophe, has the ids of its pieces in
-order. A task encodes each distinct piece once while it knows it. Another vocabulary must keep to these two rules, and be
+white space, and between an ASCII or Latin-1 letter or an ASCII digit and punctuation other than an apostrophe, has the ids
+of its pieces in order. Some megabytes of texts at a time are cut to distinct pieces, each looked up once; a task encodes
+each distinct piece once while it knows it. Another vocabulary must keep to these two rules, and be
 a byte-level one that leaves lower-case Latin words whole.
 
 Files are named anew by each attempt of a task and count only if the manifest names them, so an executor that is lost
@@ -43,6 +44,8 @@ IDS, OFFSETS = "<u2", "<u8"
 #: Bytes of text that a file is to hold, on average; keys in the sample that the ranges come from, for each range.
 FILE_BYTES = 32 << 20
 SAMPLE = 50
+#: Bytes of text that are encoded together: each distinct piece of these is looked up once.
+CODED_BYTES = 4 << 20
 #: Bytes of a piece up to which its ids are kept, and how many are kept.
 SHORT, KEPT = 48, 1 << 20
 #: Documents that a reading task takes from a file.
@@ -50,13 +53,18 @@ READ_ROWS = 1 << 16
 MANIFEST = "number int, file string, offsets string, ids string, n_rows bigint, n_tokens bigint"
 
 
-#: Whether an ASCII letter or digit, and whether ASCII punctuation but an apostrophe, by byte.
-ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-BLANK = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
-PUNCTUATION = np.array([33 <= b <= 126 and b != 39 and not ALNUM[b] for b in range(256)])
+BLANKS = b" \t\n\r\x0b\x0c"
+#: Bytes as flags: no ASCII white space; an ASCII letter or digit; ASCII punctuation but an apostrophe; what a Latin letter
+#: beyond ASCII begins with in UTF-8; its second byte.
+SOLID, ALNUM, PUNCTUATION, LEAD, LATIN = 1, 2, 4, 8, 16
+FLAGS = bytes(
+    SOLID * (b not in BLANKS) | ALNUM * (b < 128 and chr(b).isalnum()) | PUNCTUATION * (33 <= b <= 126 and b != 39 and not chr(b).isalnum())
+    | LEAD * (b == 0xC3) | LATIN * (0x80 <= b <= 0xBF and b not in (0x97, 0xB7)) for b in range(256))
 
 
-#: Words of lower-case Latin letters, in UTF-8: one word to the vocabulary too, and its normaliser leaves them alone.
+#: Words of Latin letters in UTF-8: their letters have one lower-case letter each, and no mark follows.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+#: Words of lower-case ones: one word to the vocabulary too, and its normaliser leaves them alone.
 PLAIN = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
 
 
@@ -67,19 +75,31 @@ def byte_letters() -> str:
     return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
-def pieces_of(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
-    """The texts' pieces, and where those of each text end among them.
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pieces of the texts, which of them each piece is, and where those of each text begin and end.
 
     Texts are cut where no token can span: at ASCII white space, and before punctuation behind a letter or digit.
     """
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    at = np.flatnonzero(ALNUM[data[:-1]] & PUNCTUATION[data[1:]]) + 1
-    spaced = np.insert(data, at, 32)
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    ends += np.searchsorted(at, ends)
-    blank = BLANK[spaced]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    return spaced.tobytes().split(), np.searchsorted(starts, ends).tolist()
+    data = b" ".join(texts) + b" "
+    flags = np.frombuffer(data.translate(FLAGS), dtype=np.uint8)
+    solid = (flags & SOLID).view(bool)
+    letter = (flags & ALNUM) != 0
+    letter[1:] |= ((flags[:-1] & LEAD) != 0) & ((flags[1:] & LATIN) != 0)
+    new = np.append(True, ~solid[:-1] | (letter[:-1] & ((flags[1:] & PUNCTUATION) != 0)))
+    starts = np.flatnonzero(solid & new)
+    ends = np.flatnonzero(solid & np.append(~solid[1:] | new[1:], True)) + 1
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+    offsets = np.cumsum(np.append(0, ends - starts), dtype=np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, BLANKS))]).dictionary_encode()
+    return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(), edges
+
+
+def _lowered(piece: bytes) -> bytes:
+    """The piece as the vocabulary's normaliser lowers its case, where that does not depend on marks; else as it is."""
+    if piece.isascii():
+        return piece.lower()
+    return piece.decode().lower().encode() if LETTERS.fullmatch(piece) else piece
 
 
 class Encoder:
@@ -106,25 +126,32 @@ class Encoder:
                 out[p] = np.array(ids, dtype=self.dtype).tobytes()
             else:
                 others.append(p)
-        made = self.tokenizer.encode_batch([p.decode() for p in others], add_special_tokens=False)
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False)
         return out | {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(others, made, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        pieces, ends = pieces_of(texts)
+        pieces, which, edges = pieces_of(texts)
         known = self.known
         if len(known) > KEPT:
             known.clear()
         ids = list(map(known.get, pieces))
-        new = {p for p, x in zip(pieces, ids, strict=True) if x is None}
+        new = [p for p, x in zip(pieces, ids, strict=True) if x is None]
         if new:
-            # The vocabulary's normaliser lowers case; only in ASCII does that not depend on marks that follow.
-            plain = {p: p.lower() if p.isascii() else p for p in new}
-            found = self._learn([p for p in set(plain.values()) if p not in known])
-            made = {p: found[q] if q in found else known[q] for p, q in plain.items()}
+            lowered = {p: _lowered(p) for p in new}
+            found = self._learn([p for p in set(lowered.values()) if p not in known])
+            made = {p: found[q] if q in found else known[q] for p, q in lowered.items()}
             known |= {p: x for p, x in (made | found).items() if len(p) <= SHORT}
             ids = [made[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        # The ids of the distinct pieces stand one behind the other; each piece takes its run of them.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        ends = np.cumsum(sizes[which])
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - sizes[which])
+        places = np.repeat(shift, sizes[which])
+        places += np.arange(len(places))
+        out = np.frombuffer(b"".join(ids), self.dtype)[places]
+        bounds = np.concatenate([[0], ends])[edges].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 NO_ID = np.iinfo(np.int64).min
@@ -167,7 +194,7 @@ def write_files(documents: DataFrame, folder: str, vocabulary: str | None = None
         number = range_of(docs.fill_null(NO_ID).to_numpy(), place.to_numpy(), *bounds)
         return [pa.array(number.astype(np.int32)), docs, place, [x + stop for x in encoder.encode(utf8(batch.column("text")))]]
 
-    coded = arrow_pass(rows, "number int, doc_id bigint, place bigint, ids binary", encode)
+    coded = arrow_pass(rows, "number int, doc_id bigint, place bigint, ids binary", encode, max_bytes=CODED_BYTES)
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(len(bounds[0]) + 1) // 4))
     dealt = coded.repartition(tasks, "number").sortWithinPartitions("number", F.col("doc_id").asc_nulls_first(), "place")
 

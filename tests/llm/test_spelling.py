@@ -86,3 +86,12 @@ def test_query_against_sql_and_empty(spark, fresh):
         want = {tuple(r) for r in con.execute(queries.OP11_SQL).fetchall()}
         assert {tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()} == want
         assert bool(want) == (name == "full")
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    """Files of some MB look small enough for the driver, but hold millions of keys."""
+    words = spelling.written(spark.createDataFrame([(w, n) for w, n in variants(4, "abcé", (6, 7, 8, 9)).items()], "word string, n bigint"), "words")
+    rows = spelling.group(words)
+    for df in (spelling.near_words(words), rows, spelling.roots(rows)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -77,6 +77,11 @@ def _keys(length: Column, moved: bool) -> Column:
     return F.array(*keys)
 
 
+def _merged(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The join, never by a broadcast: Spark sizes a side by its compressed file, before rows are exploded and widened."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """All pairs of the distinct words (word, n) exactly one edit apart, once each: a, a_n, b, b_n; a is no longer."""
     length = F.char_length("word")
@@ -85,7 +90,7 @@ def near_words(words: DataFrame) -> DataFrame:
                         F.lit(True).alias("same"))
     longer = words.select(F.explode(_keys(length - 1, True)).alias("key"), F.col("word").alias("b"),
                           F.col("n").alias("b_n"), F.lit(False).alias("same"))
-    met = chunks.join(same.union(longer), "key").where(~F.col("same") | (F.col("a") < F.col("b")))
+    met = _merged(chunks, same.union(longer), "key").where(~F.col("same") | (F.col("a") < F.col("b")))
     # An inserted character can leave several keys unchanged.
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").dropDuplicates(["a", "b"])
 
@@ -99,13 +104,13 @@ def group(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         F.struct(F.col("b").alias("word"), F.struct((-F.col("a_n")).alias("less"), F.col("a").alias("near")).alias("near")),
     )).alias("p")).select("p.*")
     found = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("near").alias("best"))
-    rows = words.join(found, "word", "left")
+    rows = _merged(words, found, "word", "left")
     more = -F.col("best.less")
     is_form = more >= ratio * F.col("n")
     rows = written(rows.select(
         "word", F.when(is_form, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(is_form, more).alias("form_n")), "forms")
-    return rows.join(roots(rows, ratio), "word", "left").select(
+    return _merged(rows, roots(rows, ratio), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
@@ -119,7 +124,7 @@ def roots(rows: DataFrame, ratio: int = RATIO) -> DataFrame:
     steps = 1
     while steps < longest:  # a step doubles how far each word points
         onward = pointed.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        pointed = written(pointed.join(onward, "root", "left").select(
+        pointed = written(_merged(pointed, onward, "root", "left").select(
             "word", F.coalesce("next", "root").alias("root")), "roots")
         steps *= 2
     return pointed

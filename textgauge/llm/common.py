@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from textgauge.session import shared_dir
+from textgauge.session import shared_dir, shuffles_freed  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 #: Bytes of a batch of rows on its way to a Python worker.
@@ -114,18 +114,6 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
-@contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Jobs run here remove their shuffle files when they end: for results that are written or checkpointed, once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder's URI under the shared folder."""
     root = shared_dir(spark)
